@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from . import url_filter
 from .ngram_join import ngram_components
+from .packing import pack
+from .token_counts import token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +20,21 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join,)}
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every page's url: rules, else trust and distrust over links."""
+    return url_filter.url_verdicts(table(spark, sf_dir, "pages"))
 
-ORACLE: dict[str, str] = {}
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document in a byte-level vocabulary."""
+    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of at most 2048 tokens."""
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_url_filter, op5_token_counts, op8_packing)}
+
+ORACLE: dict[str, str] = {"op2_url_filter": url_filter.oracle()}
