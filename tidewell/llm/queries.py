@@ -5,9 +5,13 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import url_filter
+from . import line_dedup, url_filter
 from .ngram_join import ngram_components
+from .html_text import extract
+from .line_dedup import dedup_lines
+from .media import media_digests
 from .packing import pack
+from .quality import STATS, quality
 from .token_counts import token_counts
 
 
@@ -25,16 +29,37 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_verdicts(table(spark, sf_dir, "pages"))
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict for every document."""
+    judged = quality(table(spark, sf_dir, "documents"), ["doc_id"])
+    return judged.select("row.doc_id", *STATS, "base_failed", "kept", "log_perplexity", "lang_group")
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document in a byte-level vocabulary."""
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document stored as a progressive JPEG, read back, and its tensor's features."""
+    return media_digests(table(spark, sf_dir, "documents"))
+
+
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 2048 tokens."""
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_url_filter, op5_token_counts, op8_packing)}
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines of windows that occurred before."""
+    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_url_filter, op3_quality_rules, op5_token_counts, op6_media, op7_html_text, op8_packing, op9_line_dedup)}
 
-ORACLE: dict[str, str] = {"op2_url_filter": url_filter.oracle()}
+ORACLE: dict[str, str] = {"op2_url_filter": url_filter.oracle(), "op9_line_dedup": line_dedup.oracle()}
