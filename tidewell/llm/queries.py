@@ -5,11 +5,12 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, url_filter
+from . import cotraining, line_dedup, url_filter
 from .ngram_join import ngram_components
 from .html_text import extract
 from .line_dedup import dedup_lines
 from .media import media_digests
+from .mixing import mix
 from .packing import pack
 from .quality import STATS, quality
 from .token_counts import token_counts
@@ -35,6 +36,12 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("row.doc_id", *STATS, "base_failed", "kept", "log_perplexity", "lang_group")
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's cell, calibrated probability and whether it is sampled."""
+    mixed = mix(table(spark, sf_dir, "documents"), carry=["doc_id"])
+    return mixed.select("row.doc_id", "source", "lang", "topic", "n_tokens", "probability", "sampled")
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document in a byte-level vocabulary."""
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
@@ -60,6 +67,11 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_url_filter, op3_quality_rules, op5_token_counts, op6_media, op7_html_text, op8_packing, op9_line_dedup)}
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calibrated quality of every document from two co-trained views."""
+    return cotraining.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_url_filter, op3_quality_rules, op4_mixing, op5_token_counts, op6_media, op7_html_text, op8_packing, op9_line_dedup, op10_quality_classifier)}
 
 ORACLE: dict[str, str] = {"op2_url_filter": url_filter.oracle(), "op9_line_dedup": line_dedup.oracle()}
