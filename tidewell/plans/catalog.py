@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
-FLAGSHIP = ""
+from . import level_queries, sequence_queries
+
+MODULES = (level_queries, sequence_queries)
+QUERIES: dict = {name: query for m in MODULES for name, query in m.QUERIES.items()}
+ORACLE: dict[str, str] = {name: sql for m in MODULES for name, sql in m.ORACLE.items()}
+FLAGSHIP = "gated_level"
