@@ -63,7 +63,7 @@ def rake(cells: DataFrame, targets: dict[str, dict] | None, scratch: Scratch) ->
         else:
             share = has.select(F.col(d).alias("v"), F.pow(F.col("s"), F.lit(TEMPER)).alias("g"))
         whole = share.agg(F.sum("g").alias("all"))
-        share = share.crossJoin(F.broadcast(whole)).select("v", (F.col("g") / F.col("all") * F.lit(float(total))).alias(f"t_{d}"))
+        share = share.crossJoin(F.broadcast(whole)).select("v", F.coalesce(F.try_divide("g", "all") * F.lit(float(total)), F.lit(0.0)).alias(f"t_{d}"))
         now = now.join(share, now[d].eqNullSafe(share["v"]), "left").drop("v")
     now = scratch.save(now)
     for _ in range(TURNS):
