@@ -63,7 +63,7 @@ def dedup_lines(docs: DataFrame, width: int = WINDOW) -> DataFrame:
     covered = scratch.save(later.groupBy("row").agg(F.collect_set("at").alias("at")))
 
     met = docs.select(name.alias("row"), F.struct("*").alias("doc"))
-    met = met.join(covered, met["row"].eqNullSafe(covered["row"]), "left").select("doc", "at", text("doc.text").alias("text"))
+    met = met.join(covered.hint("shuffle_merge"), met["row"].eqNullSafe(covered["row"]), "left").select("doc", "at", text("doc.text").alias("text"))
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n")))
     gone = F.array_distinct(F.flatten(F.transform("at", lambda a: F.sequence(a, a + (width - 1)))))
     met = met.withColumn("n_lines", n_lines).withColumn("gone", gone)
