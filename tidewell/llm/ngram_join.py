@@ -4,18 +4,22 @@ A document is the set of its distinct 5-word shingles. Two documents link when t
 similarity is at least 0.8; the result says which documents hang together.
 
 1. *Token classes.* Shingles are counted over all documents: each task ships sorted arrays of
-   32-bit keys, split by range. A key with at least ``F = max(least, N / 2**20)`` occurrences is
-   frequent; at most 2**20 keys can be, which bounds what is broadcast. All others are rare.
+   32-bit keys, split by range. A key with at least ``F = max(least, N / 2**21)`` occurrences is
+   frequent; at most 2**21 keys can be, which bounds what is broadcast. All others are rare.
 2. *Prefixes.* Shingles are ordered rare first, then by hash. Linked sets of size n share at least
    ``t = ceil(0.8 n)`` shingles, so their first common shingle lies within the first ``n - t + 1`` of
    both. If it is rare, a single-token key finds the pair. Otherwise all they share is frequent: the
    prefix is extended to the whole frequent part, which is split by hash into more parts than the
    pair may have differing shingles, so one part is equal in both: the combination of that part's
-   tokens is the key. Parts are counted per size class, as linked sizes differ by 1.25 at most.
-3. *Verification* compares whole sets exactly (integer arithmetic). It starts with stars: in each
-   key one member is compared with the others, so a group of m copies costs m comparisons. Keys whose
-   members already hang together are done. What remains is compared in full across components only,
-   so that no link between components is lost.
+   tokens is the key. Parts are counted per size class, as linked sizes differ by 1.25 at most. There
+   are more parts than the argument asks for, so several keys must be equal; that lets each document
+   leave out its most common combinations, and tells pairs apart by the number of equal keys.
+3. *Verification* compares whole sets exactly (integer arithmetic). It starts with a star: every
+   document is compared with the one centre it shares most keys with, so a group of m copies costs m
+   comparisons. Keys whose members already hang together are done. What remains is compared across
+   components only: pairs where few documents share a key, blocks of documents where many do.
+
+   Keys of rare tokens are always of the first kind, as they hold fewer than F documents.
 
 Documents with equal sets are joined beforehand through a 128-bit hash of the set. Rare keys hold
 fewer than F members; combination keys are handled by aggregates and joins that Spark can split.
@@ -28,38 +32,39 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from . import ragged
 from .components import components
 from .scratch import Scratch
 
-FLUSH = 1 << 21
-HEAVY = 1 << 20
-STARS = 4
+FLUSH = 1 << 19
+HEAVY = 1 << 21
+BLOCK = 4_000_000
 BLOOM_BITS = 1 << 25
 
 
 def size_class(n: np.ndarray | int, ratio: float = 1.25) -> np.ndarray:
-    """Class i holds sizes from floor(ratio**i) to below floor(ratio**(i+1))."""
+    """Class i holds sizes from ratio**i to below ratio**(i+1)."""
     return np.searchsorted(_edges(ratio), n, side="right") - 1
 
 
 def _edges(ratio: float) -> np.ndarray:
-    return np.unique(np.floor(ratio ** np.arange(0, 190, dtype=float))).astype(np.float64)
+    """Class borders; rounding can put sizes exactly a ratio apart two classes apart, so they are cut a hair early."""
+    return ratio ** np.arange(0, 190, dtype=float) * (1 - 1e-9)
 
 
-def combination_keys(tokens: np.ndarray, n: int, percent: int = 80) -> list[int]:
-    """Keys of the frequent tokens of a set of size ``n``, for the size classes it can meet.
+def combination_keys(tokens: np.ndarray, n: int, percent: int = 80) -> list[tuple[int, int, int]]:
+    """(key, family, need) of the frequent tokens of a set of size ``n``, for the size classes it can meet.
 
-    The edges are rounded down, so sizes whose ratio is at least percent/100 can be up to two
-    classes apart where classes are narrow; a family therefore spans three of them.
+    A linked pair whose common tokens are all frequent has at least ``need`` of a family's keys in
+    common. Sizes whose ratio is at least percent/100 are in one class or in neighbours.
     """
     edges, mine, out = _edges(100 / percent), int(size_class(n, 100 / percent)), []
-    for family in range(max(0, mine - 2), mine + 1):
-        widest = int(edges[family + 3]) - 1
+    for family in range(max(0, mine - 1), mine + 1):
+        widest = int(np.ceil(edges[family + 2])) - 1
         differ = 2 * widest * (100 - percent) // (100 + percent)
-        parts = 1 + differ + differ // 4
+        parts = 1 + differ + differ // 2
         salt = ragged.U64(family * 0x9E3779B1 + 77)
         part = (ragged.mix(tokens + salt) % ragged.U64(parts)).astype(np.int64)
         order = np.argsort(part, kind="stable")
@@ -67,9 +72,9 @@ def combination_keys(tokens: np.ndarray, n: int, percent: int = 80) -> list[int]
         if len(where):
             made = np.add.reduceat(ragged.mix(tokens[order] * ragged.STEP + ragged.U64(1)), where)
             key = ragged.mix(made + ragged.mix(part[order][where].astype(ragged.U64) * ragged.BASE + salt))
-            out += key.tolist()
-        if parts - len(where) >= parts - differ:
-            out.append(int(ragged.mix(np.array([family + 1], ragged.U64) * ragged.BASE)[0]))
+            out += [(x, family, len(where) - differ) for x in key.tolist()]
+        if len(where) <= differ:  # too few parts hold tokens for the guarantee: one key for all of these
+            out.append((int(ragged.mix(np.array([family + 1], ragged.U64) * ragged.BASE)[0]), family, 0))
     return out
 
 
@@ -91,7 +96,7 @@ def _signatures(docs: DataFrame, k: int) -> DataFrame:
 def _frequent(docs: DataFrame, k: int, total: int, least: int) -> tuple[np.ndarray, int]:
     """The sorted 32-bit keys that at least F documents have, and F."""
     bound = max(least, -(-total // HEAVY))
-    ranges = max(1, -(-total // (1 << 22)))
+    ranges = max(1, -(-total // (1 << 20)))
     width = -(-(1 << 32) // ranges)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,7 +129,7 @@ def _frequent(docs: DataFrame, k: int, total: int, least: int) -> tuple[np.ndarr
 
 def _index(docs: DataFrame, k: int, percent: int, heavy: np.ndarray, total: int) -> tuple[DataFrame, DataFrame]:
     """Rows (key, doc_id, n): of rare keys that several documents have, and of combination keys."""
-    ranges = max(1, -(-total * (100 - percent) // 100 // (1 << 19)))
+    ranges = max(1, -(-total * (100 - percent) // 100 // (1 << 18)))
     table = docs.sparkSession.sparkContext.broadcast(heavy)
 
     def split(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
@@ -139,7 +144,7 @@ def _index(docs: DataFrame, k: int, percent: int, heavy: np.ndarray, total: int)
                 done.add(same)
                 few, _, prefix = split(x)
                 keys.append(few[:prefix])
-                ids.append((doc, len(x), len(keys[-1])))
+                ids.append((doc, len(x), len(keys[-1]), len(x) - len(keys[-1])))
                 size += len(keys[-1])
             if size >= FLUSH:
                 yield flush(keys, ids)
@@ -147,22 +152,23 @@ def _index(docs: DataFrame, k: int, percent: int, heavy: np.ndarray, total: int)
         if size:
             yield flush(keys, ids)
 
-    def flush(keys: list[np.ndarray], ids: list[tuple[int, int, int]]) -> pa.RecordBatch:
-        key, (doc, n, many) = np.concatenate(keys), np.array(ids, np.int64).T
+    def flush(keys: list[np.ndarray], ids: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
+        key, (doc, n, many, rest) = np.concatenate(keys), np.array(ids, np.int64).T
         slot = (key >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
         order = np.lexsort((key, slot))
-        key, doc, n, slot = key[order], np.repeat(doc, many)[order], np.repeat(n, many)[order].astype(np.uint32), slot[order]
+        key, slot = key[order], slot[order]
+        doc, n, rest = np.repeat(doc, many)[order], np.repeat(n, many)[order].astype(np.uint32), np.repeat(rest, many)[order].astype(np.uint32)
         cut = np.searchsorted(slot, np.arange(ranges + 1, dtype=np.uint64))
-        cols = [[ragged.planes(c[a:b]) if b > a else None for a, b in zip(cut[:-1], cut[1:])] for c in (key, doc, n)]
-        return pa.RecordBatch.from_arrays([pa.array(range(ranges), pa.int32()), *(pa.array(c, pa.binary()) for c in cols)], ["range", "keys", "docs", "ns"])
+        cols = [[ragged.planes(c[a:b]) if b > a else None for a, b in zip(cut[:-1], cut[1:])] for c in (key, doc, n, rest)]
+        return pa.RecordBatch.from_arrays([pa.array(range(ranges), pa.int32()), *(pa.array(c, pa.binary()) for c in cols)], ["range", "keys", "docs", "ns", "rests"])
 
     def several(table: pa.Table) -> pa.Table:
-        key, doc, n = (np.concatenate([ragged.unplanes(x, t) for x in table.column(c).to_pylist()]) for c, t in (("keys", np.uint64), ("docs", np.int64), ("ns", np.uint32)))
+        key, doc, n, rest = (np.concatenate([ragged.unplanes(x, t) for x in table.column(c).to_pylist()]) for c, t in (("keys", np.uint64), ("docs", np.int64), ("ns", np.uint32), ("rests", np.uint32)))
         order = np.argsort(key, kind="stable")
         key = key[order]
         same = key[1:] == key[:-1]
         keep = np.append(same, False) | np.append(False, same)
-        return pa.table({"key": key[keep].view(np.int64), "doc_id": doc[order][keep], "n": n[order][keep].astype(np.int64)})
+        return pa.table({"key": key[keep].view(np.int64), "doc_id": doc[order][keep], "n": n[order][keep].astype(np.int64), "family": np.full(keep.sum(), -1, np.int32), "need": rest[order][keep].astype(np.int64)})
 
     def combos(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, doc, size, done = [], [], [], set()
@@ -180,15 +186,29 @@ def _index(docs: DataFrame, k: int, percent: int, heavy: np.ndarray, total: int)
         if key:
             yield rows(key, doc, size)
 
-    def rows(key: list[int], doc: list[int], size: list[int]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.array(key, np.uint64).view(np.int64)), pa.array(doc, pa.int64()), pa.array(size, pa.int64())], ["key", "doc_id", "n"])
+    def rows(key: list[tuple[int, int, int]], doc: list[int], size: list[int]) -> pa.RecordBatch:
+        name, family, need = ([k[i] for k in key] for i in range(3))
+        return pa.RecordBatch.from_arrays([pa.array(np.array(name, np.uint64).view(np.int64)), pa.array(doc, pa.int64()), pa.array(size, pa.int64()), pa.array(family, pa.int32()), pa.array(need, pa.int64())], ["key", "doc_id", "n", "family", "need"])
 
     text = docs.select("doc_id", "text")
-    out = "key long, doc_id long, n long"
-    singles = text.mapInArrow(rare, "range int, keys binary, docs binary, ns binary").filter("keys is not null").groupBy("range").applyInArrow(several, out)
+    out = "key long, doc_id long, n long, family int, need long"
+    singles = text.mapInArrow(rare, "range int, keys binary, docs binary, ns binary, rests binary").filter("keys is not null").groupBy("range").applyInArrow(several, out)
     return singles, text.mapInArrow(combos, out) if len(heavy) else None
 
 
+def _rarest(rows: DataFrame) -> DataFrame:
+    """Combination keys without the most common ones of each document and family: half of ``need``.
+
+    What a linked pair has in common is cut from its common end, so at least the other half of the
+    keys they need stays. Keys that stand for a passage which many documents have go this way.
+    """
+    common = rows.groupBy("key").agg(F.count("*").alias("docs")).filter("docs > 1")
+    order = Window.partitionBy("doc_id", "family").orderBy(F.desc("docs"), "key")
+    ranked = rows.join(common, "key", "left").withColumn("at", F.row_number().over(order))
+    spare = F.greatest(F.col("need"), F.lit(0)) / 2
+    return ranked.filter((F.col("docs") > 1) & (F.col("at") > F.floor(spare))).select("key", "doc_id", "n", "family", (F.col("need") - F.floor(spare)).alias("need"))
+
+
 def _bitmap(ids: DataFrame) -> np.ndarray:
     """A fixed number of bits, with those of all ids set; more ids make more false hits, never a miss."""
 
@@ -280,61 +300,120 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80, least: int
     total = real.agg(F.sum("n_shingles")).first()[0] or 0
     copies = scratch.save(real.select("doc_id", "sig").join(firsts.filter("copies > 1"), "sig").select("doc_id", "rep").filter("doc_id <> rep").distinct())
 
-    heavy, _ = _frequent(known, k, total, least) if total else (np.zeros(0, np.uint32), 0)
+    heavy, bound = _frequent(known, k, total, least) if total else (np.zeros(0, np.uint32), least)
+    scratch.release()
     singles, combos = _index(known, k, percent, heavy, total)
-    members = None
-    for part in (singles, combos):
-        if part is not None:
-            part = part.join(copies, "doc_id", "left").select("key", F.coalesce("rep", "doc_id").alias("doc_id"), "n").distinct()
-            members = part if members is None else members.unionByName(part)
+    firsts_only = lambda part: part.join(copies, "doc_id", "left").select("key", F.coalesce("rep", "doc_id").alias("doc_id"), "n", "family", "need").distinct()
+    members = firsts_only(singles)
+    if combos is not None:
+        members = members.unionByName(_rarest(scratch.save(firsts_only(combos))))
     members = scratch.save(members)
+    del singles, combos
+    scratch.release()
     edges = [copies.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))]
-    if members.limit(1).count():
-        tokens = scratch.save(_tokens(known, _bitmap(members.select("doc_id").distinct()), k))
-        edges += _links(members, tokens, percent, scratch)
-        scratch.drop(tokens)
+    edges += _links(known, members, k, percent, bound, scratch)
     scratch.drop(members)
-    every = edges[0]
-    for e in edges[1:]:
-        every = every.unionByName(e)
-    comp = scratch.save(components(every, scratch))
+    comp = scratch.save(components(_union(edges), scratch))
+    scratch.release()
     return rows.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("comp", "doc_id").alias("component_id"))
 
 
-def _links(members: DataFrame, tokens: DataFrame, percent: int, scratch: Scratch) -> list[DataFrame]:
-    """Edges enough to connect all that links connect, among the members of common keys."""
-    found: list[DataFrame] = []
-    tried: DataFrame | None = None
-    now = members.withColumn("comp", F.col("doc_id"))
-    for turn in range(STARS + 1):
-        sizes = now.groupBy("key", "comp").agg(F.count("*").alias("m"))
-        open_keys = sizes.groupBy("key").agg(F.count("*").alias("comps"), F.sum("m").alias("all"), F.sum(F.col("m").cast("double") * F.col("m")).alias("within")).filter("comps > 1")
-        todo = open_keys.agg(F.count("*").alias("keys"), F.sum("all").alias("rows"), F.sum((F.col("all").cast("double") * F.col("all") - F.col("within")) / 2).alias("pairs")).first()
-        if not todo["keys"]:
-            break
-        live = now.join(open_keys.select("key"), "key")
-        last = turn == STARS or turn and todo["pairs"] <= 4 * todo["rows"]
-        if last:
-            left, right = live.select("key", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca")), live.select("key", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-            met = left.join(right, "key").filter("ca < cb")
-        else:
-            order = F.xxhash64("doc_id", F.lit(turn)) if turn else F.col("doc_id")
-            centre = live.groupBy("key").agg(F.min_by(F.struct(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca")), order).alias("c")).select("key", "c.*")
-            met = live.select("key", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb")).join(centre, "key").filter("ca <> cb")
-        met = met.filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-        pairs = met.select("a", "b").distinct()
-        if tried is not None:
-            pairs = pairs.join(tried.select(F.col("a"), F.col("b")), ["a", "b"], "left_anti").join(tried.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
-        pairs = scratch.save(pairs)
-        linked = scratch.save(_verify(pairs, tokens, percent))
-        found.append(linked)
-        if last:
-            break
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        every = found[0]
-        for e in found[1:]:
-            every = every.unionByName(e)
-        comp = scratch.save(components(every, scratch)).select(F.col("node").alias("doc_id"), F.col("comp").alias("c"))
-        now = live.drop("comp").join(comp, "doc_id", "left").select("key", "doc_id", "n", F.coalesce("c", "doc_id").alias("comp"))
-        now = scratch.save(now)
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def _links(docs: DataFrame, members: DataFrame, k: int, percent: int, bound: int, scratch: Scratch) -> list[DataFrame]:
+    """Edges enough to connect all that links connect, among the members of common keys.
+
+    Tokens are made for the documents that a step compares, and dropped after it.
+    """
+    fields = (("doc_id", "d"), ("size", "s"), ("need", "n"), ("comp", "c"))
+    side = lambda x: [F.col(c).alias(y + x) for c, y in fields]
+
+    def pairs(met: DataFrame) -> DataFrame:
+        """Pairs that share as many keys as their sizes ask for, with that number."""
+        shared = met.groupBy("da", "db", "family").agg(F.count("*").alias("keys"), *(F.first(c).alias(c) for c in ("sa", "sb", "na", "nb")))
+        least = F.expr(f"({percent} * (sa + sb) + {99 + percent}) div {100 + percent}") - F.greatest("na", "nb")
+        enough = F.col("keys") >= F.when(F.col("family") < 0, least).otherwise(F.greatest("na", "nb"))
+        close = 100 * F.least("sa", "sb") >= percent * F.greatest("sa", "sb")
+        return shared.filter(enough & close).groupBy(F.col("da").alias("a"), F.col("db").alias("b")).agg(F.sum("keys").alias("keys"))
+
+    rows = members.withColumnRenamed("n", "size").withColumn("comp", F.col("doc_id"))
+    centres = rows.groupBy("key", "family").agg(F.count("*").alias("m"), F.min(F.struct(*side("a"))).alias("c")).filter("m > 1").select("key", "family", "c.*")
+    met = rows.select("key", "family", *side("b")).join(centres, ["key", "family"]).filter("da <> db")
+    star = scratch.save(pairs(met).groupBy("b").agg(F.max_by("a", F.struct("keys", "a")).alias("a")).select("a", "b"))
+    both = lambda p: p.select(F.col("a").alias("doc_id")).union(p.select("b"))
+    found = [_checked(star, docs, k, percent, both(star), scratch)]
+
+    del met
+    comp = scratch.save(components(found[0], scratch)).select(F.col("node").alias("doc_id"), F.col("comp").alias("c"))
+    now = rows.drop("comp").join(comp, "doc_id", "left").withColumn("comp", F.coalesce("c", "doc_id")).drop("c")
+    keys = now.groupBy("key", "comp").agg(F.count("*").alias("m")).groupBy("key").agg(F.count("*").alias("comps"), F.sum("m").alias("m")).filter("comps > 1")
+    live = scratch.save(now.join(keys.select("key", (F.col("m") >= bound).alias("hot")), "key"))
+    cold = live.filter("not hot")
+    met = cold.select("key", "family", *side("a")).join(cold.select("key", "family", *side("b")), ["key", "family"]).filter("ca < cb")
+    rest = scratch.save(pairs(met).select("a", "b"))
+    del met, now, keys
+    scratch.release()
+    found.append(_checked(rest, docs, k, percent, both(rest), scratch))
+    hot = live.filter("hot")
+    if hot.limit(1).count():
+        tokens = scratch.save(_tokens(docs, _bitmap(hot.select("doc_id")), k))
+        found.append(scratch.save(_blocks(hot, tokens, percent, scratch)))
+        scratch.drop(tokens)
+    scratch.drop(live, star, rest)
     return found
+
+
+def _checked(pairs: DataFrame, docs: DataFrame, k: int, percent: int, ids: DataFrame, scratch: Scratch) -> DataFrame:
+    """The linked ones of ``pairs``, saved."""
+    tokens = scratch.save(_tokens(docs, _bitmap(ids), k))
+    linked = scratch.save(_verify(pairs, tokens, percent))
+    scratch.drop(tokens)
+    scratch.release()
+    return linked
+
+
+def _blocks(hot: DataFrame, tokens: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Edges between components among documents that common keys hold in large numbers.
+
+    Documents that share such keys form clusters. In each, what lies outside its largest component
+    is compared with all its documents, block by block, through an inverted index of the block's
+    tokens; a block holds a bounded number of tokens. One edge per pair of components leaves a block.
+    """
+    spokes = hot.groupBy("key").agg(F.min("doc_id").alias("a"))
+    docs = hot.select("doc_id", "comp", "size").distinct()
+    cluster = scratch.save(components(hot.join(spokes, "key").select("a", F.col("doc_id").alias("b")).distinct(), scratch)).select(F.col("node").alias("doc_id"), F.col("comp").alias("cluster"))
+    docs = scratch.save(docs.join(cluster, "doc_id"))
+    largest = docs.groupBy("cluster", "comp").agg(F.count("*").alias("m")).groupBy("cluster").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"))
+    out = F.col("comp") != F.col("main")
+    split = docs.join(largest, "cluster").groupBy("cluster", "main").agg(*(F.ceil(x / BLOCK).alias(c) for c, x in (("rs", F.sum("size")), ("qs", F.sum(F.when(out, F.col("size")).otherwise(0))))))
+    dealt = docs.join(split, "cluster")
+    own = lambda n: F.pmod(F.xxhash64("doc_id"), F.greatest(F.col(n), F.lit(1)))
+    asks = dealt.filter(out).select("cluster", own("qs").alias("q"), F.explode(F.sequence(F.lit(0), F.col("rs") - 1)).alias("r"), F.lit(1).alias("ask"), "doc_id", "comp")
+    given = dealt.filter("qs > 0").select("cluster", F.explode(F.sequence(F.lit(0), F.col("qs") - 1)).alias("q"), own("rs").alias("r"), F.lit(0).alias("ask"), "doc_id", "comp")
+
+    def compare(table: pa.Table) -> pa.Table:
+        ask, doc, comp = (table.column(c).to_numpy() for c in ("ask", "doc_id", "comp"))
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("tokens").combine_chunks()] if table.num_rows else []
+        size = np.array([len(x) for x in sets], np.int64)
+        rs, edges, done = np.flatnonzero(ask == 0), [], set()
+        if len(rs):
+            flat, who = np.concatenate([sets[i] for i in rs]), np.repeat(np.arange(len(rs)), size[rs])
+            order = np.argsort(flat, kind="stable")
+            flat, who = flat[order], who[order]
+            for q in np.flatnonzero(ask == 1):
+                low, high = np.searchsorted(flat, sets[q]), np.searchsorted(flat, sets[q], side="right")
+                many = high - low
+                at = np.arange(many.sum()) + np.repeat(low - (np.cumsum(many) - many), many)
+                common = np.bincount(who[at], minlength=len(rs))
+                for r in rs[np.flatnonzero((100 * common >= percent * (size[rs] + size[q] - common)) & (common > 0) & (comp[rs] != comp[q]))]:
+                    if (comp[q], comp[r]) not in done:
+                        done.add((comp[q], comp[r]))
+                        edges.append((doc[q], doc[r]))
+        return pa.table({"a": pa.array([int(a) for a, _ in edges], pa.int64()), "b": pa.array([int(b) for _, b in edges], pa.int64())})
+
+    return asks.unionByName(given).join(tokens, "doc_id").groupBy("cluster", "q", "r").applyInArrow(compare, "a long, b long")

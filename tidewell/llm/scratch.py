@@ -6,7 +6,9 @@ temporary folder of this machine is chosen and put into the session's settings.
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,6 +40,13 @@ class Scratch:
         back._scratch_path = path
         return back
 
+    def release(self) -> None:
+        """Let Spark remove the shuffle files of finished steps, which it does when plans are collected."""
+        for _ in range(2):  # plans go first, then what they refer to
+            gc.collect()
+            self.spark._jvm.System.gc()
+            time.sleep(0.4)
+
     def drop(self, *tables: DataFrame) -> None:
         """Remove saved tables that nothing reads any more."""
         for df in tables:
