@@ -171,6 +171,17 @@ def test_mixing_meets_targets(spark):
     assert mixing.mix(docs(spark, [(1, None), (2, "")])).count() == 2
 
 
+def test_one_rare_row_leaves_the_mix_alone(spark):
+    g = random.Random(6)
+    rows = [(i, " ".join(f"t{g.randint(0, 400)}" for _ in range(30)), g.choice(["en", "en", "en", "de"]), g.choice("aaab"), 0) for i in range(1500)]
+    before = mixing.mix(spark.createDataFrame(rows, DOCS), carry=["doc_id"]).toPandas()
+    after = mixing.mix(spark.createDataFrame([*rows, (1500, rows[0][1], None, "a", 0)], DOCS), carry=["doc_id"]).toPandas()
+    for out in (before, after):
+        assert (out.n_tokens * out.probability).sum() == pytest.approx(mixing.BUDGET * out.n_tokens.sum(), rel=0.01)
+    p, q = (out.set_index(out.row.map(lambda r: r["doc_id"])).probability.sort_index() for out in (before, after))
+    assert q[1500] == 1 and (p - q[:1500]).abs().max() < 0.02 and (p > 0).all()
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_encoder_equals_library(name):
     g = random.Random(7)

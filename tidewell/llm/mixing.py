@@ -1,8 +1,9 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
 Documents fall into cells of source, language and topic. The tokens of the cells are raked until the
-marginals of all three have their target shares; a document is then sampled with the probability of
-its cell, by a hash of its id and text, so that the same corpus gives the same sample.
+marginals of all three have their target shares of a stated budget of tokens; a document is then
+sampled with the probability of its cell, by a hash of its id and text, so that the same corpus gives
+the same sample. A value too rare to fill its share is kept whole and sets nobody else's rate.
 
 The text is read by Spark once to fill the cells and once to sample; raking works on the table of
 cells alone. Only that table is broadcast, and only while it has at most ``BROADCAST_CELLS`` rows.
@@ -22,6 +23,7 @@ from .scratch import Scratch
 
 DIMENSIONS = ("source", "lang", "topic")
 TOPIC_BITS, TEMPER, TURNS, CLOSE = 3, 0.7, 20, 1e-5
+BUDGET = 0.4
 BROADCAST_CELLS = 100_000
 GRAIN = 1 << 40
 
@@ -46,40 +48,71 @@ def _topics(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(np.concatenate(found) if found else np.zeros((0, 2), np.int64), columns=["topic", "n_tokens"])
 
 
-def rake(cells: DataFrame, targets: dict[str, dict] | None, scratch: Scratch) -> DataFrame:
-    """``cells(source, lang, topic, w)`` with ``ratio``: by how much each cell's weight must change.
+def fill(shares: DataFrame, budget: float) -> dict[str, float]:
+    """Scale ``l`` of each dimension of ``shares(d, g, have)`` at which min(have, l * g) sums to the budget.
+
+    A value that cannot fill its share is kept whole and the others take what it leaves. Each round
+    keeps more values whole, so the scale grows until no further value is exhausted.
+    """
+    scale: dict[str, float] = {}
+    while True:
+        at = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in scale.items() for x in kv)), F.col("d")), F.lit(0.0)) if scale else F.lit(0.0)
+        whole = at * F.col("g") >= F.col("have")
+        found = shares.filter("g > 0 and have > 0").groupBy("d").agg(F.sum(F.when(whole, F.col("have")).otherwise(0.0)).alias("kept"), F.sum(F.when(whole, 0.0).otherwise(F.col("g"))).alias("left")).collect()
+        new = {r["d"]: max(scale.get(r["d"], 0.0), (budget - r["kept"]) / r["left"] if r["left"] > 0 else 0.0) for r in found}
+        if all(v <= scale.get(d, 0.0) * (1 + 1e-12) for d, v in new.items()):
+            return scale
+        scale = new
+
+
+def rake(cells: DataFrame, targets: dict[str, dict] | None, scratch: Scratch, budget: float = BUDGET) -> DataFrame:
+    """``cells(source, lang, topic, w)`` with ``probability``: the part of each cell's weight to keep.
 
     Targets are shares per value of a dimension; a value without one gets none. A dimension without
-    targets aims at its present shares to the power ``TEMPER``, made to sum to one.
+    targets aims at its present shares to the power ``TEMPER``. The kept weight is ``budget`` times
+    the whole, or all that the targets admit if this is less. No cell gives more than it has: a factor
+    acts on the weight ``z`` before it is clipped, and is solved for what the clipped cells leave.
     """
     total = cells.agg(F.sum("w")).first()[0] or 0
-    now = cells.withColumn("x", F.col("w").cast("double"))
+    now = cells
     for d in DIMENSIONS:
-        has = cells.groupBy(d).agg(F.sum("w").cast("double").alias("s"))
         if targets and d in targets:
             names, shares = list(targets[d]), [float(v) for v in targets[d].values()]
-            given = F.coalesce(F.element_at(F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*map(F.lit, shares))), F.col(d)), F.lit(0.0))
-            share = has.select(F.col(d).alias("v"), given.alias("g"))
+            now = now.withColumn(f"g_{d}", F.coalesce(F.element_at(F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*map(F.lit, shares))), F.col(d)), F.lit(0.0)))
         else:
-            share = has.select(F.col(d).alias("v"), F.pow(F.col("s"), F.lit(TEMPER)).alias("g"))
-        whole = share.agg(F.sum("g").alias("all"))
-        share = share.crossJoin(F.broadcast(whole)).select("v", F.coalesce(F.try_divide("g", "all") * F.lit(float(total)), F.lit(0.0)).alias(f"t_{d}"))
-        now = now.join(share, now[d].eqNullSafe(share["v"]), "left").drop("v")
-    now = scratch.save(now)
+            share = cells.groupBy(F.col(d).alias("v")).agg(F.pow(F.sum("w").cast("double"), F.lit(TEMPER)).alias(f"g_{d}"))
+            now = now.join(share, now[d].eqNullSafe(share["v"]), "left").drop("v")
+    open_ = F.lit(True)
+    for d in DIMENSIONS:
+        open_ = open_ & (F.col(f"g_{d}") > 0)
+    now = scratch.save(now.withColumn("cap", F.when(open_, F.col("w").cast("double")).otherwise(0.0)))
+    goal = min(budget * total, now.agg(F.sum("cap")).first()[0] or 0.0)
+    shares = None
+    for d in DIMENSIONS:
+        part = now.groupBy(F.col(d)).agg(F.lit(d).alias("d"), F.first(f"g_{d}").alias("g"), F.sum("cap").alias("have")).select("d", "g", "have")
+        shares = part if shares is None else shares.unionByName(part)
+    scale = fill(scratch.save(shares), goal)
+    for d in DIMENSIONS:
+        have = now.groupBy(F.col(d).alias("v")).agg(F.sum("cap").alias("have"))
+        now = now.join(have, now[d].eqNullSafe(have["v"]), "left").drop("v").withColumn(f"t_{d}", F.least("have", F.col(f"g_{d}") * F.lit(scale.get(d, 0.0)))).drop("have")
+    now = scratch.save(now.withColumn("z", F.col("cap")))
+    kept = lambda z: F.least("cap", F.col(z))
     for _ in range(TURNS):
-        new = now.withColumn("y", F.col("x"))
+        new = now.withColumn("y", F.col("z"))
         for d in DIMENSIONS:
-            sums = new.groupBy(F.col(d).alias("v")).agg(F.sum("x").alias("s"))
+            free = F.col("z") < F.col("cap")
+            sums = new.groupBy(F.col(d).alias("v")).agg(F.sum(kept("z")).alias("s"), F.sum(F.when(free, 0.0).otherwise(F.col("cap"))).alias("full"), F.sum(F.when(free, F.col("z")).otherwise(0.0)).alias("some"))
             met = new.join(sums, new[d].eqNullSafe(sums["v"]), "left").drop("v")
-            new = met.withColumn("x", F.when(F.col("s") > 0, F.col("x") * F.col(f"t_{d}") / F.col("s")).otherwise(0.0)).drop("s")
+            grow = F.when(F.col("some") > 0, (F.col(f"t_{d}") - F.col("full")) / F.col("some")).otherwise(1.0)
+            new = met.withColumn("z", F.when(F.col("s") <= 0, 0.0).when(F.col(f"t_{d}") >= F.col("s"), F.col("z") * grow).otherwise(F.col("z") * F.col(f"t_{d}") / F.col("s"))).drop("s", "full", "some")
         new = scratch.save(new)
-        moved = new.agg(F.sum(F.abs(F.col("x") - F.col("y")))).first()[0] or 0
+        moved = new.agg(F.sum(F.abs(kept("z") - kept("y")))).first()[0] or 0
         scratch.drop(now)
         now = new.drop("y")
         now._scratch_path = new._scratch_path
         if moved <= CLOSE * total:
             break
-    return now.select(*DIMENSIONS, "w", F.when(F.col("w") > 0, F.col("x") / F.col("w")).otherwise(0.0).alias("ratio"))
+    return now.select(*DIMENSIONS, "w", F.when(F.col("w") > 0, kept("z") / F.col("w")).otherwise(0.0).alias("probability"))
 
 
 def draw(seed: int = 0) -> Column:
@@ -87,11 +120,12 @@ def draw(seed: int = 0) -> Column:
     return F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.lit(seed)), F.lit(GRAIN)) / F.lit(float(GRAIN))
 
 
-def mix(docs: DataFrame, targets: dict[str, dict] | None = None, seed: int = 0, carry: list[str] | None = None) -> DataFrame:
+def mix(docs: DataFrame, targets: dict[str, dict] | None = None, seed: int = 0, carry: list[str] | None = None, budget: float = BUDGET) -> DataFrame:
     """Every row of ``docs(doc_id, text, source, lang, ...)`` as ``row``, with topic, n_tokens, probability, sampled.
 
-    The cell whose weight must grow most is kept whole (probability 1) and the others in proportion,
-    so the expected tokens have exactly the raked shares.
+    The expected tokens of the sample are ``budget`` times those of all rows and have the raked shares;
+    cells whose share is more than they hold are kept whole (probability 1), and the others make up
+    for what these lack.
 
     * A null source or language is a value like any other. Null or empty text: topic 0, no tokens; such
       a row's cell may have no tokens at all, then its probability is 0.
@@ -105,10 +139,9 @@ def mix(docs: DataFrame, targets: dict[str, dict] | None = None, seed: int = 0,
     if carry and "text" not in carry:
         told = scratch.save(told)
     cells = scratch.save(told.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("w")))
-    raked = scratch.save(rake(cells, targets, scratch))
-    most = raked.agg(F.max("ratio").alias("m"), F.count("*").alias("n")).first()
-    chance = raked.select(*(F.col(d).alias(f"c_{d}") for d in DIMENSIONS), F.round(F.col("ratio") / F.lit(float(most["m"] or 1.0)), 9).alias("probability"))
-    if most["n"] <= BROADCAST_CELLS:
+    raked = scratch.save(rake(cells, targets, scratch, budget))
+    chance = raked.select(*(F.col(d).alias(f"c_{d}") for d in DIMENSIONS), F.round("probability", 9).alias("probability"))
+    if raked.count() <= BROADCAST_CELLS:
         chance = F.broadcast(chance)
     same = [told[d].eqNullSafe(F.col(f"c_{d}")) for d in DIMENSIONS]
     return told.join(chance, same, "left").select("row", "source", "lang", "topic", "n_tokens", "probability", (F.col("u") < F.col("probability")).alias("sampled"))
