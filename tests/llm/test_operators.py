@@ -157,6 +157,17 @@ def test_quality_on_small_tables(spark):
     assert quality.quality(d.limit(0), ["doc_id"]).count() == 0
 
 
+def test_every_language_has_bands_or_no_perplexity(spark):
+    g = random.Random(8)
+    text = lambda letters: " ".join("".join(g.choice(letters) for _ in range(g.randint(2, 7))) for _ in range(60))
+    rows = [(i, text("abcdef"), "en", "s", 0) for i in range(150)] + [(i, text("uvwxyz"), "xx", "s", 0) for i in range(150, 180)] + [(180, text("abcdef"), "xx", "s", 0)]
+    rows += [(i, text("##$$ab"), None, "s", 0) for i in range(200, 212)] + [(i, text("mnopqr"), "r%d" % i, "s", 0) for i in range(300, 303)] + [(303, text("uvwxyz"), "en", "s", 0)]
+    out = quality.quality(spark.createDataFrame(rows, DOCS), ["doc_id"]).select("row.doc_id", "base_failed", "kept", "log_perplexity", "lang_group").toPandas().set_index("doc_id")
+    assert not out.base_failed.any() and out.kept.loc[:179].mean() > 0.98 and not out.kept[180] and not out.kept[303]
+    assert out.log_perplexity.loc[200:211].isna().all() and not out.kept.loc[200:211].any()
+    assert out.lang_group.loc[[0, 150, 200, 300, 302]].tolist() == [0, 1, 2, 3, 3] and out.log_perplexity.loc[300:302].notna().all()
+
+
 def test_mixing_meets_targets(spark):
     g = random.Random(5)
     rows = [(i, " ".join(f"t{g.randint(0, 400)}" for _ in range(30)), g.choice(["en", "de", None]), g.choice(["a", "a", "a", "b", "c"]), 0) for i in range(600)]

@@ -23,6 +23,7 @@ from . import ragged
 from .scratch import Scratch
 
 LANGUAGES = ("de", "en", "es", "fr")
+MOST_GROUPS, LEAST_ROWS, HELD = 24, 10, 12
 SYMBOLS, ORDER = 40, 4
 SPREADS, LEAST_BELOW, LEAST_ABOVE, SURPRISE, STEP = 6.0, 0.15, 0.7, 4.0, 0.005
 MOST_SYMBOLS, MOST_CAPITALS = 0.02, 0.3
@@ -109,28 +110,43 @@ def sequences(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return key[at], begin
 
 
-def groups(col: pa.Array) -> np.ndarray:
-    """The number of each row's language group; the last is for all other values and null."""
-    place = {x: i for i, x in enumerate(LANGUAGES)}
-    return np.array([place.get(x, len(LANGUAGES)) for x in col.to_pylist()], np.int64)
+def groups(col: pa.Array, names: tuple[str | None, ...] = LANGUAGES) -> np.ndarray:
+    """The number of each row's language group; the last is for all values not in ``names``."""
+    place = {x: i for i, x in enumerate(names)}
+    return np.array([place.get(x, len(names)) for x in col.to_pylist()], np.int64)
 
 
-def count_sequences(docs: DataFrame) -> DataFrame:
+def languages(docs: DataFrame) -> tuple[str | None, ...]:
+    """The values of ``lang``, null among them, that have a model of their own; all others are pooled.
+
+    They are the ``MOST_GROUPS`` most frequent ones with at least ``LEAST_ROWS`` rows, in order, null last.
+    """
+    found = docs.groupBy("lang").agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST_ROWS).orderBy(F.desc("n"), "lang").limit(MOST_GROUPS).collect()
+    return tuple(sorted((r["lang"] for r in found), key=lambda x: (x is None, x or "")))
+
+
+def count_sequences(docs: DataFrame, names: tuple[str | None, ...] = LANGUAGES) -> DataFrame:
     """(key, n): how often each sequence occurs in each language group, over all documents."""
 
+    def flush(held: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for g, n in held.items():
+            has = np.flatnonzero(n)
+            for a in range(0, len(has), 1 << 17):
+                yield pa.RecordBatch.from_arrays([pa.array(has[a : a + (1 << 17)] + g * SYMBOLS**ORDER), pa.array(n[has[a : a + (1 << 17)]])], ["key", "n"])
+        held.clear()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
         for batch in batches:
             for part in ragged.slices(batch, "text"):
                 key, begin = sequences(part.column("text"))
-                group = np.repeat(np.where(prose(text_counts(part.column("text"))), groups(part.column("lang")), -1), np.diff(begin))
+                group = np.repeat(np.where(prose(text_counts(part.column("text"))), groups(part.column("lang"), names), -1), np.diff(begin))
                 for g in set(np.unique(group).tolist()) - {-1}:
+                    if g not in held and len(held) == HELD:
+                        yield from flush(held)
                     held.setdefault(g, np.zeros(SYMBOLS**ORDER, np.int64))
                     held[g] += np.bincount(key[group == g], minlength=SYMBOLS**ORDER)
-        for g, n in held.items():
-            has = np.flatnonzero(n)
-            for a in range(0, len(has), 1 << 17):
-                yield pa.RecordBatch.from_arrays([pa.array(has[a : a + (1 << 17)] + g * SYMBOLS**ORDER), pa.array(n[has[a : a + (1 << 17)]])], ["key", "n"])
+        yield from flush(held)
 
     return docs.select("lang", "text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
@@ -174,24 +190,26 @@ class KneserNey:
         return np.log(p).astype(np.float32)
 
 
-def score(docs: DataFrame, model: KneserNey) -> DataFrame:
-    """Counts, language group and mean log probability (null under one sequence) of every row."""
+def score(docs: DataFrame, model: KneserNey, names: tuple[str | None, ...] = LANGUAGES) -> DataFrame:
+    """Counts, language group and mean log probability (null under one sequence or without a model) of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables: dict[int, np.ndarray] = {}
         for batch in batches:
             for part in ragged.slices(batch, "text"):
-                counts, (key, begin), group = text_counts(part.column("text")), sequences(part.column("text")), groups(part.column("lang"))
+                counts, (key, begin), group = text_counts(part.column("text")), sequences(part.column("text")), groups(part.column("lang"), names)
                 many, total = np.diff(begin), np.zeros(part.num_rows)
                 for g in np.unique(group).tolist():
                     if g in shared.value.tables and g not in tables:
+                        if len(tables) == HELD:
+                            del tables[next(iter(tables))]
                         tables[g] = shared.value.unfold(g)
                     rows = np.flatnonzero((group == g) & (many > 0))
                     if g in tables and len(rows):
                         at = np.repeat(group, many) == g
                         total[rows] = np.add.reduceat(tables[g][key[at]], np.append(0, np.cumsum(many[rows])[:-1]), dtype=np.float64)
-                mean = pa.array(total / np.maximum(many, 1), mask=many == 0)
+                mean = pa.array(total / np.maximum(many, 1), mask=(many == 0) | ~np.isin(group, list(shared.value.tables)))
                 yield pa.RecordBatch.from_arrays([part.column("row"), *(pa.array(counts[c], pa.int64()) for c in STATS), pa.array(failed(counts)), pa.array(group), pa.array(many), mean], ["row", *STATS, "base_failed", "lang_group", "n_scored", "mean_log_p"])
 
     return docs.select("row", "lang", "text").mapInArrow(run, f"row {docs.schema['row'].dataType.simpleString()}, {', '.join(f'{c} long' for c in STATS)}, base_failed boolean, lang_group long, n_scored long, mean_log_p double")
@@ -224,20 +242,24 @@ def quality(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
     the text. ``kept``: not failed, and the perplexity lies within its language group's bands.
 
     * Null or empty text: all counts 0, failed. A text of under four bytes has no perplexity.
-    * Null and unknown languages form one group of their own.
+    * Groups are the values of ``lang`` found in the rows (see ``languages``), null being one; values
+      with few rows are pooled in the last group.
+    * A group of which no document reads like prose has no model: its documents have no perplexity
+      and are not kept.
     * Repeated rows are judged each. The other columns come back inside ``row``, whatever
       their names; ``carry`` names those wanted.
     * An empty table gives an empty result. Texts are read whole; nothing is sampled.
     """
     body = docs.select(F.struct(*(carry or docs.columns)).alias("row"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    counted = count_sequences(body).toArrow()
+    names = languages(body)
+    counted = count_sequences(body, names).toArrow()
     model = KneserNey(counted.column("key").to_numpy(), counted.column("n").to_numpy())
-    scored = score(body, model)
+    scored = score(body, model, names)
     if carry and "text" not in carry:
         scored = Scratch(docs.sparkSession, "quality").save(scored)
         limits = bands(scored)
     else:  # scored a second time rather than written with its texts
-        limits = bands(score(body.select(F.struct(F.lit(0)).alias("row"), "lang", "text"), model))
+        limits = bands(score(body.select(F.struct(F.lit(0)).alias("row"), "lang", "text"), model, names))
     return _judge(scored, limits)
 
 
