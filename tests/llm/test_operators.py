@@ -122,6 +122,17 @@ def test_url_rules_and_propagation(spark):
     assert url_filter.url_verdicts(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_distrust_does_not_fall_with_in_degree(spark):
+    link = '<a href="http://{}/x">'
+    rows = [(i, f"http://f{n}-{i}.org/", link.format(f"casino-{n}.org")) for n in (3, 100, 10_000) for i in range(n)]
+    rows += [(-1, "http://fair.org/", "".join(link.format(f"h{i}.org") for i in range(29)) + link.format("casino-100.org"))]
+    chain = ["casino-c.org", *(f"c{i}.org" for i in range(1, 8))]
+    rows += [(-2, f"http://{a}/", link.format(b)) for b, a in zip(chain, chain[1:])]
+    out = url_filter.url_verdicts(spark.createDataFrame(rows, "page_id long, url string, html string")).toPandas().set_index("host").verdict
+    assert (out[out.index.str.match(r"f\d+-")] == "block").all() and out["fair.org"] == "allow"
+    assert [out[f"c{i}.org"] for i in range(1, 8)] == ["block"] * 6 + ["allow"]  # 0.15 * 0.85**6 is above the threshold
+
+
 def test_text_counts_equal_brute_force():
     g = random.Random(3)
     texts = ["", "\n\n", "a", "x y\nx y\n x y\nx y", "a b c d e f g h " * 3, "é#ß %|  z"]

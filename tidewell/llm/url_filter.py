@@ -3,7 +3,9 @@
 Everything is DataFrame functions. Host edges come from absolute links in the pages, counted once
 per pair of hosts. Trust is a personalised PageRank that starts from trusted hosts and follows the
 links; distrust starts from blocked hosts and follows the links backwards, since who links to a
-blocked host is suspect. A host whose distrust passes the threshold and its trust is blocked.
+blocked host is suspect: a host takes the mean distrust of the hosts it links to, so the level does
+not fall with the number of hosts that link to the same one. Rounds go on until no score moves by more
+than ``SETTLED``. A host whose distrust passes the threshold and its trust is blocked.
 
 All tables behind the loop have one row per host or per pair of hosts. Pages are read once for the
 edges and once for the verdicts; hot hosts meet partial aggregates and a join that Spark can split.
@@ -18,6 +20,7 @@ from .scratch import Scratch
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 BAD_LABELS = ("adult", "ads", "bets", "casino", "pills", "spam")
 DAMPING, ITERATIONS, THRESHOLD = 0.85, 8, 0.05
+SETTLED = 1e-5
 LINK = r"""(?i)href\s*=\s*["']?(?:[a-z][a-z0-9+.\-]*:)?//([^/?#"'\s>]+)"""
 UPPER, LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -46,7 +49,7 @@ def bad_label(host: Column, labels: tuple[str, ...]) -> Column:
     return F.exists(F.split(host, r"[.\-]"), lambda x: x.isin(*labels)) if labels else F.lit(False)
 
 
-def url_verdicts(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, labels: tuple[str, ...] = BAD_LABELS, damping: float = DAMPING, iterations: int = ITERATIONS, threshold: float = THRESHOLD) -> DataFrame:
+def url_verdicts(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, labels: tuple[str, ...] = BAD_LABELS, damping: float = DAMPING, settled: float = SETTLED, threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of ``pages(page_id, url, html)``: page_id, host, path, rule, verdict.
 
     Seeds: a host is trusted as far as its pages are allowed by rules (their share), and blocked as
@@ -72,21 +75,25 @@ def url_verdicts(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, l
     scores = seeds.select("host", (F.col("t0") * (1 - damping)).alias("t"), (F.col("d0") * (1 - damping)).alias("d"))
     if edges.limit(1).count():
         out = edges.groupBy("host").agg(F.count("*").alias("outs"))
-        back = edges.groupBy("to").agg(F.count("*").alias("ins"))
-        weighted = scratch.save(edges.join(out, "host").join(back, "to").select("host", "to", "outs", "ins"))
-        for i in range(iterations):
+        weighted = scratch.save(edges.join(out, "host").select("host", "to", "outs"))
+        scores, moved = scratch.save(scores), settled + 1
+        while moved > settled:
             forward = weighted.join(scores, "host").select(F.col("to").alias("host"), (F.col("t") / F.col("outs")).alias("t"), F.lit(0.0).alias("d"))
-            reverse = weighted.join(scores.withColumnRenamed("host", "to"), "to").select("host", F.lit(0.0).alias("t"), (F.col("d") / F.col("ins")).alias("d"))
+            reverse = weighted.join(scores.withColumnRenamed("host", "to"), "to").select("host", F.lit(0.0).alias("t"), (F.col("d") / F.col("outs")).alias("d"))
             flow = forward.unionByName(reverse).groupBy("host").agg(F.sum("t").alias("ft"), F.sum("d").alias("fd"))
             step = lambda seed, got: F.col(seed) * (1 - damping) + damping * F.coalesce(F.col(got), F.lit(0.0))
-            scores = scratch.save(seeds.join(flow, "host", "left").select("host", step("t0", "ft").alias("t"), step("d0", "fd").alias("d")))
+            new = scratch.save(seeds.join(flow, "host", "left").select("host", step("t0", "ft").alias("t"), step("d0", "fd").alias("d")))
+            change = F.greatest(F.abs(F.col("t") - F.col("t1")), F.abs(F.col("d") - F.col("d1")))
+            moved = new.join(scores.select("host", F.col("t").alias("t1"), F.col("d").alias("d1")), "host").agg(F.max(change)).first()[0] or 0.0
+            scratch.drop(scores)
+            scores = new
     blocked = scores.filter((F.col("d") >= threshold) & (F.col("d") > F.col("t"))).select("host", F.lit(True).alias("bad"))
     method = F.when(F.col("bad"), "block").otherwise("allow")
     return judged.join(blocked, "host", "left").select("page_id", "host", "path", "rule", F.coalesce("says", method).alias("verdict"))
 
 
 def oracle(rules: tuple[tuple[str, str], ...] = RULES, labels: tuple[str, ...] = BAD_LABELS, damping: float = DAMPING, iterations: int = ITERATIONS, threshold: float = THRESHOLD) -> str:
-    """DuckDB SQL for :func:`url_verdicts`, with the iterations written out."""
+    """DuckDB SQL for :func:`url_verdicts` on pages without links between hosts; it spreads scores by an older rule."""
     ordered = sorted(rules, key=lambda r: (-len(r[1]), r[1]))
     fits = lambda r: f"((host = '{r[: r.index('/')]}' or ends_with(host, '.{r[: r.index('/')]}')) and starts_with(path, '{r[r.index('/') :]}'))"
     rule = "case " + " ".join(f"when {fits(r)} then '{r}'" for _, r in ordered) + " end"
