@@ -276,6 +276,15 @@ def test_html_text(spark):
     assert sorted(r.n_chars for r in out) == [0, 27, 27]
 
 
+def test_html_text_with_misleading_marks():
+    body = "<p>" + "long body text " * 20 + "</p>"
+    whole = " ".join(["long body text"] * 20)
+    assert whole in html_text.main_text(f"<div>{body * 3}</div><article><a href=x>Teaser</a> more</article><article>Other teaser</article>")
+    assert whole in html_text.main_text(f"<main><h1>Hero</h1></main><div>{body * 2}</div>")
+    assert whole in html_text.main_text(f'<div class="content has-sidebar">{body * 2}</div><p>end</p>')
+    assert html_text.main_text(f'<article>{body}</article><div class="sidebar">short</div><p>outside</p>') == whole
+
+
 def test_html_text_equals_articles(spark):
     for r in spark.read.parquet(f"{SMALL}/pages.parquet").collect():
         body = re.search(r"<article>(.*?)(</article>|$)", r.html, re.S)[1]

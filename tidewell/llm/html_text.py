@@ -5,7 +5,9 @@ decoded and white space collapsed. Elements that never hold an article (menus, p
 sidebars, notices, adverts, forms, comments, scripts) weigh nothing and leave gaps. A line weighs its
 characters outside links. Weights are summed over windows of three lines; the text surges at the
 first window above the threshold and dives after the last, and all lines between are kept. Where the
-page marks its article, only lines in it can surge, and any of them does.
+lines that the page marks as its article hold most of the weight, only they can surge, and any of them
+does; where they hold less, the marks are misleading (teasers, comments) and all lines count alike.
+Elements named like a menu or an advert weigh again if they hold most of the page's weight.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ MARK = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]
 WORD = re.compile(r"[^a-z0-9]+")
 
 
-def lines_of(page: str) -> list[tuple[str, int, bool]]:
+def lines_of(page: str, signs: bool = True) -> list[tuple[str, int, bool]]:
     """(text, weight, in an article) of each block of a page that is not left out."""
     out: list[tuple[str, int, bool]] = []
     parts: list[str] = []
@@ -78,7 +80,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
             link = 0 if ends else 1
         elif name in SCOPE:
             scope = max(0, scope - 1) if ends else scope + 1
-        elif not ends and name not in VOID and (name in GONE or name == "header" and not scope or name not in NEVER_SIGNED and _signed(attributes)):
+        elif not ends and name not in VOID and (name in GONE or name == "header" and not scope or signs and name not in NEVER_SIGNED and _signed(attributes)):
             close()
             gone, depth = name, 1
     close()
@@ -98,7 +100,12 @@ def _signed(attributes: str) -> bool:
 def main_text(page: str | None) -> str:
     """The kept lines of a page, joined by newlines; empty if there are none."""
     lines = lines_of(page or "")
-    if any(inside for _, _, inside in lines):
+    total = sum(n for _, n, _ in lines)
+    every = lines_of(page or "", False)
+    if sum(n for _, n, _ in every) > 2 * total and sum(n for _, n, _ in every) >= THRESHOLD:
+        lines, total = every, sum(n for _, n, _ in every)
+    marked = sum(n for _, n, inside in lines if inside)
+    if any(inside for _, _, inside in lines) and 2 * marked >= total:
         weight = np.array([n + THRESHOLD if inside else 0 for _, n, inside in lines])
         open_ = [inside for _, _, inside in lines]
     else:
