@@ -265,24 +265,81 @@ def test_media_digests(spark):
     assert out[0].feature == out[1].feature and out[2].media_sha256 == out[3].media_sha256
 
 
+def line_blocks(weight):
+    """Surge and dive line by line: the start and end of each block."""
+    out, start, run = [], None, []
+    for i in range(len(weight) + 1):
+        window = sum(weight[i : i + 3]) if i < len(weight) else 0
+        if window > 0:
+            run.append(i)
+            if start is None and window >= 86:
+                start = i
+        else:
+            if start is not None:
+                out.append((start, i))
+            start, run = None, []
+    return out
+
+
+def test_line_blocks_equal_brute_force():
+    g = np.random.default_rng(3)
+    for _ in range(300):
+        w = g.choice([0, 0, 0, 5, 30, 90, 400], g.integers(0, 40)).astype(float)
+        want = line_blocks(w.tolist())
+        got = html_text.blocks_of(w)
+        assert got == want if want else len(got) <= 1 and (got or not w.any())
+
+
 def test_html_text(spark):
-    page = '<html><head><title>no</title><style>p{}</style></head><body><nav><a href="/">menu</a></nav><div class="cookie-notice">no</div><article><header><h1>A &amp; B</h1></header><p>One <b>bo</b>ld&nbsp; x<br>two</p><aside>no</aside><form>no</form><p>Short.</p><script>"</p>no"</script></article><section id="comments"><p>no</p></section><footer>no</footer>'
+    page = '<html><head><title>no</title><style>p{}</style></head><body><nav><a href="/">menu</a></nav><div class="cookies">no</div><article><header><h1>A &amp; B</h1></header><p>One <b>bo</b>ld&nbsp; x<br>two</p><aside>no</aside><form>no</form><p>Short.</p><script>"</p>no"</script></article><section id="comments"><p>no</p></section><footer>no</footer>'
     assert html_text.main_text(page) == "A & B\nOne bold x\ntwo\nShort."
     plain = "<div>Home</div><div><a href=x>Menu entry</a></div>" + "<p>" + "long text " * 20 + "</p><p>end</p>"
     assert html_text.main_text(plain).endswith("text\nend") and html_text.main_text("<p>x") == "x"
-    assert html_text.main_text("<!-- open <p>x</p>") == "" == html_text.main_text(None)
-    rows = [(1, "u", page, 3), (None, None, None, 3), (1, "u", page, 3)]
-    out = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text long")).collect()
-    assert sorted(r.n_chars for r in out) == [0, 27, 27]
+    assert html_text.main_text("<!-- open <p>x</p>") == "" == html_text.main_text(None) == html_text.main_text("")
+    pages = "page_id long, url string, html string, text long, n_chars string"
+    rows = [(1, "u", page, 3, "c"), (None, None, None, 3, "c"), (1, "u", page, 3, "c")]
+    out = html_text.extract(spark.createDataFrame(rows, pages)).collect()
+    assert sorted(r.n_chars for r in out) == [0, 27, 27] and len(out[0]) == 4
+    assert html_text.extract(spark.createDataFrame([], pages)).count() == 0
+
+
+BODY = "<p>" + "long body text " * 20 + "</p>"
+WHOLE = " ".join(["long body text"] * 20)
 
 
 def test_html_text_with_misleading_marks():
-    body = "<p>" + "long body text " * 20 + "</p>"
-    whole = " ".join(["long body text"] * 20)
-    assert whole in html_text.main_text(f"<div>{body * 3}</div><article><a href=x>Teaser</a> more</article><article>Other teaser</article>")
-    assert whole in html_text.main_text(f"<main><h1>Hero</h1></main><div>{body * 2}</div>")
-    assert whole in html_text.main_text(f'<div class="content has-sidebar">{body * 2}</div><p>end</p>')
-    assert html_text.main_text(f'<article>{body}</article><div class="sidebar">short</div><p>outside</p>') == whole
+    assert WHOLE in html_text.main_text(f"<div>{BODY * 3}</div><article><a href=x>Teaser</a> more</article><article>Other teaser</article>")
+    assert WHOLE in html_text.main_text(f"<main><h1>Hero</h1></main><div>{BODY * 2}</div>")
+    assert html_text.main_text(f'<article>{BODY}</article><div class="sidebar">short</div><p>outside</p>') == WHOLE
+
+
+@pytest.mark.parametrize("mark", ['class="content has-sidebar"', 'class="ad-free"', 'class="search-results"', 'id="post" data-class="menu"'])
+def test_html_text_keeps_bodies_of_suspect_names(mark):
+    assert html_text.main_text(f"<div {mark}>{BODY * 2}</div><div>end</div>").startswith(f"{WHOLE}\n{WHOLE}")
+    assert html_text.main_text(f"<section {mark}><article>{BODY}</article></section>") == WHOLE
+
+
+def test_html_text_blocks_without_an_article():
+    notice = "<div><p>" + "All rights reserved. " * 5 + "</p></div>"
+    page = f"<div><ul><li>Home</li><li>News</li></ul></div><div><h1>Title</h1><p>Short.</p>{BODY * 3}<p>The end.</p></div>" + "<div></div>" + "<div>" + notice * 2 + "<p>Tel. 1</p></div>"
+    assert html_text.main_text(page) == "\n".join(["Title", "Short.", WHOLE, WHOLE, WHOLE, "The end."])
+    two = f"<div>{BODY * 2}</div><div></div><ul><li><a href=x>{'linked ' * 30}</a></li></ul><div></div><div>{BODY}<p>more</p></div>"
+    assert html_text.main_text(two) == "\n".join([WHOLE] * 3 + ["more"])
+
+
+def test_html_text_differs_from_all_article_lines():
+    """Density decides inside an article too: a run of links at its end is no text of it."""
+    links = "".join(f"<p><a href=/{i}>Read this other story {i}</a></p>" for i in range(5))
+    assert html_text.main_text(f"<article><h1>T</h1>{BODY}<p>Short.</p>{links}</article>").split("\n")[:3] == ["T", WHOLE, "Short."]
+    assert "story 4" not in html_text.main_text(f"<article><h1>T</h1>{BODY}<p>Short.</p>{links}</article>")
+    assert html_text.main_text(f"<article>{BODY}</article><div><p>{'An offer that nobody asked for. ' * 4}</p></div>") == WHOLE
+
+
+def test_html_text_parses_odd_tags():
+    assert html_text.main_text("<p it's>one two</p><p it's>three</p>") == "one two\nthree"
+    assert html_text.main_text("<p title='a>b' x=\"c>d\">one</p><p title=>two</p>") == "one\ntwo"
+    assert html_text.main_text("<div>" * 3000 + BODY) == WHOLE
+    assert html_text.main_text(f"<article>{BODY * 4000}</article>").count("\n") == 3999
 
 
 def test_html_text_equals_articles(spark):
