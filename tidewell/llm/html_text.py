@@ -9,7 +9,7 @@ A line weighs its characters outside links. Marks are weights among others: a li
 ``<main>`` and a heading weigh 30 more, one in an element whose class merely contains a suspicious word (``ad-free``)
 a quarter. Weights are summed over a window of three lines from each line on; text surges where the sum
 reaches 86 and dives where it falls to zero, and the lines between are a block. Of all blocks, those of
-the heaviest one's own article are kept, and those that weigh at least a fifth of it. Where the text
+the heaviest one's own article are kept, and those that weigh at least a quarter of it. Where the text
 never surges, the heaviest run of lines counts as the only block.
 """
 
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 
 SCHEMA = "page_id long, url string, text string, n_chars long"
 WINDOW, THRESHOLD = 3, 86
-BONUS, SCOPED, SUSPECT, SHARE = 30, 4, 0.25, 0.2
+BONUS, SCOPED, SUSPECT, SHARE = 30, 4, 0.25, 0.25
 SCOPE = {"article", "main"}
 RAW = {"script", "style", "title", "textarea", "noscript", "iframe", "xmp", "noembed", "noframes"}
 GONE = {"nav", "footer", "aside", "form", "template", "svg", "math", "canvas", "object", "select", "button", "dialog", "menu", "head", "audio", "video"}
