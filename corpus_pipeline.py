@@ -44,7 +44,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents sampled to tempered shares of source, language and topic."""
-    return _rows(mix(docs).filter("sampled"), docs)
+    return _rows(mix(docs, vocabulary=public_tokenizers.path("word_bpe_49k.json")).filter("sampled"), docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

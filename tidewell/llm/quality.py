@@ -1,14 +1,19 @@
 """Quality rules: counts per text, and bands on the perplexity of a Kneser-Ney model per language.
 
-The model predicts symbols: the bytes of a text mapped to 40 classes, four at a time. Spark counts
-the four-symbol sequences of all documents that read like prose (they pass the counts below, at most
-2 % of the characters in words are of ``#*$%&|<>``, at most 30 % capitals), so that the model does not
-learn junk: each task adds up its own and ships one row per sequence it met. At most 40**4 sequences per language group can exist, which bounds all that is gathered; what
-is gathered grows with the number of tasks, so with the input. Modified Kneser-Ney estimates (three
-discounts per order) are stored as sorted arrays of packed sequences with their log probabilities;
-a worker unfolds the language that it needs. Each group then gets a lower and an upper band around
-the median of its documents' perplexity; documents outside are rejected. The band of a document is
-wider by ``SURPRISE / sqrt(symbols)``, as the mean over a short text strays further.
+The model predicts bytes from the five before them, so every script keeps its letters. Spark counts the
+six-byte sequences of all documents; those that read like prose (they pass the counts below, at most 2 %
+of the characters in words are of ``#*$%&|<>``, at most 30 % capitals) teach the model, so that it does
+not learn junk. The tables of counts grow with what the corpus holds and stay in Spark: each level's
+modified Kneser-Ney estimate (three discounts) is a window over the at most 256 continuations of a
+context and a join with the level below.
+
+The result, one log probability per sequence that occurs anywhere, is stored as arrays sorted by hash,
+in which a task looks its sequences up. They are broadcast while they hold at most ``MOST`` sequences;
+beyond that nothing is broadcast, and the documents' distinct sequences join the table.
+
+Each group then gets a lower and an upper band around the median of its documents' perplexity; documents
+outside are rejected. The band of a document is wider by ``SURPRISE / sqrt(bytes)``, as the mean over a
+short text strays further.
 """
 
 from __future__ import annotations
@@ -17,33 +22,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from . import ragged
 from .scratch import Scratch
 
 LANGUAGES = ("de", "en", "es", "fr")
-MOST_GROUPS, LEAST_ROWS, HELD = 24, 10, 12
-SYMBOLS, ORDER = 40, 4
+MOST_GROUPS, LEAST_ROWS = 24, 10
+ORDER, BYTES, GROUP = 6, 256, 48
+HELD = 1 << 22
+MOST = 1 << 23
 SPREADS, LEAST_BELOW, LEAST_ABOVE, SURPRISE, STEP = 6.0, 0.15, 0.7, 4.0, 0.005
 MOST_SYMBOLS, MOST_CAPITALS = 0.02, 0.3
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-
-
-def _classes() -> np.ndarray:
-    """A class for each byte: letters one by one, capitals, digits, blanks and groups of the rest."""
-    out = np.full(256, 39, np.int64)
-    out[97:123] = np.arange(26)
-    out[65:91] = 26
-    out[48:58] = 27
-    out[ragged.SPACE] = 28
-    for i, group in enumerate((b".", b",", b"!?", b"'\"`", b"-_/\\", b"#*$%&|<>", b"()[]{}:;")):
-        out[list(group)] = 29 + i
-    out[0x80:0xC0] = 36 + np.arange(64) % 3
-    return out
-
-
-CLASS = _classes()
 LOOK = np.zeros(256, bool)
 LOOK[list(b"#*$%&|<>")] = True
 
@@ -96,18 +87,19 @@ def prose(counts: dict[str, np.ndarray]) -> np.ndarray:
     return ~failed(counts) & ~odd
 
 
-def sequences(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Packed sequences of four symbols of all texts, and where each text's begin."""
+def sequences(col: pa.Array, group: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The packed sequences of all texts with their row's group, and the row of each, in runs of bounded size."""
     data, offs = ragged.utf8(col)
-    s = CLASS[data]
-    size = np.diff(offs)
-    many = np.maximum(size - (ORDER - 1), 0)
-    key = np.zeros(max(0, len(s) - ORDER + 1), np.int64)
-    for j in range(ORDER):
-        key = key * SYMBOLS + s[j : j + len(key)]
-    begin = np.append(0, np.cumsum(many))
-    at = np.arange(begin[-1]) + np.repeat(offs[:-1] - begin[:-1], many)
-    return key[at], begin
+    for a in range(0, len(data), ragged.CHUNK):
+        part = data[a : a + ragged.CHUNK + ORDER - 1].astype(np.int64)
+        key = np.zeros(max(0, len(part) - ORDER + 1), np.int64)
+        for j in range(ORDER):
+            key = key << 8 | part[j : j + len(key)]
+        cut = np.clip(offs, a, a + len(key))
+        row = np.repeat(np.arange(len(offs) - 1), np.diff(cut))
+        inside = np.arange(a, a + len(key)) + ORDER <= np.repeat(offs[1:], np.diff(cut))
+        row = row[inside]
+        yield key[inside] | group[row] << GROUP, row
 
 
 def groups(col: pa.Array, names: tuple[str | None, ...] = LANGUAGES) -> np.ndarray:
@@ -126,93 +118,166 @@ def languages(docs: DataFrame) -> tuple[str | None, ...]:
 
 
 def count_sequences(docs: DataFrame, names: tuple[str | None, ...] = LANGUAGES) -> DataFrame:
-    """(key, n): how often each sequence occurs in each language group, over all documents."""
+    """(key, n) of every sequence of every group: how often prose has it, 0 where only other documents do."""
 
-    def flush(held: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
-        for g, n in held.items():
-            has = np.flatnonzero(n)
-            for a in range(0, len(has), 1 << 17):
-                yield pa.RecordBatch.from_arrays([pa.array(has[a : a + (1 << 17)] + g * SYMBOLS**ORDER), pa.array(n[has[a : a + (1 << 17)]])], ["key", "n"])
-        held.clear()
+    def merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        key, n = (np.concatenate([h[i] for h in held]) for i in (0, 1))
+        order = np.argsort(key)
+        key, n = key[order], n[order]
+        at = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, int)
+        return key[at], np.add.reduceat(n, at) if len(at) else n
+
+    def rows(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        key, n = merged(held)
+        for a in range(0, len(key), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(key[a : a + (1 << 16)]), pa.array(n[a : a + (1 << 16)])], ["key", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
             for part in ragged.slices(batch, "text"):
-                key, begin = sequences(part.column("text"))
-                group = np.repeat(np.where(prose(text_counts(part.column("text"))), groups(part.column("lang"), names), -1), np.diff(begin))
-                for g in set(np.unique(group).tolist()) - {-1}:
-                    if g not in held and len(held) == HELD:
-                        yield from flush(held)
-                    held.setdefault(g, np.zeros(SYMBOLS**ORDER, np.int64))
-                    held[g] += np.bincount(key[group == g], minlength=SYMBOLS**ORDER)
-        yield from flush(held)
+                learn = prose(text_counts(part.column("text")))
+                for key, row in sequences(part.column("text"), groups(part.column("lang"), names)):
+                    order = np.argsort(key)
+                    key, n = key[order], np.append(0, np.cumsum(learn[row][order].astype(np.int64)))
+                    at = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, int)
+                    held.append((key[at], np.diff(n[np.append(at, len(key))])))
+            if sum(len(k) for k, _ in held) > HELD:
+                held = [merged(held)]
+                if len(held[0][0]) > HELD // 2:
+                    yield from rows(held)
+                    held = []
+        if held:
+            yield from rows(held)
 
     return docs.select("lang", "text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
-class KneserNey:
-    """Modified Kneser-Ney over packed sequences: per group and order, sorted keys and log probabilities."""
-
-    def __init__(self, key: np.ndarray, n: np.ndarray) -> None:
-        order = np.argsort(key)
-        key, n = key[order], n[order]
-        self.tables: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]] = {}
-        for g in np.unique(key // SYMBOLS**ORDER).tolist():
-            mine = key // SYMBOLS**ORDER == g
-            k, c = key[mine] % SYMBOLS**ORDER, n[mine]
-            levels = []
-            for width in range(ORDER, 0, -1):
-                levels.append(self.level(k, c))
-                k, c = np.unique(k % SYMBOLS ** (width - 1), return_counts=True)
-            self.tables[g] = levels
-
-    @staticmethod
-    def level(k: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Sorted sequences with their discounted share; their contexts with what is left to share."""
-        n1, n2, n3, n4 = (float((c == i).sum()) for i in (1, 2, 3, 4))
-        y = n1 / (n1 + 2 * n2) if n1 + n2 else 0.5
-        less = [0.0, *(min(max(i - (i + 1) * y * b / a, 0.1), i - 0.1) if a and b else 0.5 for i, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4)))]
-        cut = np.array(less)[np.minimum(c, 3)]
-        context, where = np.unique(k // SYMBOLS, return_inverse=True)
-        total = np.bincount(where, weights=c)
-        return k, ((c - cut) / total[where]).astype(np.float32), context, (np.bincount(where, weights=cut) / total).astype(np.float32)
-
-    def unfold(self, g: int) -> np.ndarray:
-        """Log probabilities of all sequences of a group, seen or not."""
-        p = np.full(1, 1.0 / SYMBOLS)
-        for width, (k, share, context, left) in enumerate(reversed(self.tables[g]), 1):
-            low = np.tile(p, SYMBOLS) if width > 1 else np.full(SYMBOLS, p[0])
-            back = np.ones(SYMBOLS ** (width - 1))
-            back[context] = left
-            p = low * np.repeat(back, SYMBOLS)
-            p[k] += share
-        return np.log(p).astype(np.float32)
-
-
-def score(docs: DataFrame, model: KneserNey, names: tuple[str | None, ...] = LANGUAGES) -> DataFrame:
+def discounts(n1: float, n2: float, n3: float, n4: float) -> list[float]:
+    """What is taken off counts of 1, 2 and more; a half where the counts of counts say nothing."""
+    y = n1 / (n1 + 2 * n2) if n1 + n2 else 0.5
+    return [min(max(i - (i + 1) * y * b / a, 0.1), i - 0.1) if a and b else 0.5 for i, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
+
+
+def kneser_ney(counted: DataFrame, scratch: Scratch) -> DataFrame:
+    """(key, log_p) for every sequence of ``counted(key, n)``; groups of which no sequence is counted have none."""
+    group = F.shiftright("key", GROUP)
+    low = lambda c, width: F.shiftleft(F.shiftright(c, GROUP), GROUP) + F.col(c).bitwiseAND(F.lit((1 << 8 * width) - 1))
+    levels = {ORDER: scratch.save(counted)}
+    for width in range(ORDER - 1, 0, -1):
+        levels[width] = scratch.save(levels[width + 1].groupBy(low("key", width).alias("key")).agg(F.count_if(F.col("n") > 0).alias("n")))
+    few = None
+    for width, level in levels.items():
+        part = level.filter("n between 1 and 4").groupBy(F.lit(width).alias("width"), group.alias("g"), "n").agg(F.count("*").alias("m"))
+        few = part if few is None else few.unionByName(part)
+    found = {(r["width"], r["g"], r["n"]): float(r["m"]) for r in few.collect()}
+    learnt = sorted({g for _, g, _ in found} | {r[0] for r in levels[1].filter("n > 0").select(group).distinct().collect()})
+    if not learnt:
+        return counted.limit(0).select("key", F.lit(0.0).alias("log_p"))
+    lower: DataFrame | None = None
+    for width in range(1, ORDER + 1):
+        cuts = [F.array(*(F.lit(x) for x in discounts(*(found.get((width, g, n), 0.0) for n in (1, 2, 3, 4))))) for g in learnt]
+        table = F.map_from_arrays(F.array(*(F.lit(g) for g in learnt)), F.array(*cuts))
+        cut = F.when(F.col("n") > 0, F.element_at(F.element_at(table, group), F.least("n", F.lit(3)).cast("int"))).otherwise(0.0)
+        context = Window.partitionBy(F.shiftright("key", GROUP), F.shiftright(F.col("key").bitwiseAND(F.lit((1 << 8 * width) - 1)), 8))
+        now = levels[width].filter(group.isin(learnt)).withColumn("cut", cut).select("key", "n", "cut", F.sum("n").over(context).alias("total"), F.sum("cut").over(context).alias("left"))
+        if lower is None:
+            now = now.withColumn("q", F.lit(1.0 / BYTES))
+        else:
+            now = now.withColumn("suffix", low("key", width - 1)).join(lower.select(F.col("key").alias("suffix"), F.col("p").alias("q")), "suffix")
+        p = F.when(F.col("total") > 0, (F.col("n") - F.col("cut") + F.col("left") * F.col("q")) / F.col("total")).otherwise(F.col("q"))
+        lower = now.select("key", p.alias("p"))
+    return scratch.save(lower.select("key", F.log("p").alias("log_p")))
+
+
+class HashArrays:
+    """Sorted hashes of sequences with their log probabilities, found through the first bits of a hash."""
+
+    def __init__(self, key: np.ndarray, log_p: np.ndarray) -> None:
+        h = ragged.mix(key.astype(np.uint64))
+        order = np.argsort(h)
+        self.hash, self.log_p = h[order], log_p[order].astype(np.float32)
+        self.start: np.ndarray | None = None
+
+    def find(self, key: np.ndarray) -> np.ndarray:
+        """The log probability of each sequence; 0 for those this slice does not hold."""
+        h, out = ragged.mix(key.astype(np.uint64)), np.zeros(len(key), np.float32)
+        if not len(self.hash):
+            return out
+        shift = np.uint64(64 - max(1, len(self.hash).bit_length()))
+        if self.start is None:
+            self.start = np.append(0, np.cumsum(np.bincount((self.hash >> shift).astype(np.int64), minlength=1 << int(64 - shift)))).astype(np.int32)
+        at, todo = self.start[(h >> shift).astype(np.int64)], np.arange(len(h))
+        while len(todo):
+            todo = todo[at[todo] < len(self.hash)]
+            mine = self.hash[at[todo]]
+            hit = mine == h[todo]
+            out[todo[hit]] = self.log_p[at[todo[hit]]]
+            todo = todo[mine < h[todo]]
+            at[todo] += 1
+        return out
+
+
+SCORED = ", ".join(f"{c} long" for c in STATS) + ", base_failed boolean, lang_group long, n_scored long"
+
+
+def _counted(part: pa.RecordBatch, names: tuple[str | None, ...], many: np.ndarray, group: np.ndarray) -> tuple[list, list]:
+    counts = text_counts(part.column("text"))
+    return [*(pa.array(counts[c], pa.int64()) for c in STATS), pa.array(failed(counts)), pa.array(group), pa.array(many)], [*STATS, "base_failed", "lang_group", "n_scored"]
+
+
+def score(docs: DataFrame, model: DataFrame, names: tuple[str | None, ...] = LANGUAGES, most: int = MOST) -> DataFrame:
     """Counts, language group and mean log probability (null under one sequence or without a model) of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    learnt = [r[0] for r in model.select(F.shiftright("key", GROUP)).distinct().collect()]
+    if model.count() > most:
+        return _joined(docs, model, names)
+    table = model.toArrow()
+    shared = docs.sparkSession.sparkContext.broadcast(HashArrays(table.column("key").to_numpy(), table.column("log_p").to_numpy()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables: dict[int, np.ndarray] = {}
         for batch in batches:
             for part in ragged.slices(batch, "text"):
-                counts, (key, begin), group = text_counts(part.column("text")), sequences(part.column("text")), groups(part.column("lang"), names)
-                many, total = np.diff(begin), np.zeros(part.num_rows)
-                for g in np.unique(group).tolist():
-                    if g in shared.value.tables and g not in tables:
-                        if len(tables) == HELD:
-                            del tables[next(iter(tables))]
-                        tables[g] = shared.value.unfold(g)
-                    rows = np.flatnonzero((group == g) & (many > 0))
-                    if g in tables and len(rows):
-                        at = np.repeat(group, many) == g
-                        total[rows] = np.add.reduceat(tables[g][key[at]], np.append(0, np.cumsum(many[rows])[:-1]), dtype=np.float64)
-                mean = pa.array(total / np.maximum(many, 1), mask=(many == 0) | ~np.isin(group, list(shared.value.tables)))
-                yield pa.RecordBatch.from_arrays([part.column("row"), *(pa.array(counts[c], pa.int64()) for c in STATS), pa.array(failed(counts)), pa.array(group), pa.array(many), mean], ["row", *STATS, "base_failed", "lang_group", "n_scored", "mean_log_p"])
-
-    return docs.select("row", "lang", "text").mapInArrow(run, f"row {docs.schema['row'].dataType.simpleString()}, {', '.join(f'{c} long' for c in STATS)}, base_failed boolean, lang_group long, n_scored long, mean_log_p double")
+                group, total, many = groups(part.column("lang"), names), np.zeros(part.num_rows), np.zeros(part.num_rows, np.int64)
+                for key, row in sequences(part.column("text"), group):
+                    total += np.bincount(row, weights=shared.value.find(key), minlength=len(total))
+                    many += np.bincount(row, minlength=len(total))
+                cols, labels = _counted(part, names, many, group)
+                mean = pa.array(total / np.maximum(many, 1), mask=(many == 0) | ~np.isin(group, learnt))
+                yield pa.RecordBatch.from_arrays([part.column("row"), *cols, mean], ["row", *labels, "mean_log_p"])
+
+    return docs.select("row", "lang", "text").mapInArrow(run, f"row {docs.schema['row'].dataType.simpleString()}, {SCORED}, mean_log_p double")
+
+
+def _joined(docs: DataFrame, model: DataFrame, names: tuple[str | None, ...]) -> DataFrame:
+    """What :func:`score` returns, by a join of the documents' sequences with the model.
+
+    Rows of equal text and language have equal scores, so these two name the row in the join.
+    """
+    named = docs.select("*", F.xxhash64("lang", "text").alias("h1"), F.xxhash64(F.lit(1), "text", "lang").alias("h2"))
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in ragged.slices(batch, "text"):
+                h1, h2 = (np.asarray(part.column(c)) for c in ("h1", "h2"))
+                for key, row in sequences(part.column("text"), groups(part.column("lang"), names)):
+                    order = np.lexsort((key, row))
+                    key, row = key[order], row[order]
+                    at = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (row[1:] != row[:-1]))) if len(key) else np.zeros(0, int)
+                    n = np.diff(np.append(at, len(key)))
+                    yield pa.RecordBatch.from_arrays([pa.array(h1[row[at]]), pa.array(h2[row[at]]), pa.array(key[at]), pa.array(n)], ["h1", "h2", "key", "n"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in ragged.slices(batch, "text"):
+                many = np.maximum(np.diff(ragged.utf8(part.column("text"))[1]) - ORDER + 1, 0)
+                cols, labels = _counted(part, names, many, groups(part.column("lang"), names))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("row", "h1", "h2")), *cols], ["row", "h1", "h2", *labels])
+
+    texts = named.select("h1", "h2", "lang", "text").dropDuplicates(["h1", "h2"])
+    pairs = texts.mapInArrow(split, "h1 long, h2 long, key long, n long")
+    sums = pairs.join(model, "key").groupBy("h1", "h2").agg(F.sum(F.col("n") * F.col("log_p")).alias("sum"))
+    counted = named.select("row", "h1", "h2", "lang", "text").mapInArrow(count, f"row {docs.schema['row'].dataType.simpleString()}, h1 long, h2 long, {SCORED}")
+    return counted.join(sums, ["h1", "h2"], "left").withColumn("mean_log_p", F.when(F.col("n_scored") > 0, F.col("sum") / F.col("n_scored"))).drop("h1", "h2", "sum")
 
 
 def bands(scored: DataFrame) -> list[tuple[int, float, float]]:
@@ -241,7 +306,7 @@ def quality(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
     ``base_failed``: under 20 words, or more than 30 % of them in 8-word windows that repeat within
     the text. ``kept``: not failed, and the perplexity lies within its language group's bands.
 
-    * Null or empty text: all counts 0, failed. A text of under four bytes has no perplexity.
+    * Null or empty text: all counts 0, failed. A text of under six bytes has no perplexity.
     * Groups are the values of ``lang`` found in the rows (see ``languages``), null being one; values
       with few rows are pooled in the last group.
     * A group of which no document reads like prose has no model: its documents have no perplexity
@@ -252,11 +317,11 @@ def quality(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
     """
     body = docs.select(F.struct(*(carry or docs.columns)).alias("row"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     names = languages(body)
-    counted = count_sequences(body, names).toArrow()
-    model = KneserNey(counted.column("key").to_numpy(), counted.column("n").to_numpy())
+    scratch = Scratch(docs.sparkSession, "quality")
+    model = kneser_ney(count_sequences(body, names), scratch)
     scored = score(body, model, names)
     if carry and "text" not in carry:
-        scored = Scratch(docs.sparkSession, "quality").save(scored)
+        scored = scratch.save(scored)
         limits = bands(scored)
     else:  # scored a second time rather than written with its texts
         limits = bands(score(body.select(F.struct(F.lit(0)).alias("row"), "lang", "text"), model, names))

@@ -38,7 +38,7 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's cell, calibrated probability and whether it is sampled."""
-    mixed = mix(table(spark, sf_dir, "documents"), carry=["doc_id"])
+    mixed = mix(table(spark, sf_dir, "documents"), carry=["doc_id"], vocabulary=public_tokenizers.path("word_bpe_49k.json"))
     return mixed.select("row.doc_id", "source", "lang", "topic", "n_tokens", "probability", "sampled")
 
 
