@@ -54,9 +54,9 @@ AC_TABLE = _table([0x06, 0x05, 0x00, 0x07, 0x01, 0x02, 0x03, 0x04, 0xF0, 0x11, *
 
 
 def geometry(blocks: int) -> tuple[int, int]:
-    """Columns and rows of 16x16 units whose luma holds at least ``blocks`` blocks, about square."""
-    wide = max(1, int(np.sqrt(blocks)) // 2)
-    return wide, max(1, -(-blocks // (4 * wide)))
+    """Columns and rows of 16x16 units of six blocks that hold at least ``blocks`` blocks, about square."""
+    wide = max(1, int(np.sqrt(blocks / 6)))
+    return wide, max(1, -(-blocks // (6 * wide)))
 
 
 # Writing
@@ -512,13 +512,33 @@ def _layout(width: int, height: int, sampling: tuple, grid: tuple, comps: tuple[
     return np.stack(cols, axis=1).ravel(), np.tile(kind, across * down), len(cols)
 
 
+def doubled(plane: np.ndarray, axis: int) -> np.ndarray:
+    """Twice the samples along an axis: each new one takes three quarters of the nearest and one of the next nearest."""
+    plane = np.moveaxis(plane, axis, 0)
+    near = 0.75 * plane
+    out = np.empty((2 * len(plane), *plane.shape[1:]), plane.dtype)
+    out[0::2], out[1::2] = near, near
+    out[2::2] += 0.25 * plane[:-1]
+    out[1:-1:2] += 0.25 * plane[1:]
+    out[0] += 0.25 * plane[0]
+    out[-1] += 0.25 * plane[-1]
+    return np.moveaxis(out, 0, axis)
+
+
+def upsampled(plane: np.ndarray, times: tuple[int, int]) -> np.ndarray:
+    """A component at full resolution: between samples by :func:`doubled` where halved, else by repetition."""
+    for axis, n in enumerate(times):
+        plane = doubled(plane, axis) if n == 2 else plane.repeat(n, axis=axis) if n > 1 else plane
+    return plane
+
+
 def pixels(img: Image, samples: np.ndarray) -> np.ndarray:
     """The full-resolution RGB tensor of an image; ``samples``: the inverse transform of all blocks."""
     planes = []
     hm, vm = max(s[0] for s in img.sampling), max(s[1] for s in img.sampling)
     for base, (w, h), (sh, sv) in zip(img.base, img.grid, img.sampling):
         plane = samples[base : base + w * h].reshape(h, w, 8, 8).transpose(0, 2, 1, 3).reshape(8 * h, 8 * w)
-        planes.append(plane.repeat(vm // sv, axis=0).repeat(hm // sh, axis=1)[: img.height, : img.width])
+        planes.append(upsampled(plane, (vm // sv, hm // sh))[: img.height, : img.width])
     if len(planes) == 1:
         return np.repeat(planes[0][..., None], 3, axis=2).round().clip(0, 255).astype(np.uint8)
     y, b, r = planes[0], planes[1] - 128, planes[2] - 128

@@ -23,7 +23,7 @@ WINDOW = 3
 
 
 def _windows(rows: DataFrame, width: int) -> DataFrame:
-    """(h1, h2, doc, at) of every window that is not blank throughout, once per key and document."""
+    """(key, row, at) of every window that is not blank throughout."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -67,8 +67,10 @@ def dedup_lines(docs: DataFrame, width: int = WINDOW) -> DataFrame:
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n")))
     gone = F.array_distinct(F.flatten(F.transform("at", lambda a: F.sequence(a, a + (width - 1)))))
     met = met.withColumn("n_lines", n_lines).withColumn("gone", gone)
-    lines = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("gone", i))
-    new = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(lines, "\n"))
+    left = F.array_except(F.sequence(F.lit(0), F.size(F.split("text", "\n")) - 1), "gone")  # by a hash set
+    both = F.array(F.struct(F.split("text", "\n").alias("lines"), left.alias("left")))
+    lines = F.transform(both, lambda b: F.array_join(F.transform(b["left"], lambda i: F.get(b["lines"], i)), "\n"))[0]
+    new = F.when(F.col("gone").isNull(), F.col("text")).otherwise(lines)
     out = [new.alias("text") if c == "text" else F.col("doc").getField(c).alias(c) for c in docs.columns if c not in ("n_lines", "n_removed")]
     removed = F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone"))
     return met.select(*out, F.col("n_lines").cast("long").alias("n_lines"), removed.cast("long").alias("n_removed"))

@@ -1,8 +1,9 @@
 """Media columns: bytes kept in progressive JPEG files, and features of the decoded tensors.
 
-A payload of n bytes becomes the quantised coefficients of n / 64 luma blocks, one byte each, so the
-file holds it without loss; chroma is neutral. Files are written, read back and transformed in
-batches of about a megabyte, and the payload is taken from the coefficients that were read.
+A payload of n bytes becomes the quantised coefficients of n / 64 blocks, one byte each, so the file
+holds it without loss: four luma blocks a unit first, then one of each chroma component. Files are
+written, read back and transformed in batches of about a megabyte, chroma is upsampled to full
+resolution, and the payload is taken from the coefficients that were read. The RGB tensors are a column.
 """
 
 from __future__ import annotations
@@ -31,18 +32,22 @@ def store(payloads: list[bytes]) -> list[bytes]:
     """A progressive JPEG file for each payload (a positive multiple of 64 bytes)."""
     planes = []
     for p in payloads:
-        n = len(p) // BLOCK
-        wide, high = jpeg.geometry(n)
-        luma = np.zeros((4 * wide * high, BLOCK), np.int64)
-        luma[:n] = np.frombuffer(p, np.uint8).reshape(n, BLOCK)
-        flat = np.zeros((wide * high, BLOCK), np.int64)
-        planes.append(((wide, high), [luma, flat, flat]))
+        blocks = np.frombuffer(p, np.uint8).reshape(-1, BLOCK)
+        wide, high = jpeg.geometry(len(blocks))
+        units, parts = wide * high, []
+        for n in (4 * units, units, units):
+            plane = np.zeros((n, BLOCK), np.int64)
+            plane[: len(blocks[:n])] = blocks[:n]
+            parts.append(plane)
+            blocks = blocks[n:]
+        planes.append(((wide, high), parts))
     return jpeg.write(planes)
 
 
 def payload(image: jpeg.Image, coefficients: np.ndarray, size: int) -> bytes:
     """The bytes that a file read back holds."""
-    return coefficients[image.base[0] : image.base[0] + size // BLOCK].astype(np.uint8).tobytes()
+    parts = [coefficients[base : base + w * h] for base, (w, h) in zip(image.base, image.grid)]
+    return np.concatenate(parts)[: size // BLOCK].astype(np.uint8).tobytes()
 
 
 def tensors(files: list[bytes]) -> list[np.ndarray]:
@@ -69,14 +74,15 @@ def _runs(sizes: list[int]) -> Iterator[tuple[int, int]]:
         yield begin, len(sizes)
 
 
-def media_digests(docs: DataFrame, keep_files: bool = False) -> DataFrame:
+def media_digests(docs: DataFrame, keep_files: bool = False, keep_tensors: bool = False) -> DataFrame:
     """One row per row of ``docs(doc_id, text)`` about its text stored as a file and read back.
 
-    ``keep_files`` adds the file itself as ``media``. Features are those of the RGB tensor.
+    ``keep_files`` adds the file itself as ``media``; ``keep_tensors`` the RGB tensor as ``height``,
+    ``width`` and ``rgb`` (rows of three bytes a pixel). Features are those of the tensor.
 
     * Null and empty text: a payload of 64 zero bytes, ``n_bytes`` 0. Texts are stored whole; the
       format holds up to 65520 x 65520 samples, some four gigabytes of text.
-    * Equal texts have equal files and features. Repeated rows and null ids are kept.
+    * Equal texts have equal files, tensors and features. Repeated rows and null ids are kept.
     * Extra columns are ignored; an empty table gives an empty result. No shuffle takes place.
     """
 
@@ -88,13 +94,19 @@ def media_digests(docs: DataFrame, keep_files: bool = False) -> DataFrame:
                 files = store([padded(x) for x in texts])
                 images, coefficients = jpeg.read(files)
                 samples = jpeg.samples(images, coefficients)
-                rows = []
+                rows, rgbs = [], []
                 for text, file, image in zip(texts, files, images):
                     back = payload(image, coefficients, len(padded(text)))
-                    rows.append((len(text), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-BLOCK:]), len(file), hashlib.sha256(file).hexdigest(), feature(jpeg.pixels(image, samples))))
+                    rgbs.append(jpeg.pixels(image, samples))
+                    rows.append((len(text), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-BLOCK:]), len(file), hashlib.sha256(file).hexdigest(), feature(rgbs[-1])))
                 kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
                 cols = [names.slice(a, b - a), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))]
                 labels = [x.split()[0] for x in DIGEST.split(", ")]
-                yield pa.RecordBatch.from_arrays([*cols, *([pa.array(files, pa.binary())] if keep_files else [])], [*labels, *(["media"] if keep_files else [])])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, DIGEST + (", media binary" if keep_files else ""))
+                if keep_files:
+                    cols, labels = [*cols, pa.array(files, pa.binary())], [*labels, "media"]
+                if keep_tensors:
+                    sides = [pa.array([x.shape[i] for x in rgbs], pa.int32()) for i in (0, 1)]
+                    cols, labels = [*cols, *sides, pa.array([x.tobytes() for x in rgbs], pa.binary())], [*labels, "height", "width", "rgb"]
+                yield pa.RecordBatch.from_arrays(cols, labels)
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, DIGEST + (", media binary" if keep_files else "") + (", height int, width int, rgb binary" if keep_tensors else ""))

@@ -28,8 +28,8 @@ from .bpe import encoder, runs
 from .scratch import Scratch
 
 DIMENSIONS = ("source", "lang", "topic")
-TOPICS, TERMS, DIMS, MOVES = 8, 1 << 16, 32, 10
-TEMPER, TURNS, CLOSE = 0.7, 200, 1e-5
+TOPICS, TERMS, DIMS, MOVES = 8, 1 << 16, 32, 5
+TEMPER, TURNS, CLOSE, OFF = 0.7, 200, 1e-5, 1e-3
 BUDGET = 0.4
 ARRAY_CELLS = BROADCAST_CELLS = 100_000
 GRAIN = 1 << 40
@@ -196,8 +196,10 @@ def rake_arrays(codes: np.ndarray, w: np.ndarray, shares: list[np.ndarray], budg
             grow = np.where(some > 0, (aim - full) / np.where(some > 0, some, 1), 1.0)
             z = z * np.where(total <= 0, 0, np.where(aim >= total, grow, aim / np.where(total > 0, total, 1)))[c]
         if np.abs(np.minimum(z, cap) - before).sum() <= CLOSE * w.sum():
-            return np.where(w > 0, np.minimum(z, cap) / np.maximum(w, 1), 0.0), True
-    return np.where(w > 0, np.minimum(z, cap) / np.maximum(w, 1), 0.0), False
+            break
+    kept = np.minimum(z, cap)
+    off = max((np.abs(np.bincount(c, kept, len(aim)) - aim).sum() for aim, c in zip(aims, codes)), default=0.0)
+    return np.where(w > 0, kept / np.maximum(w, 1), 0.0), bool(off <= OFF * goal)
 
 
 def _raked_in_one_task(cells: DataFrame, targets: dict[str, dict] | None, budget: float) -> DataFrame:
@@ -247,7 +249,6 @@ def rake(cells: DataFrame, targets: dict[str, dict] | None, scratch: Scratch, bu
         now = now.join(have, now[d].eqNullSafe(have["v"]), "left").drop("v").withColumn(f"t_{d}", F.least("have", F.col(f"g_{d}") * F.lit(scale.get(d, 0.0)))).drop("have")
     now = scratch.save(now.withColumn("z", F.col("cap")))
     kept = lambda z: F.least("cap", F.col(z))
-    settled = False
     for _ in range(TURNS):
         new = now.withColumn("y", F.col("z"))
         for d in DIMENSIONS:
@@ -262,8 +263,9 @@ def rake(cells: DataFrame, targets: dict[str, dict] | None, scratch: Scratch, bu
         now = new.drop("y")
         now._scratch_path = new._scratch_path
         if moved <= CLOSE * total:
-            settled = True
             break
+    gaps = [now.groupBy(d).agg(F.abs(F.sum(kept("z")) - F.first(f"t_{d}")).alias("off")).agg(F.sum("off")).first()[0] or 0.0 for d in DIMENSIONS]
+    settled = max(gaps) <= OFF * goal
     return now.select(*DIMENSIONS, "w", F.when(F.col("w") > 0, kept("z") / F.col("w")).otherwise(0.0).alias("probability"), F.lit(settled).alias("settled"))
 
 
@@ -281,8 +283,8 @@ def mix(docs: DataFrame, targets: dict[str, dict] | None = None, seed: int = 0,
 
     * A null source or language is a value like any other. Null or empty text: a vector of zeros, no
       tokens; such a row's cell may have no tokens at all, then its probability is 0.
-    * Targets that contradict each other cannot all be met: after ``TURNS`` turns the last one's result
-      is taken, and a warning says so.
+    * Targets that contradict each other cannot all be met: the last turn's result is taken, and a
+      warning says that marginals are off by more than ``OFF`` of the budget.
     * Repeated rows share one draw: all or none of them are sampled. Of equally near topics the first counts.
     * Extra columns come back inside ``row``, whatever their names (``carry`` names those wanted); an
       empty table gives an empty result. Texts are read whole.
@@ -295,7 +297,7 @@ def mix(docs: DataFrame, targets: dict[str, dict] | None = None, seed: int = 0,
     many = cells.count()
     raked = scratch.save(_raked_in_one_task(cells, targets, budget) if many <= array_cells else rake(cells, targets, scratch, budget))
     if raked.filter("not settled").limit(1).count():
-        warnings.warn(f"the marginals did not settle in {TURNS} turns", stacklevel=2)
+        warnings.warn(f"the targets cannot all be met: a marginal is off by more than {OFF} of the budget", stacklevel=2)
     chance = raked.select(*(F.col(d).alias(f"c_{d}") for d in DIMENSIONS), F.round("probability", 9).alias("probability"))
     if many <= BROADCAST_CELLS:
         chance = F.broadcast(chance)

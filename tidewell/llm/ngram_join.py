@@ -4,7 +4,7 @@ A document is the set of its distinct 5-word shingles. Two documents link when t
 similarity is at least 0.8; the result says which documents hang together.
 
 1. *Token classes.* Shingles are counted over all documents: each task ships sorted arrays of
-   32-bit keys, split by range. A key with at least ``F = max(least, N / 2**21)`` occurrences is
+   32-bit keys with their counts, split by range. A key with at least ``F = max(least, N / 2**21)`` occurrences is
    frequent; at most 2**21 keys can be, which bounds what is broadcast. All others are rare.
 2. *Prefixes.* Shingles are ordered rare first, then by hash. Linked sets of size n share at least
    ``t = ceil(0.8 n)`` shingles, so their first common shingle lies within the first ``n - t + 1`` of
@@ -17,12 +17,10 @@ similarity is at least 0.8; the result says which documents hang together.
 3. *Verification* compares whole sets exactly (integer arithmetic). It starts with a star: every
    document is compared with the one centre it shares most keys with, so a group of m copies costs m
    comparisons. Keys whose members already hang together are done. What remains is compared across
-   components only: pairs where few documents share a key, blocks of documents where many do.
+   components only: pairs where fewer than ``least`` documents share a key, whatever the corpus, and
+   blocks of documents where more do.
 
-   Keys of rare tokens are always of the first kind, as they hold fewer than F documents.
-
-Documents with equal sets are joined beforehand through a 128-bit hash of the set. Rare keys hold
-fewer than F members; combination keys are handled by aggregates and joins that Spark can split.
+Documents with equal sets are joined beforehand through a 128-bit hash of the set.
 """
 
 from __future__ import annotations
@@ -40,8 +38,10 @@ from .scratch import Scratch
 
 FLUSH = 1 << 19
 HEAVY = 1 << 21
-BLOCK = 4_000_000
-BLOOM_BITS = 1 << 25
+BLOCK = 1_000_000
+LEAST_BITS, MOST_BITS = 1 << 20, 1 << 28
+LEVELS, FAMILIES = 12, 1000
+MEMBERS = 4096
 
 
 def size_class(n: np.ndarray | int, ratio: float = 1.25) -> np.ndarray:
@@ -59,21 +59,28 @@ def combination_keys(tokens: np.ndarray, n: int, percent: int = 80) -> list[tupl
 
     A linked pair whose common tokens are all frequent has at least ``need`` of a family's keys in
     common. Sizes whose ratio is at least percent/100 are in one class or in neighbours.
+
+    Where no more parts hold tokens than may differ, the guarantee says nothing; such a set splits its
+    tokens anew by another hash, level by level. Of a linked pair, either one set has keys enough at a
+    level, all made by the other too, or both go on to the next.
     """
     edges, mine, out = _edges(100 / percent), int(size_class(n, 100 / percent)), []
     for family in range(max(0, mine - 1), mine + 1):
         widest = int(np.ceil(edges[family + 2])) - 1
         differ = 2 * widest * (100 - percent) // (100 + percent)
         parts = 1 + differ + differ // 2
-        salt = ragged.U64(family * 0x9E3779B1 + 77)
-        part = (ragged.mix(tokens + salt) % ragged.U64(parts)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        where = np.flatnonzero(np.append(True, np.diff(part[order]) != 0)) if len(order) else np.zeros(0, int)
-        if len(where):
-            made = np.add.reduceat(ragged.mix(tokens[order] * ragged.STEP + ragged.U64(1)), where)
-            key = ragged.mix(made + ragged.mix(part[order][where].astype(ragged.U64) * ragged.BASE + salt))
-            out += [(x, family, len(where) - differ) for x in key.tolist()]
-        if len(where) <= differ:  # too few parts hold tokens for the guarantee: one key for all of these
+        for level in range(LEVELS):
+            salt = ragged.U64(family * 0x9E3779B1 + 77 + (level << 40))
+            part = (ragged.mix(tokens + salt) % ragged.U64(parts)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            where = np.flatnonzero(np.append(True, np.diff(part[order]) != 0)) if len(order) else np.zeros(0, int)
+            if len(where):
+                made = np.add.reduceat(ragged.mix(tokens[order] * ragged.STEP + ragged.U64(1)), where)
+                key = ragged.mix(made + ragged.mix(part[order][where].astype(ragged.U64) * ragged.BASE + salt))
+                out += [(x, family + FAMILIES * level, len(where) - differ) for x in key.tolist()]
+            if len(where) > differ:
+                break
+        else:  # so many tokens fall in so few parts at no level but by a chance of about 10**-11 at most
             out.append((int(ragged.mix(np.array([family + 1], ragged.U64) * ragged.BASE)[0]), family, 0))
     return out
 
@@ -93,8 +100,8 @@ def _signatures(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, sig binary")
 
 
-def _frequent(docs: DataFrame, k: int, total: int, least: int) -> tuple[np.ndarray, int]:
-    """The sorted 32-bit keys that at least F documents have, and F."""
+def _frequent(docs: DataFrame, k: int, total: int, least: int) -> np.ndarray:
+    """The sorted 32-bit keys that at least F documents have."""
     bound = max(least, -(-total // HEAVY))
     ranges = max(1, -(-total // (1 << 20)))
     width = -(-(1 << 32) // ranges)
@@ -112,19 +119,25 @@ def _frequent(docs: DataFrame, k: int, total: int, least: int) -> tuple[np.ndarr
 
     def flush(held: list[np.ndarray]) -> pa.RecordBatch:
         keys = np.sort(np.concatenate(held))
+        at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        many = np.diff(np.append(at, len(keys))).astype(np.uint32)
+        keys = keys[at]
         cut = np.searchsorted(keys, np.arange(ranges + 1, dtype=np.uint64) * np.uint64(width))
         cut[-1] = len(keys)
-        blobs = [ragged.planes(np.diff(keys[a:b], prepend=np.uint32(0))) if b > a else None for a, b in zip(cut[:-1], cut[1:])]
-        return pa.RecordBatch.from_arrays([pa.array(range(ranges), pa.int32()), pa.array(blobs, pa.binary())], ["range", "keys"])
+        blobs = [(ragged.planes(np.diff(keys[a:b], prepend=np.uint32(0))), ragged.planes(many[a:b])) if b > a else (None, None) for a, b in zip(cut[:-1], cut[1:])]
+        return pa.RecordBatch.from_arrays([pa.array(range(ranges), pa.int32()), *(pa.array([x[i] for x in blobs], pa.binary()) for i in (0, 1))], ["range", "keys", "counts"])
 
     def heavy(table: pa.Table) -> pa.Table:
-        keys = np.sort(np.concatenate([np.cumsum(ragged.unplanes(x, np.uint32), dtype=np.uint32) for x in table.column("keys").to_pylist()]))
+        keys = np.concatenate([np.cumsum(ragged.unplanes(x, np.uint32), dtype=np.uint32) for x in table.column("keys").to_pylist()])
+        many = np.concatenate([ragged.unplanes(x, np.uint32) for x in table.column("counts").to_pylist()])
+        order = np.argsort(keys)
+        keys, many = keys[order], many[order].astype(np.int64)
         at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-        many = np.diff(np.append(at, len(keys))) >= bound
-        return pa.table({"key": pa.array(keys[at[many]].astype(np.int64))})
+        often = np.add.reduceat(many, at) >= bound
+        return pa.table({"key": pa.array(keys[at[often]].astype(np.int64))})
 
-    found = docs.select("doc_id", "text").mapInArrow(count, "range int, keys binary").filter("keys is not null").groupBy("range").applyInArrow(heavy, "key long").toArrow()
-    return np.sort(found.column("key").to_numpy().astype(np.uint32)), bound
+    found = docs.select("doc_id", "text").mapInArrow(count, "range int, keys binary, counts binary").filter("keys is not null").groupBy("range").applyInArrow(heavy, "key long").toArrow()
+    return np.sort(found.column("key").to_numpy().astype(np.uint32))
 
 
 def _index(docs: DataFrame, k: int, percent: int, heavy: np.ndarray, total: int) -> tuple[DataFrame, DataFrame]:
@@ -210,11 +223,12 @@ def _rarest(rows: DataFrame) -> DataFrame:
 
 
 def _bitmap(ids: DataFrame) -> np.ndarray:
-    """A fixed number of bits, with those of all ids set; more ids make more false hits, never a miss."""
+    """Bits of all ids, some sixteen an id up to 32 MB; more ids make more false hits, never a miss."""
+    size = min(MOST_BITS, max(LEAST_BITS, 1 << (16 * ids.count()).bit_length()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = _bits(np.asarray(batch.column(0), np.int64))
+            at = _bits(np.asarray(batch.column(0), np.int64), size)
             order = np.argsort(at)
             word, bit = at[order] >> 6, np.uint64(1) << (at[order] & 63).astype(np.uint64)
             if len(word):
@@ -222,13 +236,13 @@ def _bitmap(ids: DataFrame) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array(word[where]), pa.array(np.bitwise_or.reduceat(bit, where).view(np.int64))], ["word", "bits"])
 
     got = ids.mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-    out = np.zeros(BLOOM_BITS // 64, np.int64)
+    out = np.zeros(size // 64, np.int64)
     out[got.column("word").to_numpy()] = got.column("bits").to_numpy()
     return out.view(np.uint64)
 
 
-def _bits(ids: np.ndarray) -> np.ndarray:
-    return (ragged.mix(ids.view(np.uint64) + np.uint64(12345)) % np.uint64(BLOOM_BITS)).astype(np.int64)
+def _bits(ids: np.ndarray, size: int) -> np.ndarray:
+    return (ragged.mix(ids.view(np.uint64) + np.uint64(12345)) % np.uint64(size)).astype(np.int64)
 
 
 def _tokens(docs: DataFrame, bitmap: np.ndarray, k: int) -> DataFrame:
@@ -237,7 +251,7 @@ def _tokens(docs: DataFrame, bitmap: np.ndarray, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = _bits(np.asarray(batch.column("doc_id"), np.int64))
+            at = _bits(np.asarray(batch.column("doc_id"), np.int64), 64 * len(table.value))
             has = (table.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
             for part in ragged.slices(batch.filter(pa.array(has)), "text"):
                 sets = list(ragged.shingle_sets(part.column("text"), k))
@@ -250,10 +264,10 @@ def _verify(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
     """Those of ``pairs(a, b)`` whose sets are similar enough; a is a star's centre, b its member.
 
     Members stream past their centre in sorted partitions, so a task holds one centre at a time;
-    a centre with many members is dealt out by a salt.
+    a centre is dealt out by a salt, one for each ``MEMBERS`` members.
     """
-    salts = lambda c: F.pmod(F.xxhash64(c), F.lit(64))
-    some = pairs.select("a", "b", salts("b").alias("salt"))
+    many = pairs.groupBy("a").agg(F.ceil(F.count("*") / MEMBERS).alias("salts"))
+    some = pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), "salts").alias("salt"))
     members = some.join(tokens.select(F.col("doc_id").alias("b"), "tokens"), "b").select("a", "salt", F.lit(1).alias("kind"), "b", "tokens")
     centres = some.select("a", "salt").distinct().join(tokens.select(F.col("doc_id").alias("a"), "tokens"), "a").select("a", "salt", F.lit(0).alias("kind"), F.col("a").alias("b"), "tokens")
     both = members.unionByName(centres).repartition("a", "salt").sortWithinPartitions("a", "salt", "kind")
@@ -286,8 +300,9 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80, least: int
 
     * Null or empty text, or text of separators only: n_shingles 0, linked with nothing.
     * A null doc_id names no document: component_id is null and the row links with nothing.
+    * Ties: of equally good centres the largest id is taken; links and components do not depend on it.
     * Repeated rows: each is returned; rows with one id are one document, linked if any text is.
-    * Extra columns of ``docs`` are ignored; an empty table gives an empty result.
+    * Extra columns of ``docs``, whatever their names, are ignored; an empty table gives an empty result.
     * Texts are read whole. 64-bit hashes stand for shingles.
     """
     spark = docs.sparkSession
@@ -300,8 +315,7 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80, least: int
     total = real.agg(F.sum("n_shingles")).first()[0] or 0
     copies = scratch.save(real.select("doc_id", "sig").join(firsts.filter("copies > 1"), "sig").select("doc_id", "rep").filter("doc_id <> rep").distinct())
 
-    heavy, bound = _frequent(known, k, total, least) if total else (np.zeros(0, np.uint32), least)
-    scratch.release()
+    heavy = _frequent(known, k, total, least) if total else np.zeros(0, np.uint32)
     singles, combos = _index(known, k, percent, heavy, total)
     firsts_only = lambda part: part.join(copies, "doc_id", "left").select("key", F.coalesce("rep", "doc_id").alias("doc_id"), "n", "family", "need").distinct()
     members = firsts_only(singles)
@@ -309,12 +323,10 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80, least: int
         members = members.unionByName(_rarest(scratch.save(firsts_only(combos))))
     members = scratch.save(members)
     del singles, combos
-    scratch.release()
     edges = [copies.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))]
-    edges += _links(known, members, k, percent, bound, scratch)
+    edges += _links(known, members, k, percent, least, scratch)
     scratch.drop(members)
     comp = scratch.save(components(_union(edges), scratch))
-    scratch.release()
     return rows.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("comp", "doc_id").alias("component_id"))
 
 
@@ -325,7 +337,7 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def _links(docs: DataFrame, members: DataFrame, k: int, percent: int, bound: int, scratch: Scratch) -> list[DataFrame]:
+def _links(docs: DataFrame, members: DataFrame, k: int, percent: int, least: int, scratch: Scratch) -> list[DataFrame]:
     """Edges enough to connect all that links connect, among the members of common keys.
 
     Tokens are made for the documents that a step compares, and dropped after it.
@@ -352,12 +364,11 @@ def _links(docs: DataFrame, members: DataFrame, k: int, percent: int, bound: int
     comp = scratch.save(components(found[0], scratch)).select(F.col("node").alias("doc_id"), F.col("comp").alias("c"))
     now = rows.drop("comp").join(comp, "doc_id", "left").withColumn("comp", F.coalesce("c", "doc_id")).drop("c")
     keys = now.groupBy("key", "comp").agg(F.count("*").alias("m")).groupBy("key").agg(F.count("*").alias("comps"), F.sum("m").alias("m")).filter("comps > 1")
-    live = scratch.save(now.join(keys.select("key", (F.col("m") >= bound).alias("hot")), "key"))
+    live = scratch.save(now.join(keys.select("key", (F.col("m") >= least).alias("hot")), "key"))
     cold = live.filter("not hot")
     met = cold.select("key", "family", *side("a")).join(cold.select("key", "family", *side("b")), ["key", "family"]).filter("ca < cb")
     rest = scratch.save(pairs(met).select("a", "b"))
     del met, now, keys
-    scratch.release()
     found.append(_checked(rest, docs, k, percent, both(rest), scratch))
     hot = live.filter("hot")
     if hot.limit(1).count():
@@ -373,7 +384,6 @@ def _checked(pairs: DataFrame, docs: DataFrame, k: int, percent: int, ids: DataF
     tokens = scratch.save(_tokens(docs, _bitmap(ids), k))
     linked = scratch.save(_verify(pairs, tokens, percent))
     scratch.drop(tokens)
-    scratch.release()
     return linked
 
 

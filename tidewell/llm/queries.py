@@ -49,7 +49,7 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document stored as a progressive JPEG, read back, and its tensor's features."""
-    return media_digests(table(spark, sf_dir, "documents"))
+    return media_digests(table(spark, sf_dir, "documents"), keep_tensors=True)
 
 
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

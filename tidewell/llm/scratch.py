@@ -1,23 +1,26 @@
 """Tables that cut lineage: written once to the folder all executors share, then read back.
 
-The folder is the session's ``spark.checkpoint.dir``. Only where that is unset (local tests) a
-temporary folder of this machine is chosen and put into the session's settings.
+The folder is the session's ``spark.checkpoint.dir``. Only where that is unset and Spark runs in one
+process (local tests) a temporary folder of this machine is chosen; on a cluster the lack is an error.
 """
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The session's checkpoint folder; a temporary one where none is configured."""
     found = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir() or ""
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tidewell-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -35,18 +38,16 @@ class Scratch:
         """Write ``df`` and read it back: later work starts from files, not from lost executors."""
         self.made += 1
         path = f"{self.root}/{self.made}"
-        df.write.parquet(path)
+        before = self.spark.conf.get(CLEANUP)
+        self.spark.conf.set(CLEANUP, "true")  # this plan never runs again, so its shuffle files can go with it
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(CLEANUP, before)
         back = self.spark.read.schema(df.schema).parquet(path)
         back._scratch_path = path
         return back
 
-    def release(self) -> None:
-        """Let Spark remove the shuffle files of finished steps, which it does when plans are collected."""
-        for _ in range(2):  # plans go first, then what they refer to
-            gc.collect()
-            self.spark._jvm.System.gc()
-            time.sleep(0.4)
-
     def drop(self, *tables: DataFrame) -> None:
         """Remove saved tables that nothing reads any more."""
         for df in tables:
