@@ -381,7 +381,9 @@ def test_one_rare_row_leaves_the_mix_alone(spark):
     for out in (before, after):
         assert (out.n_tokens * out.probability).sum() == pytest.approx(mixing.BUDGET * out.n_tokens.sum(), rel=0.01)
     p, q = (out.set_index(out.row.map(lambda r: r["doc_id"])).probability.sort_index() for out in (before, after))
-    assert q[1500] == 1 and (p - q[:1500]).abs().max() < 0.02 and (p > 0).all()
+    t, u = (out.set_index(out.row.map(lambda r: r["doc_id"])).topic.sort_index() for out in (before, after))
+    moved = t != u[:1500]  # centroids are fitted to all rows, so a row between two topics may change sides
+    assert q[1500] == 1 and (p - q[:1500]).abs()[~moved].max() < 0.02 and (p - q[:1500]).abs().mean() < 0.01 and moved.mean() < 0.1 and (p > 0).all()
 
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
