@@ -23,7 +23,7 @@ from .ragged import BASE, U64, _INVERSE, mix, powers
 #: The characters that ``\s`` matches.
 WHITE = (*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 EDGE, LETTER, NUMBER, BLANK, OTHER, UNKNOWN = range(6)
-SLOTS = 1 << 21
+SLOTS = 1 << 18
 LATIN = 0x250
 
 

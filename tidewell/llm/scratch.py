@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+BATCH, ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,12 +39,15 @@ class Scratch:
         """Write ``df`` and read it back: later work starts from files, not from lost executors."""
         self.made += 1
         path = f"{self.root}/{self.made}"
-        before = self.spark.conf.get(CLEANUP)
+        before = {k: self.spark.conf.get(k) for k in (CLEANUP, BATCH)}
         self.spark.conf.set(CLEANUP, "true")  # this plan never runs again, so its shuffle files can go with it
+        if not 0 < int(before[BATCH]) < ROWS:
+            self.spark.conf.set(BATCH, str(ROWS))  # rows hold whole texts: a few MB at a time
         try:
             df.write.parquet(path)
         finally:
-            self.spark.conf.set(CLEANUP, before)
+            for k, v in before.items():
+                self.spark.conf.set(k, v)
         back = self.spark.read.schema(df.schema).parquet(path)
         back._scratch_path = path
         return back
