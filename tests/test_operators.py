@@ -67,6 +67,54 @@ def test_cycles_are_found(spark):
     assert {r.node: r.comp for r in G.connected(edges).collect()} == {x: "a" for x in "abcd"}
 
 
+def test_deep_graphs(spark):
+    storage.checkpoints(spark)
+    chain = spark.createDataFrame([(i, i + 1) for i in range(60)], "src int, dst int")
+    nodes = spark.createDataFrame([(i,) for i in range(61)], "node int")
+    assert {r.node: r.depth for r in G.peel(nodes, chain).collect()} == {i: i for i in range(61)}
+    assert {r.comp for r in G.connected(chain).collect()} == {0}
+    commits = spark.createDataFrame([(i, i - 1 if i else None) for i in range(300)], "node int, parent int")
+    got = G.history(commits, spark.createDataFrame([(299,), (3,)], "node int")).collect()
+    assert sorted((r.head, r.node, r.distance) for r in got) == sorted([(299, 299 - k, k) for k in range(300)] + [(3, 3 - k, k) for k in range(4)])
+
+
+def test_fallback_that_does_not_exist(spark):
+    d, presets = spark.createDataFrame([("a",), ("x",)], "name string"), spark.createDataFrame([("a", ["b"], 1.0)], "id string, aliases array<string>, target double")
+    assert {(r.name, r.target) for r in R.lookup(d, "name", presets, "none").collect()} == {("a", 1.0), ("x", None)}
+
+
+def test_similar_pairs_equal_brute_force(spark):
+    storage.checkpoints(spark)
+    g = np.random.default_rng(4)
+    base = g.normal(size=(12, 9))
+    v = np.concatenate([base[i % 12] + g.normal(size=9) * 0.4 for i in range(120)]).reshape(120, 9)
+    v[7] = 1.0
+    d = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>")
+    with np.errstate(invalid="ignore"):
+        c = np.corrcoef(v)
+    want = {(a, b) for a in range(120) for b in range(a + 1, 120) if c[a, b] > 0.9}
+    pairs = J.similar_pairs(d)
+    assert {(r.a, r.b) for r in pairs.collect()} == want and len(want) > 50
+    rejected: set[int] = set()
+    for b in range(120):
+        if any(a not in rejected for a in range(b) if (a, b) in want):
+            rejected.add(b)
+    assert {r.id for r in J.greedy_accept(pairs, d.select("id")).filter("rejected").collect()} == rejected
+    assert J.similar_pairs(d.limit(0)).count() == 0
+
+
+def test_late_blocks_of_a_finished_track_are_dropped(spark, tmp_path):
+    schema = "track long, seq long, x array<double>, last boolean"
+    for n, rows in enumerate([[(1, 0, [0.5] * 8, False)], [(1, 1, [0.5] * 8, True)], [(1, 0, [0.9] * 8, False), (1, 2, [0.9] * 8, True)]]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{n}")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
+    out = twins.metered(stream, 2, 4, 0.3, 3).writeStream.outputMode("append").option("checkpointLocation", f"{tmp_path}/at").format("parquet").option("path", f"{tmp_path}/out")
+    q = out.trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = spark.read.schema(twins.RESULT).parquet(f"{tmp_path}/out").collect()
+    assert [(r.n, r.peak, r.windows) for r in got] == [(16, 0.5, 5)]
+
+
 def test_transforms():
     g = np.random.default_rng(0)
     x = g.normal(size=300)

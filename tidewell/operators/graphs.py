@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+LONGEST = 24
+
 
 def dangling(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Edges with an end that is no node, and which end."""
@@ -12,18 +14,20 @@ def dangling(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return a.unionByName(b)
 
 
-def peel(nodes: DataFrame, edges: DataFrame, rounds: int = 50) -> DataFrame:
+def peel(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Depth of each node in topological order; null for nodes on or behind a cycle.
 
-    Each round takes the nodes without open predecessors; lineage is cut by checkpoints.
+    Each round takes the nodes without open predecessors, until none is left; lineage is cut by checkpoints.
     """
     left, out, depth = edges.select("src", "dst"), None, 0
     open_ = nodes.select("node")
-    while depth < rounds:
+    while True:
         free = open_.join(left.select(F.col("dst").alias("node")).distinct(), "node", "left_anti").withColumn("depth", F.lit(depth)).checkpoint()
         if not free.limit(1).count():
             break
         out = free if out is None else out.unionByName(free)
+        if depth % 20 == 19:
+            out = out.checkpoint()
         open_ = open_.join(free, "node", "left_anti").checkpoint()
         left = left.join(free.select(F.col("node").alias("src")), "src", "left_anti").checkpoint()
         depth += 1
@@ -37,11 +41,11 @@ def fan_in(values: DataFrame, edges: DataFrame) -> DataFrame:
     return edges.join(values.select(F.col("node").alias("src"), "value"), "src").groupBy("dst").agg(F.sum("value").alias("value"))
 
 
-def connected(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def connected(edges: DataFrame) -> DataFrame:
     """Smallest node reachable from each, by propagating minima with pointer jumps until nothing changes."""
     both = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).union(edges.select("dst", "src")).distinct().checkpoint()
     label = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("comp")).checkpoint()
-    for _ in range(rounds):
+    while True:
         near = both.join(label.select(F.col("node").alias("b"), "comp"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("low"))
         step = label.join(near, "node", "left").select("node", F.least("comp", F.coalesce("low", "comp")).alias("comp"), F.col("comp").alias("old"))
         jump = step.join(label.select(F.col("node").alias("comp"), F.col("comp").alias("over")), "comp", "left").select("node", F.least("comp", F.coalesce("over", "comp")).alias("comp"), "old").checkpoint()
@@ -52,13 +56,23 @@ def connected(edges: DataFrame, rounds: int = 50) -> DataFrame:
     return label
 
 
-def history(commits: DataFrame, heads: DataFrame, most: int = 100) -> DataFrame:
-    """Ancestors of each head by parent links, with their distance, as a recursive query."""
-    spark = commits.sparkSession
-    commits.select("node", "parent").createOrReplaceTempView("_history_commits")
-    heads.select("node").createOrReplaceTempView("_history_heads")
-    return spark.sql(f"""with recursive walk max recursion level {most} as (select node as head, node, 0 as distance from _history_heads
-      union all select w.head, c.parent, w.distance + 1 from walk w join _history_commits c on c.node = w.node where c.parent is not null) select * from walk""")
+def history(commits: DataFrame, heads: DataFrame) -> DataFrame:
+    """Ancestors of each head by parent links, with their distance; one row per path.
+
+    Each round doubles the distance covered: what a head has reached is joined with jumps of twice the
+    length, so a history of a million links takes twenty rounds. Links that form a cycle are an error.
+    """
+    jump = commits.filter("parent is not null").select("node", F.col("parent").alias("to"))
+    walk = heads.select(F.col("node").alias("head"), "node", F.lit(0).alias("distance"))
+    turn = 0
+    while True:
+        new = walk.join(jump, "node").select("head", F.col("to").alias("node"), (F.col("distance") + F.lit(1 << turn)).cast("int").alias("distance")).checkpoint()
+        if not new.limit(1).count():
+            return walk
+        if turn == LONGEST:
+            raise ValueError(f"a history of over 2**{LONGEST} links, so they form a cycle")
+        walk, turn = walk.unionByName(new), turn + 1
+        jump = jump.alias("a").join(jump.alias("b"), F.col("a.to") == F.col("b.node")).select(F.col("a.node").alias("node"), F.col("b.to").alias("to")).checkpoint()
 
 
 def merged(graphs: list[DataFrame]) -> DataFrame:

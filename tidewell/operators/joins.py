@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .graphs import connected
+
 
 def point_in_interval(points: DataFrame, spans: DataFrame, width: float) -> DataFrame:
     """For ``points(id, t)``, the first of ``spans(span, lo, hi)`` with lo <= t < hi; null if none.
@@ -59,6 +64,39 @@ def offset_matches(prints: DataFrame, others: DataFrame, offsets: int, least: fl
     return best.join(n, "id").withColumn("score", F.col("k") / F.col("n")).filter(F.col("score") >= least).select("id", "other", "score")
 
 
+def similar_pairs(vectors: DataFrame, least: float = 0.9, seed: int = 5) -> DataFrame:
+    """Pairs ``a < b`` of ``vectors(id, v)`` whose correlation is above ``least``.
+
+    Vectors that are null, empty or constant correlate with none. Centred vectors of length one that correlate so are within ``sqrt(2 - 2 * least)`` of each other, and so are
+    their shadows on any direction: candidates are those in the same or a neighbouring cell on two fixed directions.
+    """
+    width = float(np.sqrt(2 - 2 * least)) + 1e-9
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for d in batches:
+            out: dict[str, list] = {"id": [], "v": [], "p": [], "q": []}
+            for i, v in zip(d["id"], d["v"]):
+                x = np.asarray(v, float) - np.mean(v) if v is not None and len(v) else np.zeros(0)
+                if x.any():
+                    x /= np.linalg.norm(x)
+                    axes = np.random.default_rng(seed).normal(size=(2, len(x)))
+                    cell = np.floor(axes @ x / np.linalg.norm(axes, axis=1) / width).astype(int)
+                    for c, value in zip(out, (i, x, *cell)):
+                        out[c].append(value)
+            yield pd.DataFrame(out)
+
+    placed = vectors.select("id", F.col("v").cast("array<double>").alias("v")).mapInPandas(place, "id long, v array<double>, p long, q long")
+    near = F.explode(F.sequence(F.lit(-1), F.lit(1)))
+    around = placed.select(F.col("id").alias("b"), F.col("v").alias("w"), "p", "q", near.alias("i")).select("b", "w", (F.col("p") + F.col("i")).alias("p"), "q", near.alias("j")).withColumn("q", F.col("q") + F.col("j")).drop("j")
+    met = placed.select(F.col("id").alias("a"), "v", "p", "q").join(around, ["p", "q"]).filter("a < b")
+
+    @F.pandas_udf("double")
+    def product(v: pd.Series, w: pd.Series) -> pd.Series:
+        return pd.Series(np.einsum("ij,ij->i", np.stack(v.to_list()), np.stack(w.to_list())) if len(v) else np.zeros(0))
+
+    return met.filter(product("v", "w") > least).select("a", "b")
+
+
 def greedy_accept(pairs: DataFrame, items: DataFrame) -> DataFrame:
     """Items in id order, each rejected if a similar earlier one was accepted; ``pairs(a, b)`` with a < b.
 
@@ -75,7 +113,8 @@ def greedy_accept(pairs: DataFrame, items: DataFrame) -> DataFrame:
                 out.add(b)
         return pd.DataFrame({"id": sorted(out)})
 
-    rejected = pairs.groupBy("grp").applyInPandas(fold, "id long")
+    group = connected(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"))).select(F.col("node").alias("a"), F.col("comp").alias("grp"))
+    rejected = pairs.join(group, "a").groupBy("grp").applyInPandas(fold, "id long")
     return items.join(rejected.withColumn("rejected", F.lit(True)), "id", "left").select("id", F.coalesce("rejected", F.lit(False)).alias("rejected"))
 
 

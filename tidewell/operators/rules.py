@@ -77,7 +77,7 @@ def lookup(d: DataFrame, name: str, presets: DataFrame, fallback: str | None) ->
     if fallback is None:
         return out
     other = presets.filter(F.col("id") == fallback).select(F.col("id").alias("fid"), F.col("target").alias("ft"))
-    return out.crossJoin(F.broadcast(other)).withColumn("target", F.coalesce("target", "ft")).withColumn("id", F.coalesce("id", "fid")).drop("fid", "ft")  # one row
+    return out.join(F.broadcast(other), F.lit(True), "left").withColumn("target", F.coalesce("target", "ft")).withColumn("id", F.coalesce("id", "fid")).drop("fid", "ft")  # one row
 
 
 def recommended(options: DataFrame, key: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tidewell.operators import centroids as C, evaluation as E, graphs as G, joins as J, markov as M, rules as R
+from tidewell.sources.storage import checkpoints
 
 from .views import SIGNAL, rounded, signal, table
 
@@ -99,7 +100,14 @@ def _prints(s, d):
 
 
 register("fingerprint_matches", lambda s, d: J.offset_matches(_prints(s, d), _prints(s, d).filter("id % 10 = 0"), 5, 0.3), f"with {SIGNAL}, {PRINTS}, n as (select id, count(*) n from prints group by 1), m as (select a.id, b.id other, a.pos - b.pos off, count(distinct a.pos) k from prints a join prints b on a.hash = b.hash and abs(a.pos - b.pos) <= 5 and b.id % 10 = 0 group by 1, 2, 3) select m.id, other, round(max(k) / any_value(n), 6) score from m join n using (id) group by 1, 2 having max(k) / any_value(n) >= 0.3")
-register("greedy_duplicates", lambda s, d: J.greedy_accept(table(s, d, "embeddings").select(F.col("vec_id").alias("b"), "label").join(table(s, d, "embeddings").select(F.col("vec_id").alias("a"), "label"), "label").filter("a < b and (b - a) % 7 = 0").select("a", "b", F.col("label").alias("grp")), table(s, d, "embeddings").select(F.col("vec_id").alias("id"))), """with recursive e as (select vec_id id, label from embeddings), firsts as (select a.id from e a where not exists (select 1 from e b where b.label = a.label and b.id < a.id and (a.id - b.id) % 7 = 0)) select id, id not in (select id from firsts) rejected from e""")
+def _greedy_duplicates(s: SparkSession, d: str) -> DataFrame:
+    """Vectors in order, each rejected where it correlates by over 0.9 with an accepted one."""
+    checkpoints(s)
+    v = table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    return J.greedy_accept(J.similar_pairs(v, 0.9).checkpoint(), v.select("id"))  # few pairs, used in every round
+
+
+register("greedy_duplicates", _greedy_duplicates, None)
 
 # Rules
 REPORT = "rep as (select track, avg(x) level, max(abs(x)) peak, max(x) - min(x) span, sum(l * r) / sqrt(sum(l * l) * sum(r * r)) corr from signal group by 1)"
@@ -187,7 +195,7 @@ register("multi_criteria_health", lambda s, d: signal(s, d).groupBy("track").agg
 # Graphs: orders of one customer form a chain, linked items a DAG
 commits = lambda s, d: table(s, d, "orders").select(F.col("o_orderkey").alias("node"), F.lag("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")).alias("parent"), "o_custkey")
 COMMITS = "commits as (select o_orderkey node, lag(o_orderkey) over (partition by o_custkey order by o_orderdate, o_orderkey) parent, o_custkey from orders)"
-register("commit_history", lambda s, d: G.history(commits(s, d), commits(s, d).groupBy("o_custkey").agg(F.max("node").alias("node")).filter("o_custkey % 50 = 0")), f"with recursive {COMMITS}, walk as (select node head, node, 0 distance from (select max(node) node from commits where o_custkey % 50 = 0 group by o_custkey) union all select w.head, c.parent, w.distance + 1 from walk w join commits c on c.node = w.node where c.parent is not null) select * from walk")
+register("commit_history", lambda s, d: G.history(commits(s, d), commits(s, d).groupBy("o_custkey").agg(F.max("node").alias("node"))), f"with recursive {COMMITS}, walk as (select node head, node, 0 distance from (select max(node) node from commits group by o_custkey) union all select w.head, c.parent, w.distance + 1 from walk w join commits c on c.node = w.node where c.parent is not null) select * from walk")
 edges = lambda s, d: table(s, d, "supplier").select(F.col("s_suppkey").alias("src"), (F.col("s_suppkey") * 2 + F.col("s_nationkey") % 3).alias("dst"))
 EDGES_SQL = "edges as (select s_suppkey src, s_suppkey * 2 + s_nationkey % 3 dst from supplier)"
 nodes = lambda s, d: table(s, d, "supplier").select(F.col("s_suppkey").alias("node"), F.col("s_acctbal").alias("value"))
@@ -197,7 +205,6 @@ register("fan_in_sum", lambda s, d: G.fan_in(nodes(s, d), edges(s, d)), f"with {
 
 def _with_checkpoint(query):
     def run(s, d):
-        from tidewell.sources.storage import checkpoints
 
         checkpoints(s)
         return query(s, d)

@@ -88,9 +88,15 @@ def stream_windows(spark: SparkSession, d: str) -> DataFrame:
     root = _folder(spark)
     signal(spark, d).select("ts", "state", "x").withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(f"{root}/in")
     stream = spark.readStream.schema(spark.read.parquet(f"{root}/in").schema).parquet(f"{root}/in")
-    name = "w" + uuid.uuid4().hex
-    _finished(twins.windowed(stream, "1 hour", "1 day").writeStream.outputMode("complete").option("checkpointLocation", f"{root}/at").format("memory").queryName(name))
-    return rounded(spark.table(name).withColumn("start", F.date_format("start", "yyyy-MM-dd")))
+    out = f"{root}/out"
+    last = [-1]
+
+    def batch(df: DataFrame, n: int) -> None:
+        df.write.mode("overwrite").parquet(f"{out}/{n}")
+        last[0] = n
+
+    _finished(twins.windowed(stream, "1 hour", "1 day").writeStream.outputMode("complete").option("checkpointLocation", f"{root}/at").foreachBatch(batch))
+    return rounded(spark.read.parquet(f"{out}/{last[0]}").withColumn("start", F.date_format("start", "yyyy-MM-dd")))
 
 
 def stream_meter(spark: SparkSession, d: str) -> DataFrame:

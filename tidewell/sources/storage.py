@@ -15,9 +15,12 @@ SESSION = "protocol_version string, session_id string, stems array<struct<stem_t
 
 
 def checkpoints(spark: SparkSession) -> None:
-    """Make sure that a checkpoint folder is set: the session's, or a temporary one where it has none."""
+    """Make sure that a checkpoint folder is set: the session's, or in one process a temporary one."""
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "") or "file://" + tempfile.mkdtemp(prefix="tidewell-"))
+        folder = spark.conf.get("spark.checkpoint.dir", "")
+        if not folder and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="tidewell-"))
 
 
 def sessions(spark: SparkSession, path: str) -> DataFrame:

@@ -1,7 +1,8 @@
 """Streaming twins of the batch meters: the same state per track, fed in order and closed at the end.
 
-A stream carries blocks ``(track, seq, x array)``; ``last`` marks a track's end. State is bounded: sums,
-extremes, and the last few values of a window. Late blocks of a finished track are dropped.
+A stream carries blocks ``(track, seq, x array)``; ``last`` marks a track's end. State is sums, extremes, the
+last few values of a window, and eight bytes for each window's power, which the final gate needs. A finished
+track leaves a mark of a few bytes, by which its late blocks are dropped.
 """
 
 from __future__ import annotations
@@ -10,12 +11,13 @@ import json
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 RESULT = "track long, n long, rms_db double, peak double, clip_runs long, windows long, level_db double"
-STATE = "state string"
+STATE = "state string, powers binary, done boolean"
 
 
 class Meter:
@@ -54,17 +56,22 @@ def metered(stream: DataFrame, size: int, hops: int, ceiling: float, least: int)
     """One row per track when its last block has come, from ``stream(track, seq, x, last)``."""
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(batches)).sort_values("seq")
+        if state.exists and state.get[2]:
+            return
         m = Meter(size, hops, ceiling, least)
         if state.exists:
-            m.s = json.loads(state.get[0])
-        rows = pd.concat(list(batches)).sort_values("seq") if not state.hasTimedOut else pd.DataFrame(columns=["x", "last"])
+            m.s = json.loads(state.get[0]) | {"z": []}
+        before = bytes(state.get[1]) if state.exists else b""
         for x in rows["x"]:
             m.feed(list(x))
-        if len(rows) and bool(rows["last"].any()):
-            state.remove()
+        powers = before + np.array(m.s.pop("z"), np.float64).tobytes()
+        if bool(rows["last"].any()):
+            m.s["z"] = np.frombuffer(powers, np.float64).tolist()
+            state.update(("", b"", True))
             yield pd.DataFrame([(key[0], *m.finish())], columns=[c.split()[0] for c in RESULT.split(", ")])
         else:
-            state.update((json.dumps(m.s),))
+            state.update((json.dumps(m.s), powers, False))
 
     return stream.groupBy("track").applyInPandasWithState(run, RESULT, STATE, "append", GroupStateTimeout.NoTimeout)
 
