@@ -235,6 +235,8 @@ class Encoder:
         slot = (h & U64(SLOTS - 1)).astype(np.int64)
         hit = self.seen[slot] == h
         number, place = self.number[slot], self.place[slot]
+        if ids:
+            hit &= place >= 0  # what was only counted has no ids yet
         store = self.store
         miss = np.flatnonzero(~hit)
         if len(miss):
@@ -279,8 +281,7 @@ class Encoder:
         slot = (new & U64(SLOTS - 1)).astype(np.int64)
         self.seen[slot] = new
         self.number[slot] = many
-        if where is not None:
-            self.place[slot] = where
+        self.place[slot] = -1 if where is None else where
 
     @staticmethod
     def bytes_of(points: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
