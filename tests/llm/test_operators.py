@@ -264,7 +264,7 @@ def test_scores_by_broadcast_and_by_join_agree(spark):
 
     body = spark.read.parquet(f"{SMALL}/documents.parquet").limit(60).unionByName(docs(spark, [(None, None), (1, ""), (1, "ab"), (1, "ab"), (2, "word " * 200_000)])).select(F.struct("doc_id", F.lit(1).alias("kept")).alias("row"), "lang", "text")
     model = quality.kneser_ney(quality.count_sequences(body), Scratch(spark, "test"))
-    a, b = (sorted(map(str, quality.score(body, model, most=n).withColumn("mean_log_p", F.round("mean_log_p", 4)).collect())) for n in (1 << 20, 0))
+    a, b = (sorted(map(str, quality.score(body, model, quality.share(model, n)).withColumn("mean_log_p", F.round("mean_log_p", 4)).collect())) for n in (1 << 20, 0))
     assert a == b and len(a) == 65
 
 
@@ -401,6 +401,28 @@ def test_encoder_equals_library(name):
         assert code.encode(texts, ids=False)[1].tolist() == [len(w) for w in want]
 
 
+def test_encoder_has_ids_of_what_it_only_counted():
+    """One worker may count texts first and encode them later with the same encoder."""
+    texts = ["of the sea", "the other", "sea of the of"]
+    code, library = (f(public_tokenizers.path("word_bpe_49k.json")) for f in (bpe.Encoder, Tokenizer.from_file))
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert code.encode(texts, ids=False)[1].tolist() == [len(w) for w in want]
+    assert code.encode(texts)[0].tolist() == sum(want, [])
+
+
+def test_search_index_equals_counting():
+    """The index built block by block holds how many hashes lie below each bin."""
+    g = np.random.default_rng(4)
+    for size in (0, 1, 2, 1000, 300_000):
+        key = np.unique(g.integers(0, 1 << 50, size))
+        table = quality.HashArrays(key, -np.arange(1.0, len(key) + 1))
+        assert (table.find(key) == -np.arange(1.0, len(key) + 1, dtype=np.float32)).all() and (table.find(np.array([1 << 51])) == 0).all()
+        if size:
+            shift = np.uint64(64 - max(1, len(key).bit_length()))
+            bins = np.bincount((table.hash >> shift).astype(np.int64), minlength=1 << int(64 - shift))
+            assert (table.start == np.append(0, np.cumsum(bins))).all()
+
+
 def test_token_counts(spark):
     rows = [(1, None), (None, "abc <|endoftext|> ü"), (1, "x" * 3000), (1, "x" * 3000)]
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))

@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window, functions as F
 
 from . import ragged
@@ -31,6 +32,7 @@ LANGUAGES = ("de", "en", "es", "fr")
 MOST_GROUPS, LEAST_ROWS = 24, 10
 ORDER, BYTES, GROUP = 6, 256, 48
 HELD = 1 << 20
+BLOCK = 1 << 18
 MOST = 1 << 23
 SPREADS, LEAST_BELOW, LEAST_ABOVE, SURPRISE, STEP = 6.0, 0.15, 0.7, 4.0, 0.005
 MOST_SYMBOLS, MOST_CAPITALS = 0.02, 0.3
@@ -142,11 +144,11 @@ def count_sequences(docs: DataFrame, names: tuple[str | None, ...] = LANGUAGES)
                     key, n = key[order], np.append(0, np.cumsum(learn[row][order].astype(np.int64)))
                     at = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, int)
                     held.append((key[at], np.diff(n[np.append(at, len(key))])))
-            if sum(len(k) for k, _ in held) > HELD:
-                held = [merged(held)]
-                if len(held[0][0]) > HELD // 2:
-                    yield from rows(held)
-                    held = []
+                if sum(len(k) for k, _ in held) > HELD:
+                    held = [merged(held)]
+                    if len(held[0][0]) > HELD // 2:
+                        yield from rows(held)
+                        held = []
         if held:
             yield from rows(held)
 
@@ -207,7 +209,10 @@ class HashArrays:
             return out
         shift = np.uint64(64 - max(1, len(self.hash).bit_length()))
         if self.start is None:
-            self.start = np.append(0, np.cumsum(np.bincount((self.hash >> shift).astype(np.int64), minlength=1 << int(64 - shift)))).astype(np.int32)
+            bins = 1 << int(64 - shift)
+            self.start = np.full(bins + 1, len(self.hash), np.int32)
+            for a in range(0, bins, BLOCK):  # block by block, as all at once takes several times the table's memory
+                self.start[a : min(a + BLOCK, bins)] = np.searchsorted(self.hash, np.arange(a, min(a + BLOCK, bins), dtype=np.uint64) << shift)
         at, todo = self.start[(h >> shift).astype(np.int64)], np.arange(len(h))
         while len(todo):
             todo = todo[at[todo] < len(self.hash)]
@@ -227,13 +232,22 @@ def _counted(part: pa.RecordBatch, names: tuple[str | None, ...], many: np.ndarr
     return [*(pa.array(counts[c], pa.int64()) for c in STATS), pa.array(failed(counts)), pa.array(group), pa.array(many)], [*STATS, "base_failed", "lang_group", "n_scored"]
 
 
-def score(docs: DataFrame, model: DataFrame, names: tuple[str | None, ...] = LANGUAGES, most: int = MOST) -> DataFrame:
-    """Counts, language group and mean log probability (null under one sequence or without a model) of every row."""
-    learnt = [r[0] for r in model.select(F.shiftright("key", GROUP)).distinct().collect()]
+def share(model: DataFrame, most: int = MOST) -> Broadcast | None:
+    """The model as arrays that every task can search; None where it holds more than ``most`` sequences."""
     if model.count() > most:
-        return _joined(docs, model, names)
+        return None
     table = model.toArrow()
-    shared = docs.sparkSession.sparkContext.broadcast(HashArrays(table.column("key").to_numpy(), table.column("log_p").to_numpy()))
+    return model.sparkSession.sparkContext.broadcast(HashArrays(table.column("key").to_numpy(), table.column("log_p").to_numpy()))
+
+
+def score(docs: DataFrame, model: DataFrame, shared: Broadcast | None, names: tuple[str | None, ...] = LANGUAGES) -> DataFrame:
+    """Counts, language group and mean log probability (null under one sequence or without a model) of every row.
+
+    ``shared`` is what :func:`share` made of ``model``; without it the documents' sequences join the model.
+    """
+    if shared is None:
+        return _joined(docs, model, names)
+    learnt = [r[0] for r in model.select(F.shiftright("key", GROUP)).distinct().collect()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -320,12 +334,13 @@ def quality(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
     names = languages(body)
     scratch = Scratch(docs.sparkSession, "quality")
     model = kneser_ney(count_sequences(body, names), scratch)
-    scored = score(body, model, names)
+    shared = share(model)
+    scored = score(body, model, shared, names)
     if carry and "text" not in carry:
         scored = scratch.save(scored)
         limits = bands(scored)
     else:  # scored a second time rather than written with its texts
-        limits = bands(score(body.select(F.struct(F.lit(0)).alias("row"), "lang", "text"), model, names))
+        limits = bands(score(body.select(F.struct(F.lit(0)).alias("row"), "lang", "text"), model, shared, names))
     return _judge(scored, limits)
 
 
