@@ -249,18 +249,21 @@ def score(docs: DataFrame, model: DataFrame, shared: Broadcast | None, names: tu
         return _joined(docs, model, names)
     learnt = [r[0] for r in model.select(F.shiftright("key", GROUP)).distinct().collect()]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in ragged.slices(batch, "text"):
-                group, total, many = groups(part.column("lang"), names), np.zeros(part.num_rows), np.zeros(part.num_rows, np.int64)
-                for key, row in sequences(part.column("text"), group):
-                    total += np.bincount(row, weights=shared.value.find(key), minlength=len(total))
-                    many += np.bincount(row, minlength=len(total))
-                cols, labels = _counted(part, names, many, group)
-                mean = pa.array(total / np.maximum(many, 1), mask=(many == 0) | ~np.isin(group, learnt))
-                yield pa.RecordBatch.from_arrays([part.column("row"), *cols, mean], ["row", *labels, "mean_log_p"])
-
-    return docs.select("row", "lang", "text").mapInArrow(run, f"row {docs.schema['row'].dataType.simpleString()}, {SCORED}, mean_log_p double")
+    @F.arrow_udf(returnType=f"{SCORED}, mean_log_p double")
+    def judged(lang: pa.Array, text: pa.Array) -> pa.Array:
+        out = []
+        for part in ragged.slices(pa.RecordBatch.from_arrays([lang, text], ["lang", "text"]), "text"):
+            group, total, many = groups(part.column("lang"), names), np.zeros(part.num_rows), np.zeros(part.num_rows, np.int64)
+            for key, row in sequences(part.column("text"), group):
+                total += np.bincount(row, weights=shared.value.find(key), minlength=len(total))
+                many += np.bincount(row, minlength=len(total))
+            cols, labels = _counted(part, names, many, group)
+            mean = pa.array(total / np.maximum(many, 1), mask=(many == 0) | ~np.isin(group, learnt))
+            out.append(pa.StructArray.from_arrays([*cols, mean], [*labels, "mean_log_p"]))
+        return pa.concat_arrays(out)
+
+    # only language and text go to Python, the row itself stays in Spark; not deterministic, so that no filter repeats it
+    return docs.select("row", judged.asNondeterministic()("lang", "text").alias("judged")).select("row", "judged.*")
 
 
 def _joined(docs: DataFrame, model: DataFrame, names: tuple[str | None, ...]) -> DataFrame:
