@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 from tokenizers import Tokenizer, pre_tokenizers
 
-from .ragged import BASE, U64, _INVERSE, mix, powers
+from .ragged import BASE, U64, _INVERSE, give_back, mix, powers
 
 #: The characters that ``\s`` matches.
 WHITE = (*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
@@ -301,6 +301,7 @@ def encoder(path: str) -> Encoder:
     """The encoder for a vocabulary file, made once in each Python worker."""
     if path not in _encoders:
         _encoders[path] = Encoder(path)
+        give_back()
     return _encoders[path]
 
 

@@ -17,6 +17,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from . import ragged
 from .scratch import Scratch
 
 WINDOW = 3
@@ -38,7 +39,7 @@ def _windows(rows: DataFrame, width: int) -> DataFrame:
                         at.append(i)
             yield pa.RecordBatch.from_arrays([pa.array(key, pa.binary()), pa.array(doc, pa.struct([("id", pa.int64()), ("tie", pa.int64())])), pa.array(at, pa.int32())], ["key", "row", "at"])
 
-    return rows.select("row", "text").mapInArrow(run, "key binary, row struct<id:long,tie:long>, at int")
+    return rows.select("row", "text").mapInArrow(ragged.tidy(run), "key binary, row struct<id:long,tie:long>, at int")
 
 
 def dedup_lines(docs: DataFrame, width: int = WINDOW) -> DataFrame:

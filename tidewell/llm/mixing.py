@@ -55,7 +55,7 @@ def rarity(docs: DataFrame) -> np.ndarray:
         some = np.flatnonzero(have)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(some, TERMS)), pa.array(np.append(have[some], rows))], ["term", "n"])
 
-    found = docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    found = docs.select("text").mapInArrow(ragged.tidy(run), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(TERMS + 1)
     out[found.column("term").to_numpy()] = found.column("n").to_numpy()
     return np.log((1 + out[-1]) / (1 + out[:-1])).astype(np.float32)
@@ -111,7 +111,7 @@ def centroids_of(told: DataFrame) -> np.ndarray:
             slot = np.arange(total.size)
             yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(total.ravel())], ["slot", "n"])
 
-        got = told.select("vector").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+        got = told.select("vector").mapInArrow(ragged.tidy(run), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
         total = np.zeros(TOPICS * (DIMS + 1))
         total[got.column("slot").to_numpy()] = got.column("n").to_numpy()
         total = total.reshape(TOPICS, DIMS + 1)
@@ -139,7 +139,7 @@ def described(docs: DataFrame, weight: np.ndarray, vocabulary: str | None) -> Da
 
     kind = docs.select("row", "source", "lang", "u").schema
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kind)
-    return docs.select("row", "source", "lang", "u", "text").mapInArrow(run, fields + ", vector binary, n_tokens long")
+    return docs.select("row", "source", "lang", "u", "text").mapInArrow(ragged.tidy(run), fields + ", vector binary, n_tokens long")
 
 
 def with_topics(told: DataFrame, centroids: np.ndarray) -> DataFrame:

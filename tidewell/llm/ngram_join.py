@@ -97,7 +97,7 @@ def _signatures(docs: DataFrame, k: int) -> DataFrame:
             found = [(len(x), hashlib.blake2b(x.tobytes(), digest_size=16).digest()) for part in ragged.slices(batch, "text") for x in ragged.shingle_sets(part.column("text"), k)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.binary())], ["doc_id", "n_shingles", "sig"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, sig binary")
+    return docs.select("doc_id", "text").mapInArrow(ragged.tidy(run), "doc_id long, n_shingles long, sig binary")
 
 
 def _frequent(docs: DataFrame, k: int, total: int, least: int) -> np.ndarray:
@@ -136,7 +136,7 @@ def _frequent(docs: DataFrame, k: int, total: int, least: int) -> np.ndarray:
         often = np.add.reduceat(many, at) >= bound
         return pa.table({"key": pa.array(keys[at[often]].astype(np.int64))})
 
-    found = docs.select("doc_id", "text").mapInArrow(count, "range int, keys binary, counts binary").filter("keys is not null").groupBy("range").applyInArrow(heavy, "key long").toArrow()
+    found = docs.select("doc_id", "text").mapInArrow(ragged.tidy(count), "range int, keys binary, counts binary").filter("keys is not null").groupBy("range").applyInArrow(heavy, "key long").toArrow()
     return np.sort(found.column("key").to_numpy().astype(np.uint32))
 
 
@@ -205,8 +205,8 @@ def _index(docs: DataFrame, k: int, percent: int, heavy: np.ndarray, total: int)
 
     text = docs.select("doc_id", "text")
     out = "key long, doc_id long, n long, family int, need long"
-    singles = text.mapInArrow(rare, "range int, keys binary, docs binary, ns binary, rests binary").filter("keys is not null").groupBy("range").applyInArrow(several, out)
-    return singles, text.mapInArrow(combos, out) if len(heavy) else None
+    singles = text.mapInArrow(ragged.tidy(rare), "range int, keys binary, docs binary, ns binary, rests binary").filter("keys is not null").groupBy("range").applyInArrow(several, out)
+    return singles, text.mapInArrow(ragged.tidy(combos), out) if len(heavy) else None
 
 
 def _rarest(rows: DataFrame) -> DataFrame:
@@ -235,7 +235,7 @@ def _bitmap(ids: DataFrame) -> np.ndarray:
                 where = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
                 yield pa.RecordBatch.from_arrays([pa.array(word[where]), pa.array(np.bitwise_or.reduceat(bit, where).view(np.int64))], ["word", "bits"])
 
-    got = ids.mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    got = ids.mapInArrow(ragged.tidy(run), "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
     out = np.zeros(size // 64, np.int64)
     out[got.column("word").to_numpy()] = got.column("bits").to_numpy()
     return out.view(np.uint64)
@@ -257,7 +257,7 @@ def _tokens(docs: DataFrame, bitmap: np.ndarray, k: int) -> DataFrame:
                 sets = list(ragged.shingle_sets(part.column("text"), k))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([x.tobytes() for x in sets], pa.binary())], ["doc_id", "tokens"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, tokens binary")
+    return docs.select("doc_id", "text").mapInArrow(ragged.tidy(run), "doc_id long, tokens binary")
 
 
 def _verify(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
@@ -290,7 +290,7 @@ def _verify(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
                         out.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["a", "b"])
 
-    return both.mapInArrow(run, "a long, b long").distinct()
+    return both.mapInArrow(ragged.tidy(run), "a long, b long").distinct()
 
 
 def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80, least: int = 64) -> DataFrame:

@@ -19,6 +19,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
+from . import ragged
 from .bpe import encoder, runs
 from .scratch import Scratch
 
@@ -100,7 +101,7 @@ def pieces_of(docs: DataFrame, vocabulary: str, capacity: int, end_id: int) -> D
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(ragged.tidy(run), PIECES)
 
 
 def pack(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 0, rows: int = 50_000) -> DataFrame:
@@ -138,7 +139,7 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 0
             for out in table.append_column("sequence_id", number).append_column("offset", pa.array(places, pa.int64())).to_batches(65536):
                 yield out
 
-        done = scratch.save(pool.repartition(parts).mapInArrow(run, PACKED))
+        done = scratch.save(pool.repartition(parts).mapInArrow(ragged.tidy(run), PACKED))
         kept = done.filter("sequence_id is not null")
         settled = kept if settled is None else settled.unionByName(kept)
         if last:

@@ -92,8 +92,8 @@ def prose(counts: dict[str, np.ndarray]) -> np.ndarray:
 def sequences(col: pa.Array, group: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """The packed sequences of all texts with their row's group, and the row of each, in runs of bounded size."""
     data, offs = ragged.utf8(col)
-    for a in range(0, len(data), ragged.CHUNK):
-        part = data[a : a + ragged.CHUNK + ORDER - 1].astype(np.int64)
+    for a in range(0, len(data), BLOCK):
+        part = data[a : a + BLOCK + ORDER - 1].astype(np.int64)
         key = np.zeros(max(0, len(part) - ORDER + 1), np.int64)
         for j in range(ORDER):
             key = key << 8 | part[j : j + len(key)]
@@ -122,15 +122,20 @@ def languages(docs: DataFrame) -> tuple[str | None, ...]:
 def count_sequences(docs: DataFrame, names: tuple[str | None, ...] = LANGUAGES) -> DataFrame:
     """(key, n) of every sequence of every group: how often prose has it, 0 where only other documents do."""
 
-    def merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-        key, n = (np.concatenate([h[i] for h in held]) for i in (0, 1))
+    def merge(held: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        """Make one pair of arrays of all, each part let go as soon as it is copied."""
+        key, n = [k for k, _ in held], [m for _, m in held]
+        held.clear()
+        key = np.concatenate(key)
         order = np.argsort(key)
-        key, n = key[order], n[order]
+        key = key[order]
+        n = np.concatenate(n)[order]
+        del order
         at = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, int)
-        return key[at], np.add.reduceat(n, at) if len(at) else n
+        held.append((key[at], np.add.reduceat(n, at) if len(at) else n))
 
     def rows(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        key, n = merged(held)
+        key, n = held.pop()
         for a in range(0, len(key), 1 << 16):
             yield pa.RecordBatch.from_arrays([pa.array(key[a : a + (1 << 16)]), pa.array(n[a : a + (1 << 16)])], ["key", "n"])
 
@@ -145,14 +150,14 @@ def count_sequences(docs: DataFrame, names: tuple[str | None, ...] = LANGUAGES)
                     at = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, int)
                     held.append((key[at], np.diff(n[np.append(at, len(key))])))
                 if sum(len(k) for k, _ in held) > HELD:
-                    held = [merged(held)]
+                    merge(held)
                     if len(held[0][0]) > HELD // 2:
                         yield from rows(held)
-                        held = []
         if held:
+            merge(held)
             yield from rows(held)
 
-    counted = docs.select("lang", "text").mapInArrow(run, "key long, n long")
+    counted = docs.select("lang", "text").mapInArrow(ragged.tidy(run), "key long, n long")
     return counted.repartition("key").groupBy("key").agg(F.sum("n").alias("n"))  # a task ships few rows of a key, so none are summed before
 
 
@@ -260,6 +265,7 @@ def score(docs: DataFrame, model: DataFrame, shared: Broadcast | None, names: tu
             cols, labels = _counted(part, names, many, group)
             mean = pa.array(total / np.maximum(many, 1), mask=(many == 0) | ~np.isin(group, learnt))
             out.append(pa.StructArray.from_arrays([*cols, mean], [*labels, "mean_log_p"]))
+        ragged.give_back()
         return pa.concat_arrays(out)
 
     # only language and text go to Python, the row itself stays in Spark; not deterministic, so that no filter repeats it
@@ -292,9 +298,9 @@ def _joined(docs: DataFrame, model: DataFrame, names: tuple[str | None, ...]) ->
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("row", "h1", "h2")), *cols], ["row", "h1", "h2", *labels])
 
     texts = named.select("h1", "h2", "lang", "text").dropDuplicates(["h1", "h2"])
-    pairs = texts.mapInArrow(split, "h1 long, h2 long, key long, n long")
+    pairs = texts.mapInArrow(ragged.tidy(split), "h1 long, h2 long, key long, n long")
     sums = pairs.join(model, "key").groupBy("h1", "h2").agg(F.sum(F.col("n") * F.col("log_p")).alias("sum"))
-    counted = named.select("row", "h1", "h2", "lang", "text").mapInArrow(count, f"row {docs.schema['row'].dataType.simpleString()}, h1 long, h2 long, {SCORED}")
+    counted = named.select("row", "h1", "h2", "lang", "text").mapInArrow(ragged.tidy(count), f"row {docs.schema['row'].dataType.simpleString()}, h1 long, h2 long, {SCORED}")
     return counted.join(sums, ["h1", "h2"], "left").withColumn("mean_log_p", F.when(F.col("n_scored") > 0, F.col("sum") / F.col("n_scored"))).drop("h1", "h2", "sum")
 
 

@@ -8,6 +8,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
+from . import ragged
 from .bpe import encoder, runs
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
@@ -33,4 +34,4 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 512) -> DataFram
                 _, count = code.encode(column.slice(a, b - a).to_pylist(), ids=False)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), size.slice(a, b - a), pa.array(count, pa.int64()), pa.array(count > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(ragged.tidy(run), SCHEMA)
