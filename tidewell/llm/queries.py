@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cotraining, line_dedup, url_filter
+from . import cotraining, line_dedup, suffix_dedup, url_filter
 from .ngram_join import ngram_components
 from .html_text import extract
 from .line_dedup import dedup_lines
@@ -72,6 +72,11 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cotraining.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_url_filter, op3_quality_rules, op4_mixing, op5_token_counts, op6_media, op7_html_text, op8_packing, op9_line_dedup, op10_quality_classifier)}
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the 400-byte strings that occur more than once."""
+    return suffix_dedup.digests(table(spark, sf_dir, "documents"))
 
-ORACLE: dict[str, str] = {"op2_url_filter": url_filter.oracle(), "op9_line_dedup": line_dedup.oracle()}
+
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_url_filter, op3_quality_rules, op4_mixing, op5_token_counts, op6_media, op7_html_text, op8_packing, op9_line_dedup, op10_quality_classifier, op13_suffix_dedup)}
+
+ORACLE: dict[str, str] = {"op2_url_filter": url_filter.oracle(), "op9_line_dedup": line_dedup.oracle(), "op13_suffix_dedup": suffix_dedup.oracle()}
