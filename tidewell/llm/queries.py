@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import clustering, cotraining, line_dedup, suffix_dedup, url_filter
+from . import clustering, cotraining, fill_middle, line_dedup, suffix_dedup, url_filter
 from .ngram_join import ngram_components
 from .html_text import extract
 from .line_dedup import dedup_lines
@@ -72,6 +72,11 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cotraining.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document turned around a middle of whole lines, and rebuilt."""
+    return fill_middle.digests(table(spark, sf_dir, "documents"))
+
+
 def op12_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cluster of every vector of ``embeddings`` and its squared distance, in whole numbers."""
     return clustering.cluster(table(spark, sf_dir, "embeddings"))
@@ -82,6 +87,6 @@ def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_url_filter, op3_quality_rules, op4_mixing, op5_token_counts, op6_media, op7_html_text, op8_packing, op9_line_dedup, op10_quality_classifier, op12_clustering, op13_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_url_filter, op3_quality_rules, op4_mixing, op5_token_counts, op6_media, op7_html_text, op8_packing, op9_line_dedup, op10_quality_classifier, op11_fill_middle, op12_clustering, op13_suffix_dedup)}
 
-ORACLE: dict[str, str] = {"op2_url_filter": url_filter.oracle(), "op9_line_dedup": line_dedup.oracle(), "op12_clustering": clustering.oracle(), "op13_suffix_dedup": suffix_dedup.oracle()}
+ORACLE: dict[str, str] = {"op2_url_filter": url_filter.oracle(), "op9_line_dedup": line_dedup.oracle(), "op11_fill_middle": fill_middle.oracle(), "op12_clustering": clustering.oracle(), "op13_suffix_dedup": suffix_dedup.oracle()}
