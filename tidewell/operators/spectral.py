@@ -12,6 +12,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from . import recurrences
+
 
 def per_track(s: DataFrame, f: Callable[[np.ndarray], dict[str, np.ndarray | list]], schema: str) -> DataFrame:
     """Apply ``f`` to each track's samples in order; it returns equally long columns."""
@@ -104,16 +106,8 @@ def biquad(kind: str, rate: float, f0: float, q: float, gain_db: float = 0.0) ->
 
 
 def filtered(b: np.ndarray, a: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Direct form II transposed."""
-    z1 = z2 = 0.0
-    out = np.empty(len(x))
-    b0, b1, b2, a1, a2 = *b.tolist(), *a.tolist()[1:]
-    for i, v in enumerate(x.tolist()):
-        y = b0 * v + z1
-        z1 = b1 * v - a1 * y + z2
-        z2 = b2 * v - a2 * y
-        out[i] = y
-    return out
+    """A second-order section over one track's samples; see ``recurrences`` for tracks of many blocks."""
+    return recurrences.filtered(recurrences.sections((b, a)), x)
 
 
 #: The two sections of the loudness weighting at 48 kHz.
@@ -121,8 +115,11 @@ K_SHELF = (np.array([1.53512485958697, -2.69169618940638, 1.19839281085285]), np
 K_HIGHPASS = (np.array([1.0, -2.0, 1.0]), np.array([1.0, -1.99004745483398, 0.99007225036621]))
 
 
+K_WEIGHTING = recurrences.sections(K_SHELF, K_HIGHPASS)
+
+
 def k_weighted(x: np.ndarray) -> np.ndarray:
-    return filtered(*K_HIGHPASS, filtered(*K_SHELF, x))
+    return recurrences.filtered(K_WEIGHTING, x)
 
 
 def true_peak(x: np.ndarray, factor: int = 4, taps: int = 12) -> float:

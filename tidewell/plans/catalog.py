@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import level_queries, model_queries, report_queries, scalar_queries, sequence_queries, transform_queries
+from . import level_queries, meter_queries, model_queries, report_queries, scalar_queries, sequence_queries, transform_queries
 
-MODULES = (level_queries, sequence_queries, model_queries, transform_queries, scalar_queries, report_queries)
+MODULES = (level_queries, sequence_queries, model_queries, transform_queries, scalar_queries, report_queries, meter_queries)
 QUERIES: dict = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLE: dict[str, str] = {name: sql for m in MODULES for name, sql in m.ORACLE.items()}
 FLAGSHIP = "gated_level"

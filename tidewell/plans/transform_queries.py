@@ -60,7 +60,6 @@ QUERIES = {
     "band_energy": _one("b", _bands, "band long, energy double"),
     "flux_onsets": _one("f", _onsets, "frame long, flux double"),
     "mfcc_statistics": _one("m", _mfcc, "coefficient long, mean double, std double"),
-    "weighted_level": _one("k", lambda x: {"power": [float((P.k_weighted(x) ** 2).mean())]}, "power double"),
     "true_peak": _one("t", lambda x: {"true_peak": [P.true_peak(x)], "peak": [float(np.abs(x).max())]}, "true_peak double, peak double"),
     "resampled": _one("r", lambda x: {"idx": np.arange(int(len(x) * 1.5)), "x": P.resampled(x, 2, 3, 8)}, "idx long, x double"),
     "harmonic_percussive": _one("h", _layers, "harmonic double, percussive double, whole double"),
