@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidewell.operators import recurrences as R, spectral as P
+from tidewell.operators import recurrences as R, spectral as P, standard as S
 
 from .level_queries import _db
 from .views import SIGNAL, rounded, signal
@@ -65,9 +65,57 @@ def weighted_level(spark: SparkSession, d: str) -> DataFrame:
     return rounded(hops.groupBy("track").agg(F.avg("power").alias("power")))
 
 
-QUERIES = {f.__name__: f for f in (loudness_stereo, loudness_surround, weighted_level)}
+RATE, TAPS, REACH, QUIET = 8, 4, 20, -6.5  # rate of the result, the resampler's reach, block size, what counts as quiet
+
+
+def _standard(spark: SparkSession, d: str) -> DataFrame:
+    """The view's channels as tracks of three rates."""
+    rate = F.element_at(F.array(F.lit(6), F.lit(8), F.lit(12)), (F.col("track") % 3 + 1).cast("int"))
+    return S.standardized(signal(spark, d).withColumn("rate", rate), ["l", "r", "c"], RATE, REACH, TAPS)
+
+
+STANDARD = f"""rated as (select track, idx, (l + c) / 2 a, r b, case track % 3 when 0 then 6 when 1 then 8 else 12 end rate from signal),
+ ends as (select track, rate, count(*) n from rated group by 1, 2),
+ outs as (select track, rate, unnest(range((n * {RATE} + rate - 1) // rate)) j from ends),
+ near as (select track, rate, j, j * rate // {RATE} + k as idx, (j * rate % {RATE}) / {RATE}.0::double - k as away, least(1.0::double, {RATE}.0::double / rate) cut from outs cross join range({1 - TAPS}, {TAPS + 1}) t(k) where rate <> {RATE} or k = 0),
+ weight as (select *, case when rate = {RATE} then 1 else cut * case when away = 0 then 1 else sin(pi() * cut * away) / (pi() * cut * away) end * (0.5 + 0.5 * cos(pi() * greatest(least(away / {TAPS}, 1), -1))) end w from near),
+ standard as materialized (select track, j, greatest(least(coalesce(sum(a * w), 0), 1), -1)::float::double l, greatest(least(coalesce(sum(b * w), 0), 1), -1)::float::double r from weight left join rated using (track, idx) group by 1, 2)"""
+SECONDS = f"""secs as (select track, j // {RATE} as win, sum(l * l + r * r) / 2 p, count(*) n from standard group by 1, 2),
+ lev as (select *, n = {RATE} as whole, case when p > 0 then 10 * log10(p / n) end db from secs),
+ runs as (select track, win, win - row_number() over (partition by track order by win) g from lev where whole and coalesce(db < {QUIET}, true)),
+ gap as (select track, min(win) "start", count(*) length from runs group by track, g having count(*) >= 2)"""
+
+
+def standardized_samples(spark: SparkSession, d: str) -> DataFrame:
+    """Three channels of three rates as two channels of one."""
+    out = rounded(S.samples(_standard(spark, d)), 5)
+    return out.select("track", "idx", *(F.when(F.col(c) == 0, 0.0).otherwise(F.col(c)).alias(c) for c in "lr"))  # no negative zero
+
+
+def standardized_digests(spark: SparkSession, d: str) -> DataFrame:
+    """Length and composed hash of every standardized track."""
+    return S.digests(_standard(spark, d))
+
+
+def signal_health(spark: SparkSession, d: str) -> DataFrame:
+    """Levels, verdict and dead air of every standardized track."""
+    return rounded(S.health(S.seconds(_standard(spark, d), RATE), QUIET, 2, early=3, digital_db=-7.0, silent_db=-6.2, target_db=14.0, most_gain_db=20.5), 5)
+
+
+def dead_air(spark: SparkSession, d: str) -> DataFrame:
+    """Runs of quiet windows in every standardized track."""
+    return S.dead_air(S.seconds(_standard(spark, d), RATE), QUIET, 2)
+
+
+QUERIES = {f.__name__: f for f in (loudness_stereo, loudness_surround, weighted_level, standardized_samples, standardized_digests, signal_health, dead_air)}
 ORACLE = {
     "loudness_stereo": _loudness({"l": "l", "r": "r"}, R.STEREO, HOP),
     "loudness_surround": _loudness(SIX, R.SURROUND, HOP),
     "weighted_level": f"with recursive {SIGNAL}, {_wave({'x': 'x'})}, {_recursion(P.K_WEIGHTING)} select track, round(avg(y * y), 6) power from f group by 1",
+    "standardized_samples": f"with {SIGNAL}, {STANDARD} select track, j idx, case when round(l, 5) = 0 then 0 else round(l, 5) end l, case when round(r, 5) = 0 then 0 else round(r, 5) end r from standard",
+    "dead_air": f'with {SIGNAL}, {STANDARD}, {SECONDS} select track, "start", length from gap',
+    "signal_health": f"""with {SIGNAL}, {STANDARD}, {SECONDS}, a as (select track, sum(n)::bigint n, case when sum(p) > 0 then 10 * log10(sum(p) / sum(n)) end level_db, case when sum(p) filter (win < 3) > 0 then 10 * log10(sum(p) filter (win < 3) / sum(n) filter (win < 3)) end early_db, min(db) filter (whole and db >= {QUIET}) least_loud_db from lev group by 1),
+ g as (select track, count(*) gaps, sum(length)::bigint gap_windows, max(length) longest_gap from gap group by 1)
+ select track, n, round(level_db, 5) level_db, round(early_db, 5) early_db, round(least_loud_db, 5) least_loud_db, case when coalesce(early_db < -7, true) then 'dead' when coalesce(level_db < -6.2, true) then 'silent' when 14 - (level_db - 1) > 20.5 then 'faint' else 'ok' end verdict,
+ coalesce(gaps, 0) gaps, coalesce(gap_windows, 0) gap_windows, coalesce(longest_gap, 0) longest_gap from a left join g using (track)""",
 }
