@@ -7,7 +7,7 @@ import uuid
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidewell.operators import spectral as P
+from tidewell.operators import onsets as O, spectral as P
 from tidewell.sources.storage import checkpoints
 from tidewell.streaming import twins
 
@@ -66,7 +66,54 @@ QUERIES = {
     "components_nmf": _one("n", _components, "component long, energy double, centroid double"),
     "node_chain": _one("c", _chain, "peak double, power double"),
 }
-ORACLE: dict[str, str] = {}
+
+
+def superflux(spark: SparkSession, d: str) -> DataFrame:
+    """Onset strength of every frame over blocks of twenty samples."""
+    return rounded(O.superflux(signal(spark, d), RATE, SIZE, HOP, 6, block=20))
+
+
+QUERIES["superflux"] = superflux
+
+
+def _table(name: str, columns: str, rows: np.ndarray) -> str:
+    """A matrix as a table (row, column, value)."""
+    values = ", ".join(f"({i}, {j}, {v!r}::double)" for i, row in enumerate(rows.tolist()) for j, v in enumerate(row))
+    return f"{name}({columns}) as (values {values})"
+
+
+def _spectrum(centre: bool) -> str:
+    """``mag(track, frame, bin, m)``: the discrete Fourier transform of windowed frames, by its definition."""
+    count = f"n // {HOP} + 1" if centre else f"(greatest(n, {SIZE}) - {SIZE}) // {HOP} + 1"
+    wave = np.arange(SIZE) * np.arange(SIZE // 2 + 1)[:, None] * 2 * np.pi / SIZE
+    both = np.concatenate([np.cos(wave), -np.sin(wave)]) * P.hann(SIZE)
+    return f"""{_table('wave', 'part, k, w', both)}, long as (select track, count(*) n from signal group by 1),
+ spot as (select track, frame, frame * {HOP} - {SIZE // 2 if centre else 0} + k as idx, k from (select track, unnest(range({count})) frame from long) cross join range({SIZE}) t(k)),
+ parts as (select track, frame, part, sum(coalesce(x, 0) * w) v from spot left join signal using (track, idx) join wave using (k) group by 1, 2, 3),
+ mag as materialized (select track, frame, part % {SIZE // 2 + 1} as bin, sqrt(sum(v * v)) m from parts group by 1, 2, 3)"""
+
+
+def _sinc(x: str) -> str:
+    return f"case when {x} = 0 then 1.0::double else sin(pi() * {x}) / (pi() * {x}) end"
+
+
+FLUX = "rise as (select track, frame, sum(greatest(m - before, 0)) r from (select *, lag(m) over (partition by track, bin order by frame) before from mag) group by 1, 2), f as (select track, frame, coalesce(r, 0) / max(r) over (partition by track) v from rise)"
+ORACLE: dict[str, str] = {
+    "band_energy": f"with {SIGNAL}, {_spectrum(True)} select track, bin band, round(avg(m * m), 6) energy from mag group by 1, 2",
+    "spectral_descriptors": f"""with {SIGNAL}, {_spectrum(True)}, e as (select track, frame, sum(m * bin * {RATE / SIZE!r}::double) / sum(m) c, exp(avg(ln(m * m + 1e-20))) / avg(m * m + 1e-20) f, max(m) / avg(m) t from mag group by 1, 2 having sum(m) > 1e-10),
+ every as (select distinct track from signal) select track, round(coalesce(avg(c), 1000), 6) centroid, round(coalesce(avg(f), 0.5), 6) flatness, round(coalesce(avg(t), 10), 6) crest from every left join e using (track) group by 1""",
+    "flux_onsets": f"with {SIGNAL}, {_spectrum(True)}, {FLUX} select track, frame, round(v, 6) flux from (select *, lag(v) over w a, lead(v) over w b from f window w as (partition by track order by frame)) where v >= 0.5 and v > a and v > b",
+    "mfcc_statistics": f"""with {SIGNAL}, {_spectrum(False)}, {_table('mel', 'band, bin, w', P.mel_filters(8, SIZE, RATE))}, {_table('turn', 'coefficient, band, c', np.cos(np.pi * np.arange(5)[:, None] * (np.arange(8) + 0.5) / 8))},
+ e as (select track, frame, band, log10(greatest(sum(m * m * w), 1e-10)) e from mag join mel using (bin) group by 1, 2, 3), q as (select track, frame, coefficient, sum(e * c) q from e join turn using (band) group by 1, 2, 3)
+ select track, coefficient, round(avg(q), 6) mean, round(stddev_pop(q), 6) std from q group by 1, 2""",
+    "true_peak": f"""with {SIGNAL}, y as (select s.track, 4 * idx + k as j, sum(x * ({_sinc('(k / 4.0::double)')}) * (0.5 - 0.5 * cos(2 * pi() * (k + 49) / 98.0::double))) y from signal s cross join range(-48, 49) t(k) group by 1, 2),
+ e as (select track, count(*) n, max(abs(x)) peak from signal group by 1) select track, round(greatest(max(abs(y)), max(peak)), 6) true_peak, round(max(peak), 6) peak from e join y using (track) where j between 0 and 4 * n - 1 group by 1""",
+    "resampled": f"""with {SIGNAL}, long as (select track, count(*) n from signal group by 1), spot as (select track, j, j * 2 // 3 + k as idx, (j * 2) / 3.0::double - (j * 2 // 3 + k) d from (select track, unnest(range(n * 3 // 2)) j from long) cross join range(-7, 9) t(k))
+ select track, j idx, round(coalesce(sum(x * ({_sinc('d')}) * (0.5 + 0.5 * cos(pi() * greatest(least(d / 8, 1), -1)))), 0), 6) x from spot left join signal using (track, idx) group by 1, 2""",
+    "superflux": f"""with {SIGNAL}, {_spectrum(False)}, {_table('mel', 'band, bin, w', O.mel_bands(6, SIZE, RATE))}, fits as (select track from long where n >= {SIZE}),
+ e as (select track, frame, band, ln(1 + 10 * sum(m * w)) e from mag join mel using (bin) semi join fits using (track) group by 1, 2, 3), wide as (select *, max(e) over (partition by track, frame order by band rows between 1 preceding and 1 following) top from e)
+ select track, frame, round(avg(greatest(e - coalesce(before, 0), 0)), 6) strength from (select *, lag(top) over (partition by track, band order by frame) before from wide) group by 1, 2""",
+}
 
 
 def _finished(query) -> None:
