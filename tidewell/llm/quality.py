@@ -132,12 +132,13 @@ def count_sequences(docs: DataFrame, names: tuple[str | None, ...] = LANGUAGES)
         n = np.concatenate(n)[order]
         del order
         at = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, int)
-        held.append((key[at], np.add.reduceat(n, at) if len(at) else n))
+        key = key[at]
+        held.append((key, np.add.reduceat(n, at) if len(at) else n))
 
     def rows(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         key, n = held.pop()
         for a in range(0, len(key), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(key[a : a + (1 << 16)]), pa.array(n[a : a + (1 << 16)])], ["key", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(key[a : a + (1 << 16)]), pa.array(n[a : a + (1 << 16)].astype(np.int64))], ["key", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -148,7 +149,7 @@ def count_sequences(docs: DataFrame, names: tuple[str | None, ...] = LANGUAGES)
                     order = np.argsort(key)
                     key, n = key[order], np.append(0, np.cumsum(learn[row][order].astype(np.int64)))
                     at = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, int)
-                    held.append((key[at], np.diff(n[np.append(at, len(key))])))
+                    held.append((key[at], np.diff(n[np.append(at, len(key))]).astype(np.int32)))
                 if sum(len(k) for k, _ in held) > HELD:
                     merge(held)
                     if len(held[0][0]) > HELD // 2:

@@ -25,7 +25,7 @@ _RANDOM = np.random.Generator(np.random.PCG64(20240607))
 BYTE = _RANDOM.integers(1, 2**64, 256, dtype=U64)
 BASE = U64(0x9E3779B97F4A7C15)
 STEP = U64(0xD1342543DE82EF95)
-CHUNK = 1 << 19
+CHUNK = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:
