@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tidewell.sources.storage import checkpoints
+from tidewell.sources.storage import saved
 
 from . import blocks as B, levels
 
@@ -93,73 +93,101 @@ def filtered(parts: Sections, x: np.ndarray) -> np.ndarray:
     return of(parts).run(np.asarray(x, float)[None], np.zeros((1, 2 * len(parts))))[0]
 
 
-def _compose(cascade: Cascade, n: list[int], forced: np.ndarray, state: np.ndarray) -> np.ndarray:
-    """The states before each of the blocks and after the last; ``forced`` is (blocks, channels, state)."""
-    out = [state]
-    for k, f in zip(n, forced):
-        out.append(out[-1] @ cascade.power(k).T + f)
-    return np.array(out)
+Voices = Sequence[tuple[str, Sections]]  # a channel and the filter it goes through; a channel may have many
 
 
-def entries(b: DataFrame, parts: Sections, channels: Sequence[str] = ("x",)) -> DataFrame:
-    """(track, seq, state): the state with which every block is entered, the channels' one after the other."""
-    checkpoints(b.sparkSession)
+def _split(flat: np.ndarray, voices: Voices) -> list[np.ndarray]:
+    """The states of the voices, side by side in the last axis of ``flat``."""
+    return np.split(flat, np.cumsum([2 * len(parts) for _, parts in voices])[:-1], axis=-1)
+
+
+def _compose(voices: Voices, n: list[int], left: np.ndarray, state: np.ndarray) -> np.ndarray:
+    """The states before each of the blocks and after the last, from ``state`` on; ``left`` has the forced responses."""
+    out = []
+    for (_, parts), start, forced in zip(voices, _split(state, voices), _split(left, voices)):
+        cascade, held = of(parts), [start]
+        for k, f in zip(n, forced):
+            held.append(cascade.power(k) @ held[-1] + f)
+        out.append(np.array(held))
+    return np.concatenate(out, axis=1)
+
+
+def entries(b: DataFrame, voices: Voices) -> DataFrame:
+    """(track, seq, state): the states with which every block is entered, the voices' side by side."""
     kind = b.schema["track"].dataType.simpleString()
-    wide = len(channels)
+    channels = list(dict.fromkeys(c for c, _ in voices))
+    zero = np.zeros(sum(2 * len(parts) for _, parts in voices))
 
     def forced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cascade = of(parts)
         for batch in batches:
             for rows in B.by_length(batch):
                 some = batch.take(pa.array(rows))
-                left = np.stack([cascade.ends(B.matrix(some.column(c))) for c in channels], axis=1)
-                yield pa.RecordBatch.from_arrays([some.column("track"), some.column("seq"), some.column("n"), B.lists(left.reshape(len(rows), -1))], ["track", "seq", "n", "left"])
+                x = {c: B.matrix(some.column(c)) for c in channels}
+                left = np.concatenate([of(parts).ends(x[c]) for c, parts in voices], axis=1)
+                yield pa.RecordBatch.from_arrays([some.column("track"), some.column("seq"), some.column("n"), B.lists(left)], ["track", "seq", "n", "left"])
 
     def states(t: pa.Table, entry: np.ndarray) -> np.ndarray:
-        return _compose(of(parts), t.column("n").to_pylist(), B.matrix(t.column("left")).reshape(len(t), wide, -1), entry)
-
-    zero = np.zeros((wide, 2 * len(parts)))
+        return _compose(voices, t.column("n").to_pylist(), B.matrix(t.column("left")), entry)
 
     def whole(t: pa.Table) -> pa.Table:
         t = t.sort_by("seq")
-        last = states(t, zero)[-1]
-        return pa.table({"track": t.column("track")[:1], "span": t.column("span")[:1], "n": pa.array([sum(t.column("n").to_pylist())], pa.int64()), "left": B.lists(last.reshape(1, -1))})
+        last = states(t, zero)[-1:]
+        return pa.table({"track": t.column("track")[:1], "span": t.column("span")[:1], "n": pa.array([sum(t.column("n").to_pylist())], pa.int64()), "left": B.lists(last)})
 
     def between(t: pa.Table) -> pa.Table:
         t = t.sort_by("span")
-        before = states(t, zero)[:-1]
-        return pa.table({"track": t.column("track"), "span": t.column("span"), "entry": B.lists(before.reshape(len(t), -1))})
+        return pa.table({"track": t.column("track"), "span": t.column("span"), "entry": B.lists(states(t, zero)[:-1])})
 
     def inside(t: pa.Table) -> pa.Table:
         t = t.sort_by("seq")
-        before = states(t, B.matrix(t.column("entry"))[0].reshape(zero.shape))[:-1]
-        return pa.table({"track": t.column("track"), "seq": t.column("seq"), "state": B.lists(before.reshape(len(t), -1))})
+        before = states(t, B.matrix(t.column("entry"))[0])[:-1]
+        return pa.table({"track": t.column("track"), "seq": t.column("seq"), "state": B.lists(before)})
 
     pairs = b.select("track", "seq", "n", *channels).mapInArrow(forced, f"track {kind}, seq long, n int, left array<double>")
-    pairs = pairs.withColumn("n", F.col("n").cast("long")).withColumn("span", F.floor(F.col("seq") / FAN)).checkpoint()
+    pairs = saved(pairs.withColumn("n", F.col("n").cast("long")).withColumn("span", F.floor(F.col("seq") / FAN)))
     spans = pairs.groupBy("track", "span").applyInArrow(whole, f"track {kind}, span long, n long, left array<double>")
     entry = spans.groupBy("track").applyInArrow(between, f"track {kind}, span long, entry array<double>")
     return pairs.join(entry, ["track", "span"]).groupBy("track", "span").applyInArrow(inside, f"track {kind}, seq long, state array<double>")
 
 
-def filtered_blocks(b: DataFrame, parts: Sections, channels: Sequence[str] = ("x",)) -> DataFrame:
-    """The blocks with every channel filtered. Tracks start from silence; an empty table gives an empty one."""
-    kind = b.schema["track"].dataType.simpleString()
+def _entered(b: DataFrame, voices: Voices) -> DataFrame:
+    return b.join(entries(b, voices), ["track", "seq"]).select("track", "seq", "n", *dict.fromkeys(c for c, _ in voices), "state")
+
+
+def _filtered(batch: pa.RecordBatch, voices: Voices) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """Rows of equal length, and each voice's samples of them."""
+    for rows in B.by_length(batch):
+        some = batch.take(pa.array(rows))
+        x = {c: B.matrix(some.column(c)) for c, _ in voices}
+        yield some, [of(parts).run(x[c], state) for (c, parts), state in zip(voices, _split(B.matrix(some.column("state")), voices))]
+
+
+def filtered_blocks(b: DataFrame, parts: Sections | dict[str, tuple[str, Sections]], channels: Sequence[str] = ("x",)) -> DataFrame:
+    """The blocks with every channel filtered, or with the named voices of a bank (name: channel and filter) as columns.
+
+    Tracks start from silence; an empty table gives an empty one.
+    """
+    bank = parts if isinstance(parts, dict) else {c: (c, parts) for c in channels}
+    kind, voices = b.schema["track"].dataType.simpleString(), list(bank.values())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, out in _filtered(batch, parts, channels):
-                yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in ("track", "seq", "n")), *(B.lists(y) for y in out)], ["track", "seq", "n", *channels])
+            for rows, out in _filtered(batch, voices):
+                yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in ("track", "seq", "n")), *(B.lists(y) for y in out)], ["track", "seq", "n", *bank])
 
-    met = b.join(entries(b, parts, channels), ["track", "seq"]).select("track", "seq", "n", *channels, "state")
-    return met.mapInArrow(run, f"track {kind}, seq long, n int, {', '.join(f'{c} array<double>' for c in channels)}")
+    return _entered(b, voices).mapInArrow(run, f"track {kind}, seq long, n int, {', '.join(f'{c} array<double>' for c in bank)}")
 
 
-def _filtered(batch: pa.RecordBatch, parts: Sections, channels: Sequence[str]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
-    for rows in B.by_length(batch):
-        some = batch.take(pa.array(rows))
-        state = B.matrix(some.column("state")).reshape(len(rows), len(channels), -1)
-        yield some, [of(parts).run(B.matrix(some.column(c)), state[:, i]) for i, c in enumerate(channels)]
+def block_powers(b: DataFrame, bank: dict[str, tuple[str, Sections]]) -> DataFrame:
+    """(track, seq, n, one column per voice): the sum of each voice's squares over a block; no samples are kept."""
+    kind, voices = b.schema["track"].dataType.simpleString(), list(bank.values())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, out in _filtered(batch, voices):
+                yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in ("track", "seq", "n")), *(pa.array((y * y).sum(axis=1)) for y in out)], ["track", "seq", "n", *bank])
+
+    return _entered(b, voices).mapInArrow(run, f"track {kind}, seq long, n int, {', '.join(f'{c} double' for c in bank)}")
 
 
 def hop_powers(b: DataFrame, size: int, parts: Sections, hop: int, weights: dict[str, float]) -> DataFrame:
@@ -170,18 +198,17 @@ def hop_powers(b: DataFrame, size: int, parts: Sections, hop: int, weights: dict
     """
     if size % hop:
         raise ValueError("the block size must be a multiple of the hop")
-    kind, channels = b.schema["track"].dataType.simpleString(), list(weights)
+    kind, voices = b.schema["track"].dataType.simpleString(), [(c, parts) for c in weights]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, out in _filtered(batch, parts, channels):
+            for rows, out in _filtered(batch, voices):
                 power = sum(w * y * y for w, y in zip(weights.values(), out))
                 many = power.shape[1] // hop
                 sums = power[:, : many * hop].reshape(len(power), many, hop).sum(axis=2)
                 yield pa.RecordBatch.from_arrays([rows.column("track"), rows.column("seq"), B.lists(sums)], ["track", "seq", "sums"])
 
-    met = b.join(entries(b, parts, channels), ["track", "seq"]).select("track", "seq", "n", *channels, "state")
-    held = met.mapInArrow(run, f"track {kind}, seq long, sums array<double>")
+    held = _entered(b, voices).mapInArrow(run, f"track {kind}, seq long, sums array<double>")
     each = held.select("track", "seq", F.posexplode_outer("sums").alias("at", "power"))
     return each.select("track", (F.col("seq") * (size // hop) + F.col("at")).alias("hop"), "power")
 

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidewell.operators import recurrences as R, spectral as P, standard as S
+from tidewell.operators import banks as K, levels as L, recurrences as R, spectral as P, standard as S
 
-from .level_queries import _db
+from .level_queries import ORACLE as LEVEL_ORACLE, _db
 from .views import SIGNAL, rounded, signal
 
 HOP, SIZE = 2, 6  # a track has some 66 samples: about eleven blocks
@@ -20,12 +20,16 @@ def _six(s: DataFrame) -> DataFrame:
 SIX = {"l": "l", "r": "r", "c": "c - 0.45", "ls": "l * c", "rs": "r * 0.5"}
 
 
-def _recursion(parts: R.Sections) -> str:
-    """``wave(track, ch, idx, v)`` filtered sample by sample: the transposed direct form as a recursive table."""
+def _recursion(parts: R.Sections | list) -> str:
+    """``wave(track, ch, idx, v)`` filtered sample by sample: the transposed direct form as a recursive table.
+
+    A coefficient is a number or the name of a column of ``wave``.
+    """
+    num = lambda c: c if isinstance(c, str) else f"{c!r}::double"
     y, start, step = "v", [], []
     for i, (b, a) in enumerate(parts):
-        out = f"({b[0]!r}::double * ({y}) + {{p{i}}})"
-        step.append((f"{b[1]!r}::double * ({y}) - {a[1]!r}::double * {out} + {{q{i}}}", f"{b[2]!r}::double * ({y}) - {a[2]!r}::double * {out}"))
+        out = f"({num(b[0])} * ({y}) + {{p{i}}})"
+        step.append((f"{num(b[1])} * ({y}) - {num(a[1])} * {out} + {{q{i}}}", f"{num(b[2])} * ({y}) - {num(a[2])} * {out}"))
         y = out
     names = [f"{x}{i}" for i in range(len(parts)) for x in "pq"]
     fill = lambda text, old: text.format(**{n: (f"f.{n}" if old else "0.0::double") for n in names})
@@ -107,8 +111,55 @@ def dead_air(spark: SparkSession, d: str) -> DataFrame:
     return S.dead_air(S.seconds(_standard(spark, d), RATE), QUIET, 2)
 
 
-QUERIES = {f.__name__: f for f in (loudness_stereo, loudness_surround, weighted_level, standardized_samples, standardized_digests, signal_health, dead_air)}
+BAND_RATE, BAND_EDGES = 100.0, (1.0, 3.0, 6.0, 10.0, 15.0, 20.0, 30.0, 45.0, 60.0)
+BANKS = {"edges": [(f"b{i}", f) for i, f in enumerate(K.band_filters(BAND_RATE, BAND_EDGES))], "three": [(name, f) for name, (_, f) in K.three_bands(BAND_RATE, 5.0, 20.0).items()]}
+NONE = ((1.0, 0.0, 0.0), (1.0, 0.0, 0.0))
+
+
+def _bank(which: str, channels: list[str]) -> str:
+    """The view's channels through every filter of a bank: ``f(track, ch, idx, y)``, ch being band and channel."""
+    names = [f"k{i}" for i in range(20)]
+    rows = []
+    for band, parts in BANKS[which]:
+        numbers = [v for b, a in (*parts, *[NONE] * (4 - len(parts))) for v in (*b, *a[1:])]
+        rows.append(f"('{band}', {', '.join(f'{v!r}::double' for v in numbers)})")
+    sections = [(names[5 * i : 5 * i + 3], [1.0, *names[5 * i + 3 : 5 * i + 5]]) for i in range(4)]
+    values = " union all ".join(f"select track, '{c}' c, idx, {c} v from signal" for c in channels)
+    return f"coefs(band, {', '.join(names)}) as (values {', '.join(rows)}), wave as materialized (select track, band || '_' || c ch, idx, v, {', '.join(names)} from ({values}) cross join coefs), {_recursion(sections)}"
+
+
+def band_profile(spark: SparkSession, d: str) -> DataFrame:
+    """Eight bands' levels and their slope."""
+    p = K.profile(signal(spark, d), BAND_RATE, ("l", "r"), BAND_EDGES, SIZE)
+    return rounded(p.select("track", *(F.element_at("levels", i + 1).alias(f"b{i}") for i in range(8)), K.slope(F.col("levels"), BAND_EDGES).alias("slope")))
+
+
+def three_bands(spark: SparkSession, d: str) -> DataFrame:
+    """Levels of the three parts of a crossover."""
+    return rounded(K.band_levels(signal(spark, d), K.three_bands(BAND_RATE, 5.0, 20.0), SIZE))
+
+
+def zone_flags(spark: SparkSession, d: str) -> DataFrame:
+    """Zones of every track, from its profile, crest, range and correlation."""
+    s = signal(spark, d)
+    p = K.profile(s, BAND_RATE, ("l", "r"), BAND_EDGES, SIZE)
+    both = s.groupBy("track").agg((F.sum(F.col("l") * F.col("r")) / F.sqrt(F.sum(F.col("l") * F.col("l")) * F.sum(F.col("r") * F.col("r")))).alias("correlation"))
+    told = p.join(L.level_stats(s).select("track", "crest_db"), "track").join(L.level_range(s, 2, 4, False, "floor_n"), "track", "left").join(both, "track")
+    return told.select("track", *K.zones(F.col("levels"), F.col("crest_db"), F.col("range_db"), F.col("correlation")))
+
+
+LEVELS8 = f"""pow8 as (select track, ch[2]::int band, sum(y * y) p, count(*) n from f group by 1, 2), lev8 as (select track, band, case when sqrt(p / n) > 1e-20 then 20 * log10(sqrt(p / n)) else -144 end db from pow8),
+ wide as (select track, {', '.join(f'max(db) filter (band = {i}) b{i}' for i in range(8))} from lev8 group by 1)"""
+CENTRES = ", ".join(f"({i}, log10(sqrt({BAND_EDGES[i]!r} * {BAND_EDGES[i + 1]!r})), 10 * log10({BAND_EDGES[i + 1] - BAND_EDGES[i]!r}))" for i in range(1, 7))
+QUERIES = {f.__name__: f for f in (loudness_stereo, loudness_surround, weighted_level, standardized_samples, standardized_digests, signal_health, dead_air, band_profile, three_bands, zone_flags)}
 ORACLE = {
+    "band_profile": f"""with recursive {SIGNAL}, {_bank('edges', ['l', 'r'])}, {LEVELS8}, centre(band, x, w) as (values {CENTRES}), fit as (select track, regr_slope((db - w) / 20, x) slope from lev8 join centre using (band) group by 1)
+ select track, {', '.join(f'round(b{i}, 6) b{i}' for i in range(8))}, round(slope, 6) slope from wide join fit using (track)""",
+    "three_bands": f"""with recursive {SIGNAL}, {_bank('three', ['x'])}, e as (select track, ch, 20 * log10(sqrt(avg(y * y))) db from f group by 1, 2)
+ select track, {', '.join(f"round(max(db) filter (ch = '{n}_x'), 6) {n}" for n in ('low', 'mid', 'high'))} from e group by 1""",
+    "zone_flags": f"""with recursive {SIGNAL}, {_bank('edges', ['l', 'r'])}, {LEVELS8}, crest as ({LEVEL_ORACLE['level_stats']}), span as ({LEVEL_ORACLE['level_range_short']}), corr as (select track, sum(l * r) / sqrt(sum(l * l) * sum(r * r)) c from signal group by 1)
+ select track, coalesce(b5 > -18 and crest_db < 8, false) zone_cymbal_harsh, coalesce(b0 > -30, false) zone_sub_rumble, coalesce(b2 > -20 and range_db < 5, false) zone_boxiness, coalesce(c < 0.3, false) zone_phase_issue, false zone_harsh_resonance
+ from wide left join crest using (track) left join span using (track) left join corr using (track)""",
     "loudness_stereo": _loudness({"l": "l", "r": "r"}, R.STEREO, HOP),
     "loudness_surround": _loudness(SIX, R.SURROUND, HOP),
     "weighted_level": f"with recursive {SIGNAL}, {_wave({'x': 'x'})}, {_recursion(P.K_WEIGHTING)} select track, round(avg(y * y), 6) power from f group by 1",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import struct
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +24,14 @@ def checkpoints(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="tidewell-"))
 
 
+def saved(df: DataFrame) -> DataFrame:
+    """Write a table to the checkpoint folder and read it back: computed once, and safe from lost executors."""
+    checkpoints(df.sparkSession)
+    path = f"{df.sparkSession.sparkContext.getCheckpointDir().rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def sessions(spark: SparkSession, path: str) -> DataFrame:
     """Events of ``session_*.corpus.json`` files; malformed files are left out."""
     raw = spark.read.schema(SESSION).option("mode", "DROPMALFORMED").option("multiLine", True).option("pathGlobFilter", "session_*.corpus.json").json(path)
