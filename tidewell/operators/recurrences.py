@@ -150,11 +150,12 @@ def entries(b: DataFrame, voices: Voices) -> DataFrame:
     return pairs.join(entry, ["track", "span"]).groupBy("track", "span").applyInArrow(inside, f"track {kind}, seq long, state array<double>")
 
 
-def _entered(b: DataFrame, voices: Voices) -> DataFrame:
+def entered(b: DataFrame, voices: Voices) -> DataFrame:
+    """The blocks with the states they are entered with."""
     return b.join(entries(b, voices), ["track", "seq"]).select("track", "seq", "n", *dict.fromkeys(c for c, _ in voices), "state")
 
 
-def _filtered(batch: pa.RecordBatch, voices: Voices) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+def voiced(batch: pa.RecordBatch, voices: Voices) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     """Rows of equal length, and each voice's samples of them."""
     for rows in B.by_length(batch):
         some = batch.take(pa.array(rows))
@@ -172,10 +173,10 @@ def filtered_blocks(b: DataFrame, parts: Sections | dict[str, tuple[str, Section
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, out in _filtered(batch, voices):
+            for rows, out in voiced(batch, voices):
                 yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in ("track", "seq", "n")), *(B.lists(y) for y in out)], ["track", "seq", "n", *bank])
 
-    return _entered(b, voices).mapInArrow(run, f"track {kind}, seq long, n int, {', '.join(f'{c} array<double>' for c in bank)}")
+    return entered(b, voices).mapInArrow(run, f"track {kind}, seq long, n int, {', '.join(f'{c} array<double>' for c in bank)}")
 
 
 def block_powers(b: DataFrame, bank: dict[str, tuple[str, Sections]]) -> DataFrame:
@@ -184,10 +185,10 @@ def block_powers(b: DataFrame, bank: dict[str, tuple[str, Sections]]) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, out in _filtered(batch, voices):
+            for rows, out in voiced(batch, voices):
                 yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in ("track", "seq", "n")), *(pa.array((y * y).sum(axis=1)) for y in out)], ["track", "seq", "n", *bank])
 
-    return _entered(b, voices).mapInArrow(run, f"track {kind}, seq long, n int, {', '.join(f'{c} double' for c in bank)}")
+    return entered(b, voices).mapInArrow(run, f"track {kind}, seq long, n int, {', '.join(f'{c} double' for c in bank)}")
 
 
 def hop_powers(b: DataFrame, size: int, parts: Sections, hop: int, weights: dict[str, float]) -> DataFrame:
@@ -202,13 +203,13 @@ def hop_powers(b: DataFrame, size: int, parts: Sections, hop: int, weights: dict
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, out in _filtered(batch, voices):
+            for rows, out in voiced(batch, voices):
                 power = sum(w * y * y for w, y in zip(weights.values(), out))
                 many = power.shape[1] // hop
                 sums = power[:, : many * hop].reshape(len(power), many, hop).sum(axis=2)
                 yield pa.RecordBatch.from_arrays([rows.column("track"), rows.column("seq"), B.lists(sums)], ["track", "seq", "sums"])
 
-    held = _entered(b, voices).mapInArrow(run, f"track {kind}, seq long, sums array<double>")
+    held = entered(b, voices).mapInArrow(run, f"track {kind}, seq long, sums array<double>")
     each = held.select("track", "seq", F.posexplode_outer("sums").alias("at", "power"))
     return each.select("track", (F.col("seq") * (size // hop) + F.col("at")).alias("hop"), "power")
 

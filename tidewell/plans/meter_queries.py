@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidewell.operators import banks as K, levels as L, recurrences as R, spectral as P, standard as S
+from tidewell.operators import banks as K, levels as L, lines as N, recurrences as R, spectral as P, standard as S
 
 from .level_queries import ORACLE as LEVEL_ORACLE, _db
 from .views import SIGNAL, rounded, signal
@@ -148,15 +148,37 @@ def zone_flags(spark: SparkSession, d: str) -> DataFrame:
     return told.select("track", *K.zones(F.col("levels"), F.col("crest_db"), F.col("range_db"), F.col("correlation")))
 
 
+LINE = {"rate": 100.0, "low": 5.0, "high": 20.0, "cutoff": 20.0, "decimate": 2, "length": 32}
+
+
+def band_peak(spark: SparkSession, d: str) -> DataFrame:
+    """The most prominent line of every track between 5 and 20 Hz."""
+    return rounded(N.band_peak(signal(spark, d), size=7, **LINE), 5)
+
+
+def _line(rate: float, low: float, high: float, cutoff: float, decimate: int, length: int) -> str:
+    bin_hz = rate / decimate / length
+    parts = R.sections(P.biquad("lowpass", rate, cutoff, 0.5**0.5)) * 2
+    half, first, last = length // 2, max(int(low / bin_hz + 0.5), 1), min(int(high / bin_hz + 0.5), length // 2 - 1)
+    return f"""with recursive {SIGNAL}, {_wave({'x': 'x'})}, {_recursion(parts)}, thin as (select track, idx // {decimate} i, y from f where idx % {decimate} = 0 and idx < {decimate * length}),
+ long as (select track, count(*) n from thin group by 1), win as (select track, i, y, case when n > 1 then 0.5 - 0.5 * cos(2 * pi() * i / (n - 1)) else 1 end w from thin join long using (track)),
+ dft as (select track, k, sum(y * w * cos(2 * pi() * i * k / {length})) re, sum(y * w * sin(2 * pi() * i * k / {length})) im, greatest(sum(w * w), 1e-30) e from win cross join range({half + 1}) t(k) group by 1, 2),
+ pow as (select track, k, case when k = 0 or k = {half} then 1 else 2 end * (re * re + im * im) / e p from dft), psd as materialized (select track, k, case when p < 1e-30 then -300 else 10 * log10(p) end v from pow),
+ best as (select track, arg_max(k, v) k from psd where k between {first} and {last} group by 1), top as (select b.track, b.k, b0.v a, b1.v b, b2.v c from best b join psd b0 on b0.track = b.track and b0.k = b.k - 1 join psd b1 on b1.track = b.track and b1.k = b.k join psd b2 on b2.track = b.track and b2.k = b.k + 1),
+ near as (select b.track, list_sort(list(p.v)) v from best b join psd p on p.track = b.track and abs(p.k - b.k) <= {int(N.SPAN / bin_hz)} and abs(p.k - b.k) > {int(N.SKIP / bin_hz)} group by 1)
+ select track, round((k + case when abs(a - 2 * b + c) > 1e-9 then 0.5 * (a - c) / (a - 2 * b + c) else 0 end) * {bin_hz!r}::double, 5) hz, round(b - v[len(v) // 2 + 1], 5) prominence_db from top join near using (track)"""
+
+
 LEVELS8 = f"""pow8 as (select track, ch[2]::int band, sum(y * y) p, count(*) n from f group by 1, 2), lev8 as (select track, band, case when sqrt(p / n) > 1e-20 then 20 * log10(sqrt(p / n)) else -144 end db from pow8),
  wide as (select track, {', '.join(f'max(db) filter (band = {i}) b{i}' for i in range(8))} from lev8 group by 1)"""
 CENTRES = ", ".join(f"({i}, log10(sqrt({BAND_EDGES[i]!r} * {BAND_EDGES[i + 1]!r})), 10 * log10({BAND_EDGES[i + 1] - BAND_EDGES[i]!r}))" for i in range(1, 7))
-QUERIES = {f.__name__: f for f in (loudness_stereo, loudness_surround, weighted_level, standardized_samples, standardized_digests, signal_health, dead_air, band_profile, three_bands, zone_flags)}
+QUERIES = {f.__name__: f for f in (loudness_stereo, loudness_surround, weighted_level, standardized_samples, standardized_digests, signal_health, dead_air, band_profile, three_bands, zone_flags, band_peak)}
 ORACLE = {
     "band_profile": f"""with recursive {SIGNAL}, {_bank('edges', ['l', 'r'])}, {LEVELS8}, centre(band, x, w) as (values {CENTRES}), fit as (select track, regr_slope((db - w) / 20, x) slope from lev8 join centre using (band) group by 1)
  select track, {', '.join(f'round(b{i}, 6) b{i}' for i in range(8))}, round(slope, 6) slope from wide join fit using (track)""",
     "three_bands": f"""with recursive {SIGNAL}, {_bank('three', ['x'])}, e as (select track, ch, 20 * log10(sqrt(avg(y * y))) db from f group by 1, 2)
  select track, {', '.join(f"round(max(db) filter (ch = '{n}_x'), 6) {n}" for n in ('low', 'mid', 'high'))} from e group by 1""",
+    "band_peak": _line(**LINE),
     "zone_flags": f"""with recursive {SIGNAL}, {_bank('edges', ['l', 'r'])}, {LEVELS8}, crest as ({LEVEL_ORACLE['level_stats']}), span as ({LEVEL_ORACLE['level_range_short']}), corr as (select track, sum(l * r) / sqrt(sum(l * l) * sum(r * r)) c from signal group by 1)
  select track, coalesce(b5 > -18 and crest_db < 8, false) zone_cymbal_harsh, coalesce(b0 > -30, false) zone_sub_rumble, coalesce(b2 > -20 and range_db < 5, false) zone_boxiness, coalesce(c < 0.3, false) zone_phase_issue, false zone_harsh_resonance
  from wide left join crest using (track) left join span using (track) left join corr using (track)""",
