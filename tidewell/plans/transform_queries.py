@@ -7,7 +7,7 @@ import uuid
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidewell.operators import onsets as O, spectral as P
+from tidewell.operators import convolutive as C, onsets as O, spectral as P
 from tidewell.sources.storage import checkpoints
 from tidewell.streaming import twins
 
@@ -76,6 +76,26 @@ def superflux(spark: SparkSession, d: str) -> DataFrame:
 QUERIES["superflux"] = superflux
 
 
+COMPONENTS, REACH, ROUNDS = 3, 3, 2
+
+
+def convolutive_patterns(spark: SparkSession, d: str) -> DataFrame:
+    """Patterns in time that all tracks' spectrograms share."""
+    w, _, _ = C.factorised(C.spectrograms(signal(spark, d), SIZE, HOP), SIZE // 2 + 1, COMPONENTS, REACH, ROUNDS, seed=1)
+    return rounded(spark.createDataFrame([(t, b, k, float(x)) for (t, b, k), x in np.ndenumerate(w)], "t long, bin long, component long, weight double"))
+
+
+def pattern_activations(spark: SparkSession, d: str) -> DataFrame:
+    """How much of each pattern a track has, the first two being given."""
+    given = C.first_guess(SIZE // 2 + 1, 2, REACH, None, 5)
+    _, fit, _ = C.factorised(C.spectrograms(signal(spark, d), SIZE, HOP), SIZE // 2 + 1, COMPONENTS, REACH, ROUNDS, given, seed=1)
+    part = lambda k: F.aggregate(F.slice("h", F.lit(k) * F.col("n") + 1, F.col("n")), F.lit(0.0), lambda a, x: a + x)
+    return rounded(fit.select("track", F.posexplode(F.array(*(part(k) for k in range(COMPONENTS)))).alias("component", "activation"), "cost"), 5)
+
+
+QUERIES |= {"convolutive_patterns": convolutive_patterns, "pattern_activations": pattern_activations}
+
+
 def _table(name: str, columns: str, rows: np.ndarray) -> str:
     """A matrix as a table (row, column, value)."""
     values = ", ".join(f"({i}, {j}, {v!r}::double)" for i, row in enumerate(rows.tolist()) for j, v in enumerate(row))
@@ -98,7 +118,32 @@ def _sinc(x: str) -> str:
 
 
 FLUX = "rise as (select track, frame, sum(greatest(m - before, 0)) r from (select *, lag(m) over (partition by track, bin order by frame) before from mag) group by 1, 2), f as (select track, frame, coalesce(r, 0) / max(r) over (partition by track) v from rise)"
+def _patterns(frozen: int, guess: np.ndarray) -> str:
+    """``w`` and ``h`` after the rounds, written out: ratio, patterns, activations."""
+    eps = f"{C.EPS!r}::double"
+    first = ", ".join(f"({t}, {b}, {k}, {float(v)!r}::double)" for (t, b, k), v in np.ndenumerate(guess))
+    lam = "select c.track, c.frame, c.bin, c.v, sum(w.w * h.h) + {eps} lam from v c join w{i} w on w.bin = c.bin join h{i} h on h.track = c.track and h.k = w.k and h.frame = c.frame - w.t group by all"
+    steps = [
+        _spectrum(True), f"v as materialized (select track, frame, bin, m / ({eps} + sum(m) over (partition by track)) v from mag)", f"w0(t, bin, k, w) as (values {first})",
+        f"h0 as materialized (select distinct track, frame, k, 1.0::double h from v cross join range({COMPONENTS}) t(k))", "many as (select track, max(frame) + 1 n from v group by 1)",
+    ]
+    for i in range(ROUNDS):
+        steps += [
+            f"q{i} as materialized (select *, v / (lam + {eps}) q from ({lam.format(i=i, eps=eps)}))",
+            f"top{i} as (select t, k, bin, sum(q * h) top from q{i} q cross join range({REACH}) t(t) join h{i} h on h.track = q.track and h.frame = q.frame - t group by all)",
+            f"low{i} as (select t, k, sum(h) low from h{i} join many using (track) cross join range({REACH}) t(t) where frame + t < n group by all)",
+            f"w{i + 1} as materialized (select t, bin, k, case when k < {frozen} then w else w * coalesce(top, 0) / (coalesce(low, 0) + {eps}) end w from w{i} left join top{i} using (t, bin, k) left join low{i} using (t, k))",
+            f"sum{i} as (select t, k, sum(w) s from w{i + 1} group by all), up{i} as (select q.track, q.frame - w.t frame, w.k, sum(w.w * q.q / (s + {eps})) u from q{i} q join w{i + 1} w on w.bin = q.bin join sum{i} s on s.t = w.t and s.k = w.k where q.frame >= w.t group by all)",
+            f"h{i + 1} as materialized (select track, frame, k, h * coalesce(u, 0) / {REACH} h from h{i} left join up{i} using (track, frame, k))",
+        ]
+    steps.append(f"cost as (select track, avg(v * ln(1 + v / (lam + {eps})) - v + lam) cost from ({lam.format(i=ROUNDS, eps=eps)}) group by 1)")
+    return f"with {SIGNAL}, {', '.join(steps)}"
+
+
 ORACLE: dict[str, str] = {
+    "convolutive_patterns": f"{_patterns(0, C.first_guess(SIZE // 2 + 1, COMPONENTS, REACH, None, 1))} select t, bin, k component, round(w, 6) weight from w{ROUNDS}",
+    "pattern_activations": f"""{_patterns(2, C.first_guess(SIZE // 2 + 1, COMPONENTS, REACH, C.first_guess(SIZE // 2 + 1, 2, REACH, None, 5), 1))}
+ select track, k::int component, round(sum(h), 5) activation, round(max(cost), 5) "cost" from h{ROUNDS} join cost using (track) group by 1, 2""",
     "band_energy": f"with {SIGNAL}, {_spectrum(True)} select track, bin band, round(avg(m * m), 6) energy from mag group by 1, 2",
     "spectral_descriptors": f"""with {SIGNAL}, {_spectrum(True)}, e as (select track, frame, sum(m * bin * {RATE / SIZE!r}::double) / sum(m) c, exp(avg(ln(m * m + 1e-20))) / avg(m * m + 1e-20) f, max(m) / avg(m) t from mag group by 1, 2 having sum(m) > 1e-10),
  every as (select distinct track from signal) select track, round(coalesce(avg(c), 1000), 6) centroid, round(coalesce(avg(f), 0.5), 6) flatness, round(coalesce(avg(t), 10), 6) crest from every left join e using (track) group by 1""",

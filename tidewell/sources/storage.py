@@ -24,12 +24,21 @@ def checkpoints(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="tidewell-"))
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """Write a table to the checkpoint folder and read it back: computed once, and safe from lost executors."""
-    checkpoints(df.sparkSession)
-    path = f"{df.sparkSession.sparkContext.getCheckpointDir().rstrip('/')}/table-{uuid.uuid4().hex}"
+def saved(df: DataFrame, instead: DataFrame | None = None) -> DataFrame:
+    """Write a table to the checkpoint folder and read it back: computed once, and safe from lost executors.
+
+    ``instead`` is a saved table that is not needed once this one is there; it is removed.
+    """
+    spark = df.sparkSession
+    checkpoints(spark)
+    path = f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    if instead is not None:
+        old = spark._jvm.org.apache.hadoop.fs.Path(instead._saved_at)
+        old.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(old, True)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._saved_at = path
+    return back
 
 
 def sessions(spark: SparkSession, path: str) -> DataFrame:
