@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidewell.operators import banks as K, levels as L, lines as N, recurrences as R, spectral as P, standard as S
+from tidewell.streaming import health as monitor
+from tidewell.streaming.beats import PROVIDER
 
 from .level_queries import ORACLE as LEVEL_ORACLE, _db
+from .transform_queries import _finished, _folder
 from .views import SIGNAL, rounded, signal
 
 HOP, SIZE = 2, 6  # a track has some 66 samples: about eleven blocks
@@ -101,9 +104,29 @@ def standardized_digests(spark: SparkSession, d: str) -> DataFrame:
     return S.digests(_standard(spark, d))
 
 
+RULES = {"quiet_db": QUIET, "least": 2, "early": 3, "digital_db": -7.0, "silent_db": -6.2, "target_db": 14.0, "most_gain_db": 20.5}
+
+
+def stream_health(spark: SparkSession, d: str) -> DataFrame:
+    """The monitor over the same blocks as a stream: gaps and final verdicts."""
+    root = _folder(spark)
+    ends = signal(spark, d).groupBy("track").agg(F.floor(F.max("idx") / REACH).alias("end"), F.max("ts").cast("timestamp").alias("ts"))
+    fed = _standard(spark, d).join(ends, "track").select("track", "seq", "ts", "windows", (F.col("seq") == F.col("end")).alias("last"))
+    fed.write.parquet(f"{root}/in")
+    before = spark.conf.get(PROVIDER[0])
+    spark.conf.set(*PROVIDER)
+    try:
+        stream = spark.readStream.schema(spark.read.parquet(f"{root}/in").schema).parquet(f"{root}/in")
+        found = monitor.health(stream, RATE, **RULES)
+        _finished(found.writeStream.outputMode("append").option("checkpointLocation", f"{root}/at").format("parquet").option("path", f"{root}/out"))
+    finally:
+        spark.conf.set(PROVIDER[0], before)
+    return rounded(spark.read.schema(monitor.RESULT).parquet(f"{root}/out").filter("kind <> 'early'"), 5)
+
+
 def signal_health(spark: SparkSession, d: str) -> DataFrame:
     """Levels, verdict and dead air of every standardized track."""
-    return rounded(S.health(S.seconds(_standard(spark, d), RATE), QUIET, 2, early=3, digital_db=-7.0, silent_db=-6.2, target_db=14.0, most_gain_db=20.5), 5)
+    return rounded(S.health(S.seconds(_standard(spark, d), RATE), **RULES), 5)
 
 
 def dead_air(spark: SparkSession, d: str) -> DataFrame:
@@ -172,7 +195,7 @@ def _line(rate: float, low: float, high: float, cutoff: float, decimate: int, le
 LEVELS8 = f"""pow8 as (select track, ch[2]::int band, sum(y * y) p, count(*) n from f group by 1, 2), lev8 as (select track, band, case when sqrt(p / n) > 1e-20 then 20 * log10(sqrt(p / n)) else -144 end db from pow8),
  wide as (select track, {', '.join(f'max(db) filter (band = {i}) b{i}' for i in range(8))} from lev8 group by 1)"""
 CENTRES = ", ".join(f"({i}, log10(sqrt({BAND_EDGES[i]!r} * {BAND_EDGES[i + 1]!r})), 10 * log10({BAND_EDGES[i + 1] - BAND_EDGES[i]!r}))" for i in range(1, 7))
-QUERIES = {f.__name__: f for f in (loudness_stereo, loudness_surround, weighted_level, standardized_samples, standardized_digests, signal_health, dead_air, band_profile, three_bands, zone_flags, band_peak)}
+QUERIES = {f.__name__: f for f in (loudness_stereo, loudness_surround, weighted_level, standardized_samples, standardized_digests, signal_health, dead_air, band_profile, three_bands, zone_flags, band_peak, stream_health)}
 ORACLE = {
     "band_profile": f"""with recursive {SIGNAL}, {_bank('edges', ['l', 'r'])}, {LEVELS8}, centre(band, x, w) as (values {CENTRES}), fit as (select track, regr_slope((db - w) / 20, x) slope from lev8 join centre using (band) group by 1)
  select track, {', '.join(f'round(b{i}, 6) b{i}' for i in range(8))}, round(slope, 6) slope from wide join fit using (track)""",
@@ -192,3 +215,6 @@ ORACLE = {
  select track, n, round(level_db, 5) level_db, round(early_db, 5) early_db, round(least_loud_db, 5) least_loud_db, case when coalesce(early_db < -7, true) then 'dead' when coalesce(level_db < -6.2, true) then 'silent' when 14 - (level_db - 1) > 20.5 then 'faint' else 'ok' end verdict,
  coalesce(gaps, 0) gaps, coalesce(gap_windows, 0) gap_windows, coalesce(longest_gap, 0) longest_gap from a left join g using (track)""",
 }
+
+ORACLE["stream_health"] = f"""select track, 'final' kind, verdict, n, level_db, early_db, least_loud_db, gaps, gap_windows, longest_gap, null::bigint "start", null::bigint length from ({ORACLE['signal_health']})
+ union all select track, 'gap', null, null, null, null, null, null, null, null, "start", length from ({ORACLE['dead_air']})"""

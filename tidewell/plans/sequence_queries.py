@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidewell.functions import tables as T
 from tidewell.operators import sequences as S
 
 from .views import SIGNAL, rounded, signal, table
@@ -44,3 +45,21 @@ ORACLE |= {
     "retention_cap": "select o_custkey, o_orderkey from orders qualify row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey desc) <= 3",
     "contiguous_positions": "select l_orderkey, count(*) n, min(l_linenumber) = 1 and max(l_linenumber) = count(*) and count(distinct l_linenumber) = count(*) contiguous from lineitem group by 1",
 }
+
+
+def segmenter(spark, d):
+    """Segments by the table function, one pass over each ordered track."""
+    return rounded(T.segmented(signal(spark, d), 1.0, 2))
+
+
+def value_spread(spark, d):
+    """Median distance from the median, by an aggregate of ours."""
+    return rounded(signal(spark, d).groupBy("track").agg(T.spread("x").alias("spread")))
+
+
+QUERIES |= {"segmenter": segmenter, "value_spread": value_spread}
+ORACLE |= {
+    "segmenter": f"""with {SIGNAL}, q as (select *, idx - lag(idx) over (partition by track order by idx) > 3 fresh from signal where abs(x) >= 1), g as (select *, sum(case when fresh then 1 else 0 end) over (partition by track order by idx) g from q)
+ select track, min(idx) "start", max(idx) "end", count(*) loud, round(max(abs(x)), 6) peak, round(sum(x * x), 6) power from g group by track, g""",
+    "value_spread": f"with {SIGNAL} select track, round(mad(x), 6) spread from signal group by 1",
+}
