@@ -119,26 +119,43 @@ def languages(docs: DataFrame) -> tuple[str | None, ...]:
     return tuple(sorted((r["lang"] for r in found), key=lambda x: (x is None, x or "")))
 
 
+def _merge(held: list[tuple[np.ndarray, np.ndarray]]) -> None:
+    """Make one pair of arrays, sorted keys and their sums, of all; each part is let go as soon as it is copied."""
+    key, n = [k for k, _ in held], [m for _, m in held]
+    held.clear()
+    key = np.concatenate(key)
+    order = np.argsort(key)
+    key = key[order]
+    n = np.concatenate(n)[order]
+    del order
+    at = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, int)
+    key = key[at]
+    held.append((key, np.add.reduceat(n, at) if len(at) else n))
+
+
+def _dealt(key: np.ndarray, n: np.ndarray, parts: int) -> pa.RecordBatch:
+    """(part, run): sorted keys dealt out by their first four bytes, so that neighbours stay together, as differences with counts."""
+    part = (ragged.mix((key >> 16).astype(np.uint64)) % np.uint64(parts)).astype(np.int32)
+    order = np.argsort(part, kind="stable")
+    part, key, n = part[order], key[order], n[order].astype(np.uint32)
+    start = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.zeros(0, int)
+    runs = [ragged.planes(np.diff(key[a:b], prepend=0)) + ragged.planes(n[a:b]) for a, b in zip(start.tolist(), [*start[1:].tolist(), len(key)])]
+    return pa.RecordBatch.from_arrays([pa.array(part[start]), pa.array(runs, pa.binary())], ["part", "run"])
+
+
+def _run(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The keys and counts of a run."""
+    many = len(raw) // 12
+    return np.cumsum(ragged.unplanes(raw[: 8 * many], np.int64)), ragged.unplanes(raw[8 * many :], np.uint32).astype(np.int64)
+
+
 def count_sequences(docs: DataFrame, names: tuple[str | None, ...] = LANGUAGES) -> DataFrame:
-    """(key, n) of every sequence of every group: how often prose has it, 0 where only other documents do."""
+    """(key, n) of every sequence of every group: how often prose has it, 0 where only other documents do.
 
-    def merge(held: list[tuple[np.ndarray, np.ndarray]]) -> None:
-        """Make one pair of arrays of all, each part let go as soon as it is copied."""
-        key, n = [k for k, _ in held], [m for _, m in held]
-        held.clear()
-        key = np.concatenate(key)
-        order = np.argsort(key)
-        key = key[order]
-        n = np.concatenate(n)[order]
-        del order
-        at = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, int)
-        key = key[at]
-        held.append((key, np.add.reduceat(n, at) if len(at) else n))
-
-    def rows(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        key, n = held.pop()
-        for a in range(0, len(key), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(key[a : a + (1 << 16)]), pa.array(n[a : a + (1 << 16)].astype(np.int64))], ["key", "n"])
+    Tasks add up what they have read in a buffer of fixed size and ship it as runs of a few bytes a sequence, dealt out over
+    four times as many parts as there are shuffle partitions; a task of the second stage adds up the sequences of its parts.
+    """
+    parts = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -151,15 +168,30 @@ def count_sequences(docs: DataFrame, names: tuple[str | None, ...] = LANGUAGES)
                     at = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, int)
                     held.append((key[at], np.diff(n[np.append(at, len(key))]).astype(np.int32)))
                 if sum(len(k) for k, _ in held) > HELD:
-                    merge(held)
+                    _merge(held)
                     if len(held[0][0]) > HELD // 2:
-                        yield from rows(held)
+                        yield _dealt(*held.pop(), parts)
+        if held:
+            _merge(held)
+            yield _dealt(*held.pop(), parts)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        settled = 0
+        for batch in batches:
+            for raw in batch.column("run"):
+                held.append(_run(raw.as_buffer().to_pybytes()))
+                if sum(len(k) for k, _ in held) > 2 * settled + BLOCK:
+                    _merge(held)
+                    settled = len(held[0][0])
         if held:
-            merge(held)
-            yield from rows(held)
+            _merge(held)
+            key, n = held.pop()
+            for a in range(0, len(key), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(key[a : a + (1 << 16)]), pa.array(n[a : a + (1 << 16)])], ["key", "n"])
 
-    counted = docs.select("lang", "text").mapInArrow(ragged.tidy(run), "key long, n long")
-    return counted.repartition("key").groupBy("key").agg(F.sum("n").alias("n"))  # a task ships few rows of a key, so none are summed before
+    counted = docs.select("lang", "text").mapInArrow(ragged.tidy(run), "part int, run binary")
+    return counted.repartition("part").mapInArrow(ragged.tidy(add), "key long, n long")
 
 
 def discounts(n1: float, n2: float, n3: float, n4: float) -> list[float]:
