@@ -54,14 +54,46 @@ def present_only(d: DataFrame, keep: DataFrame, on: str) -> DataFrame:
 
 
 def offset_matches(prints: DataFrame, others: DataFrame, offsets: int, least: float) -> DataFrame:
-    """Pairs of sequences ``(id, pos, hash)`` whose best alignment within +-offsets agrees in ``least`` of the first's rows.
+    """Pairs of sequences ``(id, pos, hash)`` whose best alignment within +-offsets agrees in ``least`` of the first's positions.
 
-    An equi-join on the hash with positions counted per offset, instead of all pairs.
+    A single hash may be common, so it is not what is joined on. The first's positions are cut into blocks of so many that
+    ``least`` of them is more than one. Where all in all ``least`` agree, two in one full block do, or one outside the
+    full blocks: the keys are pairs of hashes with their distance, and single hashes only for sequences in which what
+    lies outside could decide. Keys carry the place in bins, so that only what an offset can bring together meets.
+    Candidates, with their offset, are then counted out on the whole sequences. A position may have several hashes.
     """
-    n = prints.groupBy("id").agg(F.count("*").alias("n"))
-    met = prints.join(others.select(F.col("id").alias("other"), F.col("pos").alias("p2"), "hash"), "hash").withColumn("off", F.col("pos") - F.col("p2")).filter(F.abs("off") <= offsets)
-    best = met.groupBy("id", "other", "off").agg(F.countDistinct("pos").alias("k")).groupBy("id", "other").agg(F.max("k").alias("k"))
-    return best.join(n, "id").withColumn("score", F.col("k") / F.col("n")).filter(F.col("score") >= least).select("id", "other", "score")
+    size, bins = int(1 / least) + 1, 2 * offsets + 1
+    at = prints.select("id", "pos", "hash").distinct()
+    places = at.select("id", "pos").distinct().withColumn("block", F.floor(F.col("pos") / size))
+    full = places.groupBy("id", "block").agg(F.count("*").alias("held"))
+    facts = full.groupBy("id").agg(F.sum("held").alias("n"), F.count_if(F.col("held") == size).alias("full"), F.sum(F.when(F.col("held") < size, F.col("held")).otherwise(0)).alias("rest"))
+    facts = facts.withColumn("decides", least * F.col("n") - F.col("rest") <= F.col("full"))
+
+    def pairs(rows: DataFrame, reach: int, same_block: bool) -> DataFrame:
+        """Pairs of rows of a sequence at most ``reach`` positions apart, by a window over the rows that follow."""
+        ahead = Window.partitionBy("id").orderBy("pos").rangeBetween(1, reach)
+        held = rows.withColumn("after", F.collect_list(F.struct("pos", "hash")).over(ahead)).withColumn("next", F.explode("after"))
+        if same_block:
+            held = held.filter(F.floor(F.col("pos") / size) == F.floor(F.col("next.pos") / size))
+        return held.select("id", "pos", "hash", F.col("next.hash").alias("then"), (F.col("next.pos") - F.col("pos")).cast("long").alias("gap"))
+
+    single = lambda rows: rows.select("id", "pos", "hash", F.lit(None).cast("long").alias("then"), F.lit(0).cast("long").alias("gap"))
+    outside = at.withColumn("block", F.floor(F.col("pos") / size)).join(full.filter(F.col("held") < size).select("id", "block"), ["id", "block"])
+    outside = outside.join(facts.filter("decides").select("id"), "id", "left_semi")
+    mine = pairs(at, size - 1, True).unionByName(single(outside)).withColumn("bin", F.floor(F.col("pos") / bins))
+    theirs = others.select("id", "pos", "hash").distinct()
+    near = pairs(theirs, size - 1, False).unionByName(single(theirs))
+    near = near.withColumn("bin", F.explode(F.array_distinct(F.array(F.floor((F.col("pos") - offsets) / bins), F.floor((F.col("pos") + offsets) / bins)))))
+    near = near.select(F.col("id").alias("other"), F.col("pos").alias("p2"), "hash", "then", "gap", "bin")
+    met = mine.withColumn("then", F.coalesce("then", F.lit(0))).join(near.withColumn("then", F.coalesce("then", F.lit(0))), ["hash", "then", "gap", "bin"])
+    met = met.withColumn("off", F.col("pos") - F.col("p2")).filter(F.abs("off") <= offsets).select("id", "other", "off").distinct()
+
+    whole = lambda rows, name: rows.groupBy("id").agg(F.collect_set(F.struct("pos", "hash")).alias(name))
+    seen = met.join(whole(at, "a"), "id").join(whole(theirs, "b").withColumnRenamed("id", "other"), "other")
+    moved = F.transform("b", lambda x: F.struct((x["pos"] + F.col("off")).alias("pos"), x["hash"].alias("hash")))
+    agree = F.size(F.array_distinct(F.transform(F.array_intersect("a", moved), lambda x: x["pos"])))
+    best = seen.select("id", "other", agree.alias("k")).groupBy("id", "other").agg(F.max("k").alias("k"))
+    return best.join(facts.select("id", "n"), "id").withColumn("score", F.col("k") / F.col("n")).filter(F.col("score") >= least).select("id", "other", "score")
 
 
 def similar_pairs(vectors: DataFrame, least: float = 0.9, seed: int = 5) -> DataFrame:

@@ -99,7 +99,7 @@ def _prints(s, d):
     return signal(s, d).select(F.col("track").alias("id"), F.col("idx").alias("pos"), F.floor((F.col("x") + 1) * 20).alias("hash"))
 
 
-register("fingerprint_matches", lambda s, d: J.offset_matches(_prints(s, d), _prints(s, d).filter("id % 10 = 0"), 5, 0.3), f"with {SIGNAL}, {PRINTS}, n as (select id, count(*) n from prints group by 1), m as (select a.id, b.id other, a.pos - b.pos off, count(distinct a.pos) k from prints a join prints b on a.hash = b.hash and abs(a.pos - b.pos) <= 5 and b.id % 10 = 0 group by 1, 2, 3) select m.id, other, round(max(k) / any_value(n), 6) score from m join n using (id) group by 1, 2 having max(k) / any_value(n) >= 0.3")
+register("fingerprint_matches", lambda s, d: J.offset_matches(_prints(s, d), _prints(s, d), 5, 0.3), f"with {SIGNAL}, {PRINTS}, n as (select id, count(*) n from prints group by 1), m as (select a.id, b.id other, a.pos - b.pos off, count(distinct a.pos) k from prints a join prints b on a.hash = b.hash and abs(a.pos - b.pos) <= 5 group by 1, 2, 3) select m.id, other, round(max(k) / any_value(n), 6) score from m join n using (id) group by 1, 2 having max(k) / any_value(n) >= 0.3")
 def _greedy_duplicates(s: SparkSession, d: str) -> DataFrame:
     """Vectors in order, each rejected where it correlates by over 0.9 with an accepted one."""
     checkpoints(s)
