@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-LONGEST = 24
-
 
 def dangling(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Edges with an end that is no node, and which end."""
@@ -64,13 +62,13 @@ def history(commits: DataFrame, heads: DataFrame) -> DataFrame:
     """
     jump = commits.filter("parent is not null").select("node", F.col("parent").alias("to"))
     walk = heads.select(F.col("node").alias("head"), "node", F.lit(0).alias("distance"))
-    turn = 0
+    turn, links = 0, jump.count()
     while True:
         new = walk.join(jump, "node").select("head", F.col("to").alias("node"), (F.col("distance") + F.lit(1 << turn)).cast("int").alias("distance")).checkpoint()
         if not new.limit(1).count():
             return walk
-        if turn == LONGEST:
-            raise ValueError(f"a history of over 2**{LONGEST} links, so they form a cycle")
+        if 1 << turn > links:  # each row of this round is that far from its head
+            raise ValueError("a history longer than there are links, so they form a cycle")
         walk, turn = walk.unionByName(new), turn + 1
         jump = jump.alias("a").join(jump.alias("b"), F.col("a.to") == F.col("b.node")).select(F.col("a.node").alias("node"), F.col("b.to").alias("to")).checkpoint()
 

@@ -46,15 +46,22 @@ def likelihood(emitted: DataFrame) -> DataFrame:
 def infer(observed: DataFrame, likely: DataFrame, moves: DataFrame, unseen: float = 1e-6) -> DataFrame:
     """The likeliest state of each ``observed(id, prev, bin)`` and its share of all; ties take the first name.
 
-    Both tables are bounded by states and bins, so they are broadcast.
+    The model is one row, an array with a map of bins and one of states before for each state; every observation is
+    scored against it where it is, without a shuffle. It is bounded by states times states and bins.
     """
-    states = likely.select("state").distinct()
-    k = states.agg(F.count("*").alias("k"))
-    q = observed.crossJoin(F.broadcast(states)).crossJoin(F.broadcast(k))
-    q = q.join(F.broadcast(likely.withColumnRenamed("p", "pl")), ["state", "bin"], "left").join(F.broadcast(moves.select(F.col("src").alias("prev"), F.col("dst").alias("state"), F.col("p").alias("pt"))), ["prev", "state"], "left")
-    q = q.withColumn("score", F.coalesce("pl", F.lit(unseen)) * F.coalesce("pt", 1.0 / F.col("k")))
-    a = q.groupBy("id").agg(F.min(F.struct((-F.round("score", 12)).alias("neg"), "state")).alias("b"), F.sum("score").alias("t"))
-    return a.select("id", F.col("b.state").alias("state"), (-F.col("b.neg") / F.col("t")).alias("confidence"))
+    maps = likely.groupBy("state").agg(F.map_from_entries(F.collect_list(F.struct("bin", "p"))).alias("bins"))
+    before = moves.groupBy(F.col("dst").alias("state")).agg(F.map_from_entries(F.collect_list(F.struct("src", "p"))).alias("before"))
+    model = maps.join(before, "state", "left").agg(F.collect_list(F.struct("state", "bins", "before")).alias("model"))
+    q = observed.join(F.broadcast(model))
+
+    def score(m: Column) -> Column:
+        chance = F.coalesce(F.element_at(m["bins"], F.col("bin")), F.lit(unseen)) * F.coalesce(F.element_at(m["before"], F.col("prev")), 1.0 / F.size("model"))
+        return F.struct((-F.round(chance, 12)).alias("neg"), m["state"].alias("state"), chance.alias("score"))
+
+    q = q.withColumn("scores", F.transform("model", score))
+    best = F.array_min(F.transform("scores", lambda x: F.struct(x["neg"].alias("neg"), x["state"].alias("state"))))
+    total = F.aggregate("scores", F.lit(0.0), lambda a, x: a + x["score"])
+    return q.filter(F.size("scores") > 0).select("id", best["state"].alias("state"), (-best["neg"] / total).alias("confidence"))
 
 
 def bigrams_by(states: DataFrame, key: str) -> DataFrame:

@@ -141,8 +141,8 @@ CORPUS = "corpus as (select doc_id, lang, source, n_chars, quality, toxic from d
 register("gate_reasons", lambda s, d: _corpus(s, d).select("doc_id", F.array_join(R.reasons([(n, F.expr(c)) for n, c in GATE]), ",").alias("reasons")), f"with {CORPUS} select doc_id, array_to_string(list_filter([" + ", ".join(f"case when {c} then '{n}' end" for n, c in GATE) + "], lambda x: x is not null), ',') reasons from corpus")
 register("admission_first_reason", lambda s, d: _corpus(s, d).select("doc_id", R.first_reason([(n, F.expr(c)) for n, c in GATE]).alias("reason")), f"with {CORPUS} select doc_id, case " + " ".join(f"when {c} then '{n}'" for n, c in GATE) + " else 'accepted' end reason from corpus")
 register("rejection_breakdown", lambda s, d: E.breakdown(_corpus(s, d), R.first_reason([(n, F.expr(c)) for n, c in GATE])), f"with {CORPUS} select case " + " ".join(f"when {c} then '{n}'" for n, c in GATE) + " else 'accepted' end reason, count(*) n from corpus group by 1")
-CHECKS = "checks as (select o_custkey, o_orderpriority metric, case o_orderstatus when 'F' then 'fail' when 'P' then 'advisory' else 'pass' end verdict from orders where o_orderpriority in ('1-URGENT', '5-LOW'))"
-register("delivery_verdicts", lambda s, d: R.verdicts(table(s, d, "orders").filter("o_orderpriority in ('1-URGENT', '5-LOW')").select("o_custkey", F.col("o_orderpriority").alias("metric"), F.expr("case o_orderstatus when 'F' then 'fail' when 'P' then 'advisory' else 'pass' end").alias("verdict")), "o_custkey"), f"with {CHECKS}, a as (select o_custkey, " + ", ".join(f"coalesce(array_to_string(list_sort(list(metric) filter (verdict = '{v}')), ','), '') {n}" for v, n in (("fail", "failed"), ("advisory", "advisory"), ("missing", "missing"))) + " from checks group by 1) select *, failed = '' and missing = '' complies from a")
+CHECKS = "checks as (select o_custkey, o_orderpriority metric, case o_orderstatus when 'F' then 'fail' when 'P' then 'advisory' else 'pass' end verdict from orders)"
+register("delivery_verdicts", lambda s, d: R.verdicts(table(s, d, "orders").select("o_custkey", F.col("o_orderpriority").alias("metric"), F.expr("case o_orderstatus when 'F' then 'fail' when 'P' then 'advisory' else 'pass' end").alias("verdict")), "o_custkey"), f"with {CHECKS}, a as (select o_custkey, " + ", ".join(f"coalesce(array_to_string(list_sort(list(metric) filter (verdict = '{v}')), ','), '') {n}" for v, n in (("fail", "failed"), ("advisory", "advisory"), ("missing", "missing"))) + " from checks group by 1) select *, failed = '' and missing = '' complies from a")
 
 
 def _presets(spark):
@@ -154,7 +154,7 @@ seg = lambda s, d: table(s, d, "customer").select("c_custkey", "c_mktsegment")
 register("preset_lookup", lambda s, d: R.lookup(seg(s, d), "c_mktsegment", _presets(s), None), f"with {PRE} select c_custkey, c_mktsegment, id, target from customer left join pre on alias = lower(c_mktsegment)")
 register("preset_fallback", lambda s, d: R.lookup(seg(s, d), "c_mktsegment", _presets(s), "generic"), f"with {PRE} select c_custkey, c_mktsegment, coalesce(id, 'generic') id, coalesce(target, -18.0) target from customer left join pre on alias = lower(c_mktsegment)")
 register("recommended_option", lambda s, d: R.recommended(table(s, d, "orders").select("o_custkey", F.col("o_orderpriority").alias("option"), F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice")).alias("target"), (F.col("o_totalprice") > 100000).alias("passes")), "o_custkey"), "with o as (select o_custkey, min({'t': coalesce(case when o_orderstatus <> 'P' then o_totalprice end, 'infinity'::double), 'o': o_orderpriority}) b from orders where o_totalprice > 100000 group by 1) select o_custkey, b.o as option from o")
-register("sanitized_titles", lambda s, d: table(s, d, "benchmark").select("item_id", R.sanitized_title(F.substring("text", 1, 60)).alias("title")), "select item_id, regexp_replace(regexp_replace(regexp_replace(replace(substr(text, 1, 60), ' ', '_'), '[^A-Za-z0-9_-]', '', 'g'), '_+', '_', 'g'), '^_+|_+$', '', 'g') title from benchmark")
+register("sanitized_titles", lambda s, d: table(s, d, "benchmark").select("item_id", R.sanitized_title(F.col("text")).alias("title")), "select item_id, regexp_replace(regexp_replace(regexp_replace(replace(text, ' ', '_'), '[^A-Za-z0-9_-]', '', 'g'), '_+', '_', 'g'), '^_+|_+$', '', 'g') title from benchmark")
 register("bus_routing", lambda s, d: R.routed(signal(s, d).select("event_id", F.when(F.col("state") == "click", "speech").otherwise("drums").alias("label"), F.col("c").alias("confidence"), F.when(F.col("event_id") % 11 == 0, "manual").alias("manual"))), f"with {SIGNAL} select event_id, case when state = 'click' then 'speech' else 'drums' end as label, c confidence, case when event_id % 11 = 0 then 'manual' end manual, case when event_id % 11 = 0 then 'manual' when c >= case when state = 'click' then 0.75 else 0.7 end then case when state = 'click' then 'speech' else 'drums' end else 'music' end bus from signal")
 
 

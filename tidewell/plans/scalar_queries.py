@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+import math
+
+from pyspark.sql import Window, functions as F
 
 from tidewell.functions import scalars as X
 
@@ -57,6 +59,19 @@ register("head_sample", lambda s, d: signal(s, d).filter("idx < 30").select("tra
 register("window_read", lambda s, d: signal(s, d).filter("idx >= 20 and idx < 28").select("track", "idx", "x"), f"with {SIGNAL} select track, idx, round(x, 6) x from signal where idx >= 20 and idx < 28")
 register("overrides", lambda s, d: signal(s, d).select("event_id", F.coalesce(F.when(c("event_id") % 3 == 0, F.greatest(F.least(c("r"), F.lit(0.5)), F.lit(-0.5))), c("x")).alias("v")), f"with {SIGNAL} select event_id, round(coalesce(case when event_id % 3 = 0 then greatest(least(r, 0.5), -0.5) end, x), 6) v from signal")
 register("pre_gain", lambda s, d: signal(s, d).groupBy("track").agg(F.greatest(F.least(-14 - 20 * F.log10(F.sqrt(F.avg(c("x") * c("x")))), F.lit(12.0)), F.lit(-12.0)).alias("gain_db")), f"with {SIGNAL} select track, round(greatest(least(-14 - 20 * log10(sqrt(avg(x * x))), 12), -12), 6) gain_db from signal group by 1")
-register("crossfade", lambda s, d: signal(s, d).filter("idx < 16").select("track", "idx", (c("l") * F.cos(c("idx") / 15 * 3.141592653589793 / 2) + c("r") * F.sin(c("idx") / 15 * 3.141592653589793 / 2)).alias("power"), (c("l") * (1 - c("idx") / 15) + c("r") * c("idx") / 15).alias("gain")), f"with {SIGNAL} select track, idx, round(l * cos(idx / 15.0 * pi() / 2) + r * sin(idx / 15.0 * pi() / 2), 6) as power, round(l * (1 - idx / 15.0) + r * idx / 15.0, 6) gain from signal where idx < 16")
+
+
+def _faded(s):
+    """From the left channel to the right over the whole track, at equal power and at equal gain."""
+    t = c("idx") / F.greatest(F.count("*").over(Window.partitionBy("track")) - 1, F.lit(1))
+    s = s.withColumn("t", t)
+    power = c("l") * F.cos(c("t") * math.pi / 2) + c("r") * F.sin(c("t") * math.pi / 2)
+    zero = lambda v: F.when(v == 0, 0.0).otherwise(v)  # noqa: E731  no negative zero
+    return s.select("track", "idx", zero(F.round(power, 6)).alias("power"), zero(c("l") * (1 - c("t")) + c("r") * c("t")).alias("gain"))
+
+
+QUERIES["crossfade"] = lambda spark, d: rounded(_faded(signal(spark, d)), 11)  # at six digits many gains lie between two
+ORACLE["crossfade"] = f"""with {SIGNAL}, t as (select *, idx / greatest(count(*) over (partition by track) - 1, 1)::double t from signal)
+ select track, idx, round(l * cos(t * pi() / 2) + r * sin(t * pi() / 2), 6) + 0 as power, round(l * (1 - t) + r * t, 11) + 0 gain from t"""
 register("modulation_delay", lambda s, d: signal(s, d).groupBy("track", F.floor(c("idx") / 8).alias("block")).agg(F.max(F.abs("x")).alias("env")).select("track", "block", F.coalesce(F.expr("lag(env) over (partition by track order by block)"), F.lit(0.0)).alias("param")), f"with {SIGNAL}, b as (select track, idx // 8 as block, max(abs(x)) env from signal group by 1, 2) select track, block, round(coalesce(lag(env) over (partition by track order by block), 0), 6) param from b")
 register("gain_glide", lambda s, d: signal(s, d).select("track", "idx", (c("x") * (1 + F.least(c("idx") / 20, F.lit(1.0)))).alias("y")), f"with {SIGNAL} select track, idx, round(x * (1 + least(idx / 20.0, 1)), 6) y from signal")
