@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidewell.operators import voice as V
+from tidewell.functions import tables as T
+from tidewell.operators import blocks as B, escalation as E, voice as V
 from tidewell.streaming import voice as stream_form
 from tidewell.streaming.beats import PROVIDER
 
@@ -55,6 +56,13 @@ def stream_voice(spark: SparkSession, d: str) -> DataFrame:
     return rounded(spark.read.schema(stream_form.RESULT).parquet(f"{root}/out"), 5)
 
 
+def escalated_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Loud segments with what surrounds them, made free of their region's mean; all else as it was."""
+    s = signal(spark, d)
+    b = E.escalated(B.blocks(s, 9), 9, T.segmented(s, 1.2, 1), 3, lambda x: x - x.mean())
+    return rounded(b.select("track", F.posexplode("x").alias("at", "x"), "seq").select("track", (F.col("seq") * 9 + F.col("at")).alias("idx"), F.col("x")), 9)
+
+
 def _clip(x: str, most: float) -> str:
     return f"greatest(least({x}, {most}), {-most})"
 
@@ -80,10 +88,15 @@ LATCH = f"""latch(track, frame, speech, held) as (select track, frame, posterior
 TARGET = f"1 - greatest(least((posterior - {V.DEAD_ZONE}) / {1 - V.DEAD_ZONE!r}, 1), 0) * {1 - 10 ** (V.FLOOR_DB / 20)!r}::double"
 GAIN = f"""aim as (select track, frame, {TARGET} x from spread), gain(track, frame, g) as (select track, frame, x + case when x < 1 then {DOWN!r}::double else {UP!r}::double end * (1 - x) from aim where frame = 0
  union all select a.track, a.frame, x + case when x < g then {DOWN!r}::double else {UP!r}::double end * (g - x) from gain join aim a on a.track = gain.track and a.frame = gain.frame + 1)"""
-QUERIES = {f.__name__: f for f in (voice_posterior, voice_segments, voice_gain, stream_voice)}
+QUERIES = {f.__name__: f for f in (voice_posterior, voice_segments, voice_gain, stream_voice, escalated_segments)}
 ORACLE = {
     "voice_posterior": f"with {POSTERIOR} select track, frame, round(rms_db, 5) rms_db, round(flatness, 5) flatness, round(side_ratio, 5) side_ratio, rises, round(posterior, 5) posterior from post",
     "voice_segments": f"""with recursive {POSTERIOR}, {LATCH}, g as (select track, frame, frame - row_number() over (partition by track order by frame) g from latch where speech) select track, min(frame) "start", count(*) length from g group by track, g""",
     "voice_gain": f"with recursive {POSTERIOR}, {GAIN} select track, frame, round(g, 5) gain from gain",
     "stream_voice": f"with recursive {POSTERIOR}, {LATCH}, {GAIN} select track, frame, speech is_speech, round(g, 5) gain from latch join gain using (track, frame)",
+    "escalated_segments": f"""with {SIGNAL}, q as (select *, idx - lag(idx) over (partition by track order by idx) > 2 fresh from signal where abs(x) >= 1.2), g as (select *, sum(case when fresh then 1 else 0 end) over (partition by track order by idx) g from q),
+ seg as (select track, min(idx) a, max(idx) b from g group by track, g), wide as (select *, greatest(a - 3, 0) low, b + 3 high from seg), cut as (select *, coalesce(low > max(high) over (partition by track order by low rows between unbounded preceding and 1 preceding) + 1, true) fresh from wide),
+ reg as (select *, sum(fresh::int) over (partition by track order by low) k from cut), area as (select track, k, min(low) low, max(high) high from reg group by 1, 2), mean as (select a.track, k, avg(x) m from area a join signal s on s.track = a.track and s.idx between low and high group by 1, 2),
+ hit as (select s.track, s.idx, m from reg join mean using (track, k) join signal s on s.track = reg.track and s.idx between a and b)
+ select track, idx, round(x - coalesce(m, 0), 9) x from signal left join hit using (track, idx)""",
 }
