@@ -1,6 +1,6 @@
 """Transforms and filters of one track at a time: recursive state never crosses a track.
 
-Each takes rows ``(track, idx, x)`` and runs as a grouped pandas function, so tracks are the unit of
+Each takes rows ``(track, idx, x)`` and runs as a grouped Arrow function, so tracks are the unit of
 parallelism; a track must fit a task, as its samples are sequential by nature.
 """
 
@@ -9,21 +9,26 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
 
 from . import recurrences
 
 
+ARROW = {"long": pa.int64(), "double": pa.float64(), "int": pa.int32()}
+
+
 def per_track(s: DataFrame, f: Callable[[np.ndarray], dict[str, np.ndarray | list]], schema: str) -> DataFrame:
-    """Apply ``f`` to each track's samples in order; it returns equally long columns."""
+    """Apply ``f`` to each track's samples in order; it returns equally long columns, named and typed by ``schema``."""
+    kinds = [c.split() for c in schema.split(", ")]
+    fields = pa.schema([("track", pa.int64()), *((name, ARROW[kind]) for name, kind in kinds)])
 
-    def run(t: pd.DataFrame) -> pd.DataFrame:
-        out = pd.DataFrame(f(t.sort_values("idx")["x"].to_numpy(float)))
-        out.insert(0, "track", t["track"].iloc[0])
-        return out
+    def run(t: pa.Table) -> pa.Table:
+        out = f(np.asarray(t.sort_by("idx").column("x"), float))
+        many = len(out[kinds[0][0]])
+        return pa.table([pa.array(np.full(many, t.column("track")[0].as_py(), np.int64)), *(pa.array(out[name], ARROW[kind]) for name, kind in kinds)], schema=fields)
 
-    return s.select("track", "idx", "x").groupBy("track").applyInPandas(run, f"track long, {schema}")
+    return s.select(F.col("track").cast("long").alias("track"), "idx", F.col("x").cast("double").alias("x")).groupBy("track").applyInArrow(run, f"track long, {schema}")
 
 
 def hann(n: int) -> np.ndarray:
