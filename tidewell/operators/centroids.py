@@ -32,9 +32,10 @@ def nearest(v: DataFrame, farthest: float, margin: float) -> DataFrame:
     """The nearest raw centroid of each vector; null if too far, or if the second is within ``margin``."""
     means = exploded(v).groupBy("label", "pos").agg(F.avg("v").alias("m"))
     c = means.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda s: s["m"]).alias("c"))
-    d = v.select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("e")).crossJoin(F.broadcast(c.withColumnRenamed("label", "to")))  # one row per label
-    d = d.select("vec_id", "to", distance(F.col("e"), F.col("c")).alias("d"))
-    a = d.groupBy("vec_id").agg(F.slice(F.array_sort(F.collect_list(F.struct(F.round("d", 9).alias("d"), "to"))), 1, 2).alias("b"))
+    model = c.agg(F.collect_list(F.struct("label", "c")).alias("model"))  # one row, as large as there are labels
+    near = F.transform("model", lambda x: F.struct(F.round(distance(F.col("e"), x["c"]), 9).alias("d"), x["label"].alias("to")))
+    a = v.select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("e")).join(F.broadcast(model))
+    a = a.select("vec_id", F.slice(F.array_sort(near), 1, 2).alias("b"))
     best, second = F.element_at("b", 1), F.try_element_at(F.col("b"), F.lit(2))
     sure = (best["d"] <= farthest) & (F.coalesce(second["d"] - best["d"], F.lit(1e9)) >= margin)
     return a.select("vec_id", best["d"].alias("distance"), F.when(sure, best["to"]).alias("label"))

@@ -219,12 +219,12 @@ def jump_density(s: DataFrame) -> DataFrame:
 def lag_correlation(s: DataFrame, low: int, high: int) -> DataFrame:
     """The lag with the highest autocorrelation of x less its mean (first on ties), and its share of lag 0.
 
-    One self-join on (track, idx + lag) per pair of samples inside the lag range: the rows made are the
-    samples times the number of lags, a parameter.
+    All lags are taken in one pass over the ordered track, after the pass for its mean. ``idx`` has no gaps.
     """
-    c = s.withColumn("y", F.col("x") - F.avg("x").over(Window.partitionBy("track"))).select("track", "idx", "y")
-    r0 = c.groupBy("track").agg(F.sum(F.col("y") * F.col("y")).alias("r0"))
-    shifted = c.select("track", F.explode(F.sequence(F.lit(low), F.lit(high))).alias("lag"), "idx", F.col("y").alias("y2")).withColumn("idx", F.col("idx") + F.col("lag"))
-    r = c.join(shifted, ["track", "idx"]).groupBy("track", "lag").agg(F.sum(F.col("y") * F.col("y2")).alias("r"))
-    b = r.groupBy("track").agg(F.min(F.struct((-F.round("r", 9)).alias("neg"), "lag")).alias("b"))
-    return b.join(r0, "track").select("track", F.col("b.lag").alias("lag"), F.when(F.col("r0") > 0, -F.col("b.neg") / F.col("r0")).alias("confidence"))
+    track = Window.partitionBy("track")
+    order = track.orderBy("idx")
+    c = s.withColumn("y", F.col("x") - F.avg("x").over(track)).select("track", "idx", "y")
+    products = c.select("track", "y", *(F.lag("y", k).over(order).alias(f"y{k}") for k in range(low, high + 1)))
+    sums = products.groupBy("track").agg(F.sum(F.col("y") * F.col("y")).alias("r0"), F.array(*(F.struct((-F.round(F.sum(F.col("y") * F.col(f"y{k}")), 9)).alias("neg"), F.lit(k).alias("lag")) for k in range(low, high + 1))).alias("r"))
+    b = sums.select("track", "r0", F.array_min(F.filter("r", lambda x: x["neg"].isNotNull())).alias("b")).filter("b is not null")
+    return b.select("track", F.col("b.lag").alias("lag"), F.when(F.col("r0") > 0, -F.col("b.neg") / F.col("r0")).alias("confidence"))
