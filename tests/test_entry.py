@@ -27,3 +27,10 @@ def test_entry_imports_without(tmp_path, gone):
     many, pipeline, corpus, known = done.stdout.split()[-4:]
     assert int(many) > 150 and pipeline == "False" and known == "True"
     assert corpus == str("tidewell/llm" not in gone and os.path.isdir(f"{HERE}/tidewell/llm"))
+
+
+def test_no_query_hides_another():
+    from tidewell.plans import catalog
+
+    names = [name for m in catalog.MODULES for name in m.QUERIES]
+    assert len(names) == len(set(names)) == len(catalog.QUERIES) and set(catalog.ORACLE) <= set(names)

@@ -162,7 +162,7 @@ def three_bands(spark: SparkSession, d: str) -> DataFrame:
     return rounded(K.band_levels(signal(spark, d), K.three_bands(BAND_RATE, 5.0, 20.0), SIZE))
 
 
-def zone_flags(spark: SparkSession, d: str) -> DataFrame:
+def profile_zones(spark: SparkSession, d: str) -> DataFrame:
     """Zones of every track, from its profile, crest, range and correlation."""
     s = signal(spark, d)
     p = K.profile(s, BAND_RATE, ("l", "r"), BAND_EDGES, SIZE)
@@ -195,14 +195,14 @@ def _line(rate: float, low: float, high: float, cutoff: float, decimate: int, le
 LEVELS8 = f"""pow8 as (select track, ch[2]::int band, sum(y * y) p, count(*) n from f group by 1, 2), lev8 as (select track, band, case when sqrt(p / n) > 1e-20 then 20 * log10(sqrt(p / n)) else -144 end db from pow8),
  wide as (select track, {', '.join(f'max(db) filter (band = {i}) b{i}' for i in range(8))} from lev8 group by 1)"""
 CENTRES = ", ".join(f"({i}, log10(sqrt({BAND_EDGES[i]!r} * {BAND_EDGES[i + 1]!r})), 10 * log10({BAND_EDGES[i + 1] - BAND_EDGES[i]!r}))" for i in range(1, 7))
-QUERIES = {f.__name__: f for f in (loudness_stereo, loudness_surround, weighted_level, standardized_samples, standardized_digests, signal_health, dead_air, band_profile, three_bands, zone_flags, band_peak, stream_health)}
+QUERIES = {f.__name__: f for f in (loudness_stereo, loudness_surround, weighted_level, standardized_samples, standardized_digests, signal_health, dead_air, band_profile, three_bands, profile_zones, band_peak, stream_health)}
 ORACLE = {
     "band_profile": f"""with recursive {SIGNAL}, {_bank('edges', ['l', 'r'])}, {LEVELS8}, centre(band, x, w) as (values {CENTRES}), fit as (select track, regr_slope((db - w) / 20, x) slope from lev8 join centre using (band) group by 1)
  select track, {', '.join(f'round(b{i}, 6) b{i}' for i in range(8))}, round(slope, 6) slope from wide join fit using (track)""",
     "three_bands": f"""with recursive {SIGNAL}, {_bank('three', ['x'])}, e as (select track, ch, 20 * log10(sqrt(avg(y * y))) db from f group by 1, 2)
  select track, {', '.join(f"round(max(db) filter (ch = '{n}_x'), 6) {n}" for n in ('low', 'mid', 'high'))} from e group by 1""",
     "band_peak": _line(**LINE),
-    "zone_flags": f"""with recursive {SIGNAL}, {_bank('edges', ['l', 'r'])}, {LEVELS8}, crest as ({LEVEL_ORACLE['level_stats']}), span as ({LEVEL_ORACLE['level_range_short']}), corr as (select track, sum(l * r) / sqrt(sum(l * l) * sum(r * r)) c from signal group by 1)
+    "profile_zones": f"""with recursive {SIGNAL}, {_bank('edges', ['l', 'r'])}, {LEVELS8}, crest as ({LEVEL_ORACLE['level_stats']}), span as ({LEVEL_ORACLE['level_range_short']}), corr as (select track, sum(l * r) / sqrt(sum(l * l) * sum(r * r)) c from signal group by 1)
  select track, coalesce(b5 > -18 and crest_db < 8, false) zone_cymbal_harsh, coalesce(b0 > -30, false) zone_sub_rumble, coalesce(b2 > -20 and range_db < 5, false) zone_boxiness, coalesce(c < 0.3, false) zone_phase_issue, false zone_harsh_resonance
  from wide left join crest using (track) left join span using (track) left join corr using (track)""",
     "loudness_stereo": _loudness({"l": "l", "r": "r"}, R.STEREO, HOP),
