@@ -92,11 +92,14 @@ register("semi_allow_list", lambda s, d: J.present_only(table(s, d, "lineitem").
 register("window_intersection", lambda s, d: signal(s, d).filter("x > 0").select("track", F.floor(F.col("idx") / 4).alias("w")).intersect(signal(s, d).filter("r > 0").select("track", F.floor(F.col("idx") / 4).alias("w"))), f"with {SIGNAL} select track, idx // 4 w from signal where x > 0 intersect select track, idx // 4 from signal where r > 0")
 register("as_of_value", lambda s, d: J.as_of(table(s, d, "events").filter("event_type = 'purchase'").select("user_id", "ts", F.col("event_id").alias("id")), table(s, d, "events").filter("event_type = 'view'").select("user_id", "ts", "value"), "user_id", "ts", "value"), "select p.event_id id, round(v.value, 6) as value from (select * from events where event_type = 'purchase') p asof left join (select * from events where event_type = 'view') v on p.user_id = v.user_id and p.ts >= v.ts")
 register("prefix_allow_list", lambda s, d: J.allowed(table(s, d, "part").select("p_partkey", "p_name"), "p_name", ["red", "blue"]), "select p_partkey, p_name, starts_with(p_name, 'red') or starts_with(p_name, 'blue') allowed from part")
-PRINTS = "prints as (select track id, idx pos, cast(floor((x + 1) * 20) as bigint) hash from signal)"
+PRINTS = "prints as (select track id, idx pos, cast(floor((x + 1) * 20) * 1000 + floor((lead(x) over (partition by track order by idx) + 1) * 20) as bigint) hash from signal qualify hash is not null)"
 
 
 def _prints(s, d):
-    return signal(s, d).select(F.col("track").alias("id"), F.col("idx").alias("pos"), F.floor((F.col("x") + 1) * 20).alias("hash"))
+    """A print is two neighbouring values, in steps of a twentieth."""
+    next_ = F.lead("x").over(Window.partitionBy("track").orderBy("idx"))
+    step = lambda x: F.floor((x + 1) * 20)
+    return signal(s, d).select(F.col("track").alias("id"), F.col("idx").alias("pos"), (step(F.col("x")) * 1000 + step(next_)).alias("hash")).filter("hash is not null")
 
 
 register("fingerprint_matches", lambda s, d: J.offset_matches(_prints(s, d), _prints(s, d), 5, 0.3), f"with {SIGNAL}, {PRINTS}, n as (select id, count(*) n from prints group by 1), m as (select a.id, b.id other, a.pos - b.pos off, count(distinct a.pos) k from prints a join prints b on a.hash = b.hash and abs(a.pos - b.pos) <= 5 group by 1, 2, 3) select m.id, other, round(max(k) / any_value(n), 6) score from m join n using (id) group by 1, 2 having max(k) / any_value(n) >= 0.3")
