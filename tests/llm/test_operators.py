@@ -103,6 +103,21 @@ def test_short_frequent_sets_equal_brute_force(spark):
     assert got == components(rows)
 
 
+def test_passages_of_unlike_documents_are_not_compared_in_blocks(spark, monkeypatch):
+    """A large corpus: 60 documents a passage, and so many shingles that a bound in proportion to them would be 120."""
+    r = random.Random(4)
+    word = lambda: "".join(r.choices("abcdefgh", k=6))
+    passages = [" ".join(word() for _ in range(40)) for _ in range(4)]
+    rows = [(i, " ".join([*(word() for _ in range(60)), passages[i % 4], *(word() for _ in range(40))])) for i in range(240)]
+    rows += [(1000 + i, t + " and more") for i, t in rows[:20]]
+    monkeypatch.setattr(ngram_join, "HEAVY", 300)
+    compared = []
+    monkeypatch.setattr(ngram_join, "_blocks", lambda hot, *rest, f=ngram_join._blocks: compared.append(hot.count()) or f(hot, *rest))
+    got = {x.doc_id: x.component_id for x in ngram_join.ngram_components(docs(spark, rows), least=8).collect()}
+    assert got == components(rows) and got[1003] == 3
+    assert not compared
+
+
 def test_no_combination_key_is_common_to_random_sets():
     g = np.random.default_rng(1)
     seen = collections.Counter(k for _ in range(2000) for k in {key for key, _, _ in ngram_join.combination_keys(np.unique(g.integers(0, 2**63, int(g.integers(4, 7))).astype(np.uint64)), 5)})

@@ -4,8 +4,8 @@ A document is the set of its distinct 5-word shingles. Two documents link when t
 similarity is at least 0.8; the result says which documents hang together.
 
 1. *Token classes.* Shingles are counted over all documents: each task ships sorted arrays of
-   32-bit keys with their counts, split by range. A key with at least ``F = max(least, N / 2**21)`` occurrences is
-   frequent; at most 2**21 keys can be, which bounds what is broadcast. All others are rare.
+   32-bit keys with their counts, split by range. A key with at least ``F`` occurrences is frequent, all others
+   are rare. ``F`` is ``least``, doubled until at most 2**21 keys are frequent, which bounds what is broadcast.
 2. *Prefixes.* Shingles are ordered rare first, then by hash. Linked sets of size n share at least
    ``t = ceil(0.8 n)`` shingles, so their first common shingle lies within the first ``n - t + 1`` of
    both. If it is rare, a single-token key finds the pair. Otherwise all they share is frequent: the
@@ -17,7 +17,7 @@ similarity is at least 0.8; the result says which documents hang together.
 3. *Verification* compares whole sets exactly (integer arithmetic). It starts with a star: every
    document is compared with the one centre it shares most keys with, so a group of m copies costs m
    comparisons. Keys whose members already hang together are done. What remains is compared across
-   components only: pairs where fewer than ``least`` documents share a key, whatever the corpus, and
+   components only: pairs where fewer than ``F`` documents share a key, as is so for every rare one, and
    blocks of documents where more do.
 
 Documents with equal sets are joined beforehand through a 128-bit hash of the set.
@@ -100,9 +100,12 @@ def _signatures(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(ragged.tidy(run), "doc_id long, n_shingles long, sig binary")
 
 
-def _frequent(docs: DataFrame, k: int, total: int, least: int) -> np.ndarray:
-    """The sorted 32-bit keys that at least F documents have."""
-    bound = max(least, -(-total // HEAVY))
+def _frequent(docs: DataFrame, k: int, total: int, least: int, scratch: Scratch) -> tuple[np.ndarray, int]:
+    """The sorted 32-bit keys that at least F documents have, and F.
+
+    F follows the keys found, not the size of the corpus: were it to grow with that, so would the number of
+    documents that share a rare key.
+    """
     ranges = max(1, -(-total // (1 << 20)))
     width = -(-(1 << 32) // ranges)
 
@@ -133,11 +136,18 @@ def _frequent(docs: DataFrame, k: int, total: int, least: int) -> np.ndarray:
         order = np.argsort(keys)
         keys, many = keys[order], many[order].astype(np.int64)
         at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-        often = np.add.reduceat(many, at) >= bound
-        return pa.table({"key": pa.array(keys[at[often]].astype(np.int64))})
+        many = np.add.reduceat(many, at)
+        often = many >= least
+        return pa.table({"key": pa.array(keys[at[often]].astype(np.int64)), "n": pa.array(many[often])})
 
-    found = docs.select("doc_id", "text").mapInArrow(ragged.tidy(count), "range int, keys binary, counts binary").filter("keys is not null").groupBy("range").applyInArrow(heavy, "key long").toArrow()
-    return np.sort(found.column("key").to_numpy().astype(np.uint32))
+    counted = docs.select("doc_id", "text").mapInArrow(ragged.tidy(count), "range int, keys binary, counts binary").filter("keys is not null")
+    found = scratch.save(counted.groupBy("range").applyInArrow(heavy, "key long, n long"))
+    bound = least
+    while found.filter(F.col("n") >= bound).count() > HEAVY:
+        bound *= 2
+    keys = found.filter(F.col("n") >= bound).select("key").toArrow()
+    scratch.drop(found)
+    return np.sort(keys.column("key").to_numpy().astype(np.uint32)), bound
 
 
 def _index(docs: DataFrame, k: int, percent: int, heavy: np.ndarray, total: int) -> tuple[DataFrame, DataFrame]:
@@ -315,7 +325,7 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80, least: int
     total = real.agg(F.sum("n_shingles")).first()[0] or 0
     copies = scratch.save(real.select("doc_id", "sig").join(firsts.filter("copies > 1"), "sig").select("doc_id", "rep").filter("doc_id <> rep").distinct())
 
-    heavy = _frequent(known, k, total, least) if total else np.zeros(0, np.uint32)
+    heavy, bound = _frequent(known, k, total, least, scratch) if total else (np.zeros(0, np.uint32), least)
     singles, combos = _index(known, k, percent, heavy, total)
     firsts_only = lambda part: part.join(copies, "doc_id", "left").select("key", F.coalesce("rep", "doc_id").alias("doc_id"), "n", "family", "need").distinct()
     members = firsts_only(singles)
@@ -324,7 +334,7 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80, least: int
     members = scratch.save(members)
     del singles, combos
     edges = [copies.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))]
-    edges += _links(known, members, k, percent, least, scratch)
+    edges += _links(known, members, k, percent, bound, scratch)
     scratch.drop(members)
     comp = scratch.save(components(_union(edges), scratch))
     return rows.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("comp", "doc_id").alias("component_id"))
@@ -337,21 +347,21 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def _links(docs: DataFrame, members: DataFrame, k: int, percent: int, least: int, scratch: Scratch) -> list[DataFrame]:
+def _links(docs: DataFrame, members: DataFrame, k: int, percent: int, bound: int, scratch: Scratch) -> list[DataFrame]:
     """Edges enough to connect all that links connect, among the members of common keys.
 
-    Tokens are made for the documents that a step compares, and dropped after it.
+    Keys of ``bound`` documents or more are hot. Tokens are made for the documents that a step compares, and dropped after it.
     """
     fields = (("doc_id", "d"), ("size", "s"), ("need", "n"), ("comp", "c"))
     side = lambda x: [F.col(c).alias(y + x) for c, y in fields]
 
     def pairs(met: DataFrame) -> DataFrame:
         """Pairs that share as many keys as their sizes ask for, with that number."""
-        shared = met.groupBy("da", "db", "family").agg(F.count("*").alias("keys"), *(F.first(c).alias(c) for c in ("sa", "sb", "na", "nb")))
+        close = 100 * F.least("sa", "sb") >= percent * F.greatest("sa", "sb")  # before they are counted, as most pairs are not
+        shared = met.filter(close).groupBy("da", "db", "family").agg(F.count("*").alias("keys"), *(F.first(c).alias(c) for c in ("sa", "sb", "na", "nb")))
         least = F.expr(f"({percent} * (sa + sb) + {99 + percent}) div {100 + percent}") - F.greatest("na", "nb")
         enough = F.col("keys") >= F.when(F.col("family") < 0, least).otherwise(F.greatest("na", "nb"))
-        close = 100 * F.least("sa", "sb") >= percent * F.greatest("sa", "sb")
-        return shared.filter(enough & close).groupBy(F.col("da").alias("a"), F.col("db").alias("b")).agg(F.sum("keys").alias("keys"))
+        return shared.filter(enough).groupBy(F.col("da").alias("a"), F.col("db").alias("b")).agg(F.sum("keys").alias("keys"))
 
     rows = members.withColumnRenamed("n", "size").withColumn("comp", F.col("doc_id"))
     centres = rows.groupBy("key", "family").agg(F.count("*").alias("m"), F.min(F.struct(*side("a"))).alias("c")).filter("m > 1").select("key", "family", "c.*")
@@ -364,7 +374,7 @@ def _links(docs: DataFrame, members: DataFrame, k: int, percent: int, least: int
     comp = scratch.save(components(found[0], scratch)).select(F.col("node").alias("doc_id"), F.col("comp").alias("c"))
     now = rows.drop("comp").join(comp, "doc_id", "left").withColumn("comp", F.coalesce("c", "doc_id")).drop("c")
     keys = now.groupBy("key", "comp").agg(F.count("*").alias("m")).groupBy("key").agg(F.count("*").alias("comps"), F.sum("m").alias("m")).filter("comps > 1")
-    live = scratch.save(now.join(keys.select("key", (F.col("m") >= least).alias("hot")), "key"))
+    live = scratch.save(now.join(keys.select("key", (F.col("m") >= bound).alias("hot")), "key"))
     cold = live.filter("not hot")
     met = cold.select("key", "family", *side("a")).join(cold.select("key", "family", *side("b")), ["key", "family"]).filter("ca < cb")
     rest = scratch.save(pairs(met).select("a", "b"))
