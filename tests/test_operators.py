@@ -170,3 +170,16 @@ def test_scalars(spark):
     lean, sure = X.projected(F.col("x"), F.col("y"), 0.0, 0.0, 1.0, 0.0)
     assert [(r[0], r[1]) for r in d.select(lean, sure).collect()] == [(0.5, 0.0), (0.5, 0.0), (0.0, 1.0)]
     assert [r[0] for r in d.select(X.finite(F.col("x"))).collect()] == [0.0] * 3
+
+
+def test_points_make_no_pairs_with_spans(spark):
+    """Against all pairs, with ties, nests and copies; nothing but ids is joined."""
+    r = np.random.default_rng(8)
+    spans = [(i, float(lo), float(lo + n)) for i, (lo, n) in enumerate(zip(r.integers(0, 40, 300), r.integers(0, 25, 300)))]
+    points = [(i, float(t)) for i, t in enumerate(r.uniform(-2, 70, 200).round(1))] + [(900, None)]
+    df, p = spark.createDataFrame(spans, "span long, lo double, hi double"), spark.createDataFrame(points, "id long, t double")
+    want = {i: min(((lo, s) for s, lo, hi in spans if t is not None and lo <= t < hi), default=(None, None))[1] for i, t in points}
+    found = J.point_in_interval(p, df, 7.0)
+    assert {x.id: x.span for x in found.collect()} == want and found.count() == len(points)
+    joins = found._jdf.queryExecution().optimizedPlan().toString().count("Join")
+    assert joins == 1  # the one that brings the result to the points

@@ -14,12 +14,19 @@ from .graphs import connected
 def point_in_interval(points: DataFrame, spans: DataFrame, width: float) -> DataFrame:
     """For ``points(id, t)``, the first of ``spans(span, lo, hi)`` with lo <= t < hi; null if none.
 
-    Spans are dealt over the bins of ``width`` that they cover, points fall into one bin: an equi-join
-    that Spark can split, instead of a nested loop.
+    Spans are dealt over the bins of ``width`` that they cover, points fall into one bin. In the order of (lo, span) only
+    spans that reach beyond all before them can be first for a point, from where the one before ends to their own end. These
+    stretches do not overlap: one pass over a bin's points and stretches in order finds each point's, and no pair is made.
     """
     dealt = spans.filter("hi > lo").withColumn("bin", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor(F.col("hi") / width))))
-    p = points.withColumn("bin", F.floor(F.col("t") / width))
-    met = p.join(dealt, "bin").filter("lo <= t and t < hi").groupBy("id").agg(F.min(F.struct("lo", "span")).alias("b"))
+    dealt = dealt.groupBy("bin", "lo", "hi").agg(F.min("span").alias("span"))
+    before = Window.partitionBy("bin").orderBy("lo", "span", "hi").rowsBetween(Window.unboundedPreceding, -1)
+    reach = dealt.withColumn("reach", F.max("hi").over(before)).filter("reach is null or hi > reach")
+    stretch = F.struct("lo", "hi", "span")
+    rows = reach.select("bin", F.greatest("lo", "reach").alias("t"), F.lit(0).alias("side"), F.lit(None).cast(points.schema["id"].dataType).alias("id"), stretch.alias("b"))
+    p = points.filter("id is not null and t is not null").select(F.floor(F.col("t") / width).alias("bin"), "t", F.lit(1).alias("side"), "id", F.lit(None).cast(rows.schema["b"].dataType).alias("b"))
+    last = F.last("b", ignorenulls=True).over(Window.partitionBy("bin").orderBy("t", "side").rowsBetween(Window.unboundedPreceding, 0))
+    met = rows.unionByName(p).withColumn("b", last).filter("side = 1 and b.lo <= t and t < b.hi").groupBy("id").agg(F.min(F.struct("b.lo", "b.span")).alias("b"))
     return points.join(met, "id", "left").select("id", "t", F.col("b.span").alias("span"))
 
 
