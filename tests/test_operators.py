@@ -183,3 +183,20 @@ def test_points_make_no_pairs_with_spans(spark):
     assert {x.id: x.span for x in found.collect()} == want and found.count() == len(points)
     joins = found._jdf.queryExecution().optimizedPlan().toString().count("Join")
     assert joins == 1  # the one that brings the result to the points
+
+
+def test_overlaps_equal_all_pairs(spark, monkeypatch):
+    """Ties at both ends, spans that end before they begin; one bin is the work of many tasks."""
+    monkeypatch.setattr(J, "DEALT", 10)
+    r = np.random.default_rng(9)
+    spans = [(i, float(lo), float(lo + n)) for i, (lo, n) in enumerate(zip(r.integers(0, 40, 150), r.integers(-2, 12, 150)))]
+    found = J.overlaps(spark.createDataFrame(spans, "span long, lo double, hi double"), 200.0)
+    want = sorted((a, b) for a, la, ha in spans for b, lb, hb in spans if a < b and la <= hb and lb <= ha)
+    assert sorted(tuple(x) for x in found.collect()) == want
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        assert found.select("a").groupBy(F.spark_partition_id()).count().count() > 4
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
