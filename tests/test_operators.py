@@ -200,3 +200,26 @@ def test_overlaps_equal_all_pairs(spark, monkeypatch):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
         spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_greedy_over_blocks_and_copies(spark, monkeypatch):
+    """Copies are decided by their first; no pair of them is made; several blocks and tiles, vectors without a direction."""
+    storage.checkpoints(spark)
+    monkeypatch.setattr(J, "BLOCK", 30)
+    monkeypatch.setattr(J, "TILE", 7)
+    g = np.random.default_rng(6)
+    base = g.normal(size=(9, 6))
+    near = [base[i % 9] + g.normal(size=6) * 0.35 for i in range(70)]
+    v = [*near, *near[10:50], *near[10:50], np.ones(6), np.ones(6), np.full(6, np.nan), np.full(6, np.nan)]
+    d = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(500, None), (501, [])], "id long, v array<double>")
+    with np.errstate(invalid="ignore"):
+        c = np.corrcoef(np.array(v)) > 0.9
+    rejected: set[int] = set()
+    for b in range(len(v)):
+        if any(c[a, b] and a not in rejected for a in range(b)):
+            rejected.add(b)
+    made, close = [], J._close
+    monkeypatch.setattr(J, "_close", lambda u, least: made.append(u.count()) or close(u, least))
+    got = J.greedy_distinct(d, 0.9).collect()
+    assert {r.id for r in got if r.rejected} == rejected and len(got) == len(v) + 2
+    assert made == [70]

@@ -6,11 +6,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .graphs import connected
 
 DEALT, PARTS = 4096, 32  # spans of a bin in a task of ``overlaps``, tasks of a bin at most
+BLOCK, TILE = 1 << 14, 1 << 11  # vectors of a block, of a side of a product
 
 
 def point_in_interval(points: DataFrame, spans: DataFrame, width: float) -> DataFrame:
@@ -114,37 +117,71 @@ def offset_matches(prints: DataFrame, others: DataFrame, offsets: int, least: fl
     return best.join(facts.select("id", "n"), "id").withColumn("score", F.col("k") / F.col("n")).filter(F.col("score") >= least).select("id", "other", "score")
 
 
-def similar_pairs(vectors: DataFrame, least: float = 0.9, seed: int = 5) -> DataFrame:
-    """Pairs ``a < b`` of ``vectors(id, v)`` whose correlation is above ``least``.
+def unit(vectors: DataFrame) -> DataFrame:
+    """``vectors(id, v)`` centred and of length one; those that are null, empty, constant or not finite correlate with none and go."""
 
-    Vectors that are null, empty or constant correlate with none. Centred vectors of length one that correlate so are within ``sqrt(2 - 2 * least)`` of each other, and so are
-    their shadows on any direction: candidates are those in the same or a neighbouring cell on two fixed directions.
-    """
-    width = float(np.sqrt(2 - 2 * least)) + 1e-9
-
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for d in batches:
-            out: dict[str, list] = {"id": [], "v": [], "p": [], "q": []}
+            out: dict[str, list] = {"id": [], "v": []}
             for i, v in zip(d["id"], d["v"]):
                 x = np.asarray(v, float) - np.mean(v) if v is not None and len(v) else np.zeros(0)
-                if x.any():
-                    x /= np.linalg.norm(x)
-                    axes = np.random.default_rng(seed).normal(size=(2, len(x)))
-                    cell = np.floor(axes @ x / np.linalg.norm(axes, axis=1) / width).astype(int)
-                    for c, value in zip(out, (i, x, *cell)):
-                        out[c].append(value)
+                if x.any() and np.isfinite(x).all():
+                    out["id"].append(i)
+                    out["v"].append(x / np.linalg.norm(x))
             yield pd.DataFrame(out)
 
-    placed = vectors.select("id", F.col("v").cast("array<double>").alias("v")).mapInPandas(place, "id long, v array<double>, p long, q long")
-    near = F.explode(F.sequence(F.lit(-1), F.lit(1)))
-    around = placed.select(F.col("id").alias("b"), F.col("v").alias("w"), "p", "q", near.alias("i")).select("b", "w", (F.col("p") + F.col("i")).alias("p"), "q", near.alias("j")).withColumn("q", F.col("q") + F.col("j")).drop("j")
-    met = placed.select(F.col("id").alias("a"), "v", "p", "q").join(around, ["p", "q"]).filter("a < b")
+    return vectors.select("id", F.col("v").cast("array<double>").alias("v")).mapInPandas(run, "id long, v array<double>")
+
+
+def similar_pairs(vectors: DataFrame, least: float = 0.9) -> DataFrame:
+    """Pairs ``a < b`` of ``vectors(id, v)`` whose correlation is above ``least``; see :func:`unit` for those that correlate with none."""
+    return _close(unit(vectors), least)
 
-    @F.pandas_udf("double")
-    def product(v: pd.Series, w: pd.Series) -> pd.Series:
-        return pd.Series(np.einsum("ij,ij->i", np.stack(v.to_list()), np.stack(w.to_list())) if len(v) else np.zeros(0))
 
-    return met.filter(product("v", "w") > least).select("a", "b")
+def _close(units: DataFrame, least: float) -> DataFrame:
+    """Pairs ``a < b`` of ``units(id, v)`` whose product is above ``least``, of equal lengths only.
+
+    All pairs are compared, as random vectors of many numbers have no order that would tell them apart. Vectors are dealt
+    into blocks of some ``BLOCK`` by their id; a task holds two blocks and multiplies them tile by tile.
+    """
+    n = units.count()
+    blocks = max(1, -(-n // BLOCK))
+    own = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
+    dealt = units.select("id", "v", own.alias("own")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    dealt = dealt.select("id", "v", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
+    def compare(t: pa.Table) -> pa.Table:
+        i, own = t.column("i")[0].as_py(), t.column("own").to_numpy()
+        ids, v = t.column("id").to_numpy(), t.column("v").combine_chunks()
+        size = np.asarray(pc.list_value_length(v))
+        found = [(np.zeros(0, np.int64),) * 2]
+        for k in np.unique(size):
+            rows = [np.flatnonzero((size == k) & ((own == i) == mine)) for mine in (True, False)]
+            x, y = (np.asarray(v.take(pa.array(r)).flatten(), np.float64).reshape(-1, k) for r in rows)
+            same = t.column("j")[0].as_py() == i
+            right, y = (rows[0], x) if same else (rows[1], y)
+            for a in range(0, len(x), TILE):
+                for b in range(a if same else 0, len(y), TILE):
+                    p, q = np.nonzero(x[a : a + TILE] @ y[b : b + TILE].T > least)
+                    p, q = ids[rows[0][a + p]], ids[right[b + q]]
+                    found.append((np.minimum(p, q), np.maximum(p, q)))
+        a, b = (np.concatenate(x) for x in zip(*found))
+        return pa.table({"a": a[a != b], "b": b[a != b]})
+
+    return dealt.groupBy("i", "j").applyInArrow(compare, "a long, b long").distinct()
+
+
+def greedy_distinct(vectors: DataFrame, least: float) -> DataFrame:
+    """``vectors(id, v)`` in id order, each rejected where it correlates by over ``least`` with an accepted one.
+
+    Of equal vectors the first decides: if it is accepted it rejects the others, if not what rejected it does. So only firsts
+    are compared.
+    """
+    units = unit(vectors).checkpoint()
+    firsts = units.groupBy("v").agg(F.min("id").alias("id")).checkpoint()
+    kept = greedy_accept(_close(firsts, least).checkpoint(), firsts.select("id"))  # few pairs, used in every round
+    copies = units.select("id").join(kept, "id", "left").select("id", F.coalesce("rejected", F.lit(True)).alias("rejected"))
+    return vectors.select("id").join(copies, "id", "left").select("id", F.coalesce("rejected", F.lit(False)).alias("rejected"))
 
 
 def greedy_accept(pairs: DataFrame, items: DataFrame) -> DataFrame:

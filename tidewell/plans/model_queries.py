@@ -107,7 +107,7 @@ def _greedy_duplicates(s: SparkSession, d: str) -> DataFrame:
     """Vectors in order, each rejected where it correlates by over 0.9 with an accepted one."""
     checkpoints(s)
     v = table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
-    return J.greedy_accept(J.similar_pairs(v, 0.9).checkpoint(), v.select("id"))  # few pairs, used in every round
+    return J.greedy_distinct(v, 0.9)
 
 
 register("greedy_duplicates", _greedy_duplicates, None)
