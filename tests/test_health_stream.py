@@ -67,3 +67,17 @@ def test_spread(spark):
     rows = [(1, 1.0), (1, 2.0), (1, 100.0), (1, None), (2, None), (3, float("nan")), (3, 5.0)]
     got = dict(spark.createDataFrame(rows, "k int, x double").groupBy("k").agg(T.spread("x").alias("s")).collect())
     assert got[1] == 1.0 and got[3] == 0.0 and (got[2] is None or np.isnan(got[2]))
+
+
+def test_segmenter_is_given_loud_rows_only(spark, monkeypatch):
+    rows = [(1, i, x) for i, x in enumerate([0.0, -2.0, None, 3.0, 0.5, float("nan"), 1.0])]
+    seen = spark.sparkContext.accumulator(0)
+
+    class Counting(T.Segmenter.func):
+        def eval(self, row, threshold, gap):
+            seen.add(1)
+            yield from super().eval(row, threshold, gap)
+
+    monkeypatch.setattr(T, "Segmenter", F.udtf(Counting, returnType=T.SEGMENTS, useArrow=False))
+    assert sorted(map(tuple, T.segmented(spark.createDataFrame(rows, "track long, idx long, x double"), 1.0, 1).collect())) == [(1, 1, 3, 2, 3.0, 13.0), (1, 6, 6, 1, 1.0, 1.0)]
+    assert seen.value == 3

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Row, SparkSession, functions as F, types as T
 SEGMENTS = T.StructType([*(T.StructField(c, T.LongType()) for c in ("track", "start", "end", "loud")), *(T.StructField(c, T.DoubleType()) for c in ("peak", "power"))])
 
 
-@F.udtf(returnType=SEGMENTS, useArrow=True)
+@F.udtf(returnType=SEGMENTS, useArrow=False)  # with Arrow every row given becomes a table of its own
 class Segmenter:
     """Segments of one track's rows ``(track, idx, x)``, which must come in order.
 
@@ -38,10 +38,11 @@ class Segmenter:
 
 
 def segmented(s: DataFrame, threshold: float, gap: int) -> DataFrame:
-    """Segments of every track of ``s(track, idx, x)`` by the table function in SQL: one shuffle and sort, one pass."""
+    """Segments of every track of ``s(track, idx, x)`` by the table function in SQL: one shuffle and sort, one pass over the loud rows."""
     spark: SparkSession = s.sparkSession
     spark.udtf.register("segmenter", Segmenter)
-    rows = s.select("track", "idx", F.col("x").cast("double").alias("x"))
+    x = F.col("x").cast("double")
+    rows = s.select("track", "idx", x.alias("x")).filter(~F.isnan(x) & (F.abs(x) >= float(threshold)))  # quiet rows say nothing that idx does not
     query = "select * from segmenter(table(select track, idx, x from {rows}) partition by (track) order by (idx), :threshold, :gap)"
     return spark.sql(query, args={"threshold": float(threshold), "gap": int(gap)}, rows=rows)
 
