@@ -49,3 +49,36 @@ def test_offset_matches_equal_all_pairs(spark, kinds, least, gaps):
 def test_offset_matches_of_nothing(spark):
     empty = spark.createDataFrame([], "id long, pos long, hash long")
     assert J.offset_matches(empty, empty, 5, 0.3).collect() == []
+
+
+def test_offset_matches_compares_few_that_do_not_match(spark):
+    r = random.Random(1)
+    steps = [[int(r.expovariate(0.05)) for _ in range(66)] for _ in range(400)]
+    rows = [(i, p, v[p] * 1000 + v[p + 1]) for i, v in enumerate(steps) for p in range(65)]
+    rows += [(1000 + i, p, h) for i in range(50) for s, p, h in rows if s == 0]  # and 50 copies of the first
+    prints = spark.createDataFrame(rows, "id long, pos long, hash long")
+    firsts, every = J._sequences(prints)
+    met = J._candidates(firsts, firsts, 5, 0.3).filter("id <> other").count()
+    assert firsts.count() == 400 and every.count() == 450 and met < 400
+    found = {(x.id, x.other) for x in J.offset_matches(prints, prints, 5, 0.3).collect()}
+    same = [0, *range(1000, 1050)]
+    assert found == {(i, i) for i in range(1, 400)} | {(i, j) for i in same for j in same}
+
+
+@pytest.mark.parametrize("least", [0.3, 0.1])
+def test_offset_matches_of_distant_positions(spark, least):
+    r = random.Random(7)
+    rows = []
+    for i in range(12):
+        places = sorted(r.sample([*range(12), *range(40, 60), 10**6, 2**45], r.choice([2, 9, 20, 30])))
+        rows += [(i, p, r.choice([r.randrange(6), None, p % 7])) for p in places]
+    df = spark.createDataFrame(rows, "id long, pos long, hash long")
+    want = {}
+    for i in range(12):
+        n = sum(x[0] == i for x in rows)
+        for j in range(12):
+            y = {(p, h) for s, p, h in rows if s == j}
+            best = max(sum((p - off, h) in y for s, p, h in rows if s == i and h is not None) for off in range(-3, 4))
+            if best and best / n >= least:
+                want[i, j] = best / n
+    assert {(x.id, x.other): pytest.approx(x.score) for x in J.offset_matches(df, df, 3, least).collect()} == want and len(want) > 12
