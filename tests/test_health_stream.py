@@ -4,7 +4,7 @@ import math
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Row, functions as F
 
 from tidewell.functions import tables as T
 from tidewell.operators import standard as S
@@ -81,3 +81,62 @@ def test_segmenter_is_given_loud_rows_only(spark, monkeypatch):
     monkeypatch.setattr(T, "Segmenter", F.udtf(Counting, returnType=T.SEGMENTS, useArrow=False))
     assert sorted(map(tuple, T.segmented(spark.createDataFrame(rows, "track long, idx long, x double"), 1.0, 1).collect())) == [(1, 1, 3, 2, 3.0, 13.0), (1, 6, 6, 1, 1.0, 1.0)]
     assert seen.value == 3
+
+
+class Handle:
+    """A state and timers in memory, which count what is asked of them."""
+
+    def __init__(self):
+        self.value, self.timers, self.asked = None, [], 0
+
+    def getValueState(self, name, schema):  # noqa: N802
+        return self
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def listTimers(self):  # noqa: N802
+        self.asked += 1
+        return iter(list(self.timers))
+
+    def deleteTimer(self, t):  # noqa: N802
+        self.timers.remove(t)
+
+    def registerTimer(self, t):  # noqa: N802
+        self.timers.append(t)
+
+    def getCurrentWatermarkInMs(self):  # noqa: N802
+        return -1
+
+
+def test_processor_takes_rows_as_they_are(spark):
+    def block(seq, levels, last=False):
+        return Row(seq=seq, at=1000 * seq, windows=[Row(window=2 * seq + i, power=x, n=WINDOW) for i, x in enumerate(levels)], last=last)
+
+    blocks = [block(0, [1.0, 0.0]), block(1, [0.0, 0.0]), block(2, [2.0, 3.0], True)]
+    h = Handle()
+    p = H.HealthProcessor(RULES | {"window": WINDOW}, 500)
+    p.init(h)
+    assert list(p.handleInputRows((7,), iter(blocks[:1]), h)) == [] and h.timers == [500] and not h.asked
+    told = list(p.handleInputRows((7,), iter([blocks[1], blocks[0]]), h))  # the first comes again
+    assert [(x.track, x.kind, x.verdict) for x in told] == [(7, "early", "ok")] and h.timers == [1500]
+    told = list(p.handleInputRows((7,), iter(blocks[2:]), h))
+    assert [(x.kind, x.start, x.length, x.gaps, x.n) for x in told] == [("gap", 1, 3, None, None), ("final", None, None, 1, 6 * WINDOW)] and h.timers == []
+    assert list(p.handleInputRows((7,), iter(blocks), h)) == []
+
+    one, other = Handle(), H.HealthProcessor(RULES | {"window": WINDOW}, 500)  # all at once, in another order: no timer is asked for
+    other.init(one)
+    again = list(other.handleInputRows((7,), iter(blocks[::-1]), one))
+    assert [x for x in again if x.kind != "early"] == told and not one.asked and not one.timers
+
+    silent, third = Handle(), H.HealthProcessor(RULES | {"window": WINDOW}, 500)  # no last block: the timer ends it
+    third.init(silent)
+    list(third.handleInputRows((7,), iter(blocks[:2]), silent))
+    assert [(x.kind, x.start) for x in third.handleExpiredTimer((7,), silent, None)] == [("gap", 1), ("final", None)]
+    with pytest.raises(ValueError, match="block 0 is missing"):
+        fresh = H.HealthProcessor(RULES | {"window": WINDOW}, 500)
+        fresh.init(Handle())
+        list(fresh.handleInputRows((7,), iter(blocks[1:]), Handle()))

@@ -3,7 +3,8 @@
 A stream carries standardized blocks ``(track, seq, ts, windows, last)``, a track's in order; their windows are the
 sums that ``operators.standard`` makes. While the early windows fill, nothing is said: a pause at the start is no
 fault. Then comes a verdict that the end may revise, and with the last block, or when the watermark is ``idle``
-past the latest one, the final row, after which the track is closed. The state is some twenty numbers.
+past the latest one, the final row, after which the track is closed. The state is some twenty numbers, the blocks
+come as rows: a track has few in a batch, and a pandas frame for each would cost more than what is done with them.
 The final row and the gaps equal ``standard.health`` and ``standard.dead_air``.
 """
 
@@ -13,13 +14,14 @@ import math
 from collections.abc import Iterator
 from typing import Any
 
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Row, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 RESULT = "track long, kind string, verdict string, n long, level_db double, early_db double, least_loud_db double, gaps long, gap_windows long, longest_gap long, start long, length long"
 STATE = "seq long, open long, power double, held long, total double, n long, early double, early_n long, loud double, quiet long, gaps long, gap_windows long, longest long, said boolean, done boolean"
 
+NAMES = [c.split()[0] for c in RESULT.split(", ")]
+
 
 def _db(power: float, n: int) -> float | None:
     return 10 * math.log10(power / n) if power > 0 else None
@@ -97,40 +99,36 @@ class HealthProcessor(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle, self.state = handle, handle.getValueState("health", STATE)
 
-    def _monitor(self) -> Monitor:
-        return Monitor(self.rules, tuple(self.state.get()) if self.state.exists() else None)
-
-    def _told(self, key: Any, m: Monitor) -> pd.DataFrame:
+    def _told(self, key: Any, m: Monitor) -> Iterator[Row]:
         self.state.update(tuple(m.s.values()))
-        names = [c.split() for c in RESULT.split(", ")]
-        rows = pd.DataFrame([{"track": key[0], **row} for row in m.out], columns=[n for n, _ in names])
-        return rows.astype({n: "Int64" if kind == "long" else "float64" if kind == "double" else "object" for n, kind in names})
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        m = self._monitor()
-        blocks = pd.concat(list(rows)).sort_values("seq")
-        latest = max(int(blocks["at"].max()), timerValues.getCurrentWatermarkInMs() + 1)
-        for b in blocks.itertuples():
-            if m.s["done"] or b.seq <= m.s["seq"]:
+        return (Row(**dict.fromkeys(NAMES) | {"track": key[0]} | row) for row in m.out)
+
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:  # noqa: N802, N803
+        known = self.state.get()
+        m = Monitor(self.rules, tuple(known) if known else None)
+        latest = timerValues.getCurrentWatermarkInMs() + 1
+        for b in sorted(rows, key=lambda b: b["seq"]):
+            latest = max(latest, b["at"])
+            if m.s["done"] or b["seq"] <= m.s["seq"]:
                 continue  # a block that came again, or after the end
-            if b.seq != m.s["seq"] + 1:
+            if b["seq"] != m.s["seq"] + 1:
                 raise ValueError(f"track {key[0]}: block {m.s['seq'] + 1} is missing")
-            m.s["seq"] = int(b.seq)
-            for w in b.windows:
-                m.add(int(w["window"]), float(w["power"]), int(w["n"]))
-            if b.last:
+            m.s["seq"] = b["seq"]
+            for w in b["windows"]:
+                m.add(w["window"], w["power"], w["n"])
+            if b["last"]:
                 m.finish()
-        for t in list(self.handle.listTimers()):
+        for t in list(self.handle.listTimers()) if known else ():
             self.handle.deleteTimer(t)
         if not m.s["done"]:
             self.handle.registerTimer(latest + self.idle_ms)
-        yield self._told(key, m)
+        yield from self._told(key, m)
 
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        m = self._monitor()
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:  # noqa: N802, N803
+        m = Monitor(self.rules, tuple(self.state.get()))
         if not m.s["done"]:
             m.finish()
-        yield self._told(key, m)
+        yield from self._told(key, m)
 
     def close(self) -> None:
         pass
@@ -144,4 +142,4 @@ def health(stream: DataFrame, window: int, quiet_db: float = -60.0, least: int =
     rules = {"window": window, "quiet_db": quiet_db, "least": least, "early": early, "digital_db": digital_db, "silent_db": silent_db, "target_db": target_db, "most_gain_db": most_gain_db}
     timed = stream.withWatermark("ts", late).withColumn("at", F.unix_millis(F.col("ts").cast("timestamp")))
     processor = HealthProcessor(rules, idle_ms)
-    return timed.groupBy("track").transformWithStateInPandas(statefulProcessor=processor, outputStructType=RESULT, outputMode="Append", timeMode="EventTime")
+    return timed.groupBy("track").transformWithState(statefulProcessor=processor, outputStructType=RESULT, outputMode="Append", timeMode="EventTime")
