@@ -134,3 +134,24 @@ def test_onset_strength_does_not_depend_on_blocks(spark, block):
             ref = np.array([max(now[max(b - 1, 0) : b + 2]) for b in range(bands)])
         mine = got[got.track == t].sort_values("frame")
         assert mine["frame"].tolist() == list(range(many)) and np.allclose(mine["strength"], want)
+
+
+def test_stream_processor_takes_rows_as_they_are():
+    from pyspark.sql import Row
+
+    from tests.test_health_stream import Handle
+    from tidewell.streaming import beats as stream
+
+    blocks = [Row(seq=i, at=1000 * i, x=[0.0, 0.5, -0.5, 0.25] * 8, last=i == 2) for i in range(3)]
+
+    def run(parts):
+        h, p, out = Handle(), stream.BeatProcessor(100, 4, 500), []
+        p.init(h)
+        for part in parts:
+            out += list(p.handleInputRows((7,), iter(part), h))
+        assert not h.timers
+        return out, h.asked
+
+    whole, asked = run([blocks[::-1]])
+    assert not asked and [(x.kind, x.place) for x in whole if x.kind == "tempo"] == [("tempo", 96)]
+    assert run([blocks[:1], blocks[:2], blocks[2:], blocks])[0] == whole
