@@ -263,7 +263,8 @@ def offset_matches(prints: DataFrame, others: DataFrame, offsets: int, least: fl
     single hashes only for blocks whose share is none, mostly those of very short sequences. Keys carry the place in
     bins, so that only what an offset can bring together meets. What meets has words with a byte of each hash of the block
     and of what lies around the other's: where too few bytes are equal it goes before anything is shuffled.
-    Candidates, with their offset, are then counted out on the whole sequences. A position may have several hashes, or null, which agrees with none.
+    Candidates, with their offset, are then counted out on the whole sequences. A position may have several hashes, or null, which
+    agrees with none; rows without an id or a position are left out.
     """
     mine, all_mine = _sequences(prints)
     theirs, all_theirs = _sequences(others)
