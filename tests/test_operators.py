@@ -202,6 +202,19 @@ def test_overlaps_equal_all_pairs(spark, monkeypatch):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
 
 
+def test_overlaps_broadcast_no_spans(spark, tmp_path, monkeypatch):
+    """Spans that look small and cover many bins; equal ones, ones with the same number, ones without an end."""
+    monkeypatch.setattr(J, "DEALT", 7)
+    r = np.random.default_rng(4)
+    spans = [(i % 90, float(lo), float(lo + n)) for i, (lo, n) in enumerate(zip(r.integers(0, 30, 100), r.integers(-2, 25, 100)))]
+    spark.createDataFrame([*spans, *spans[:9], (200, 3.0, None), (None, 3.0, 9.0)], "span long, lo double, hi double").write.parquet(f"{tmp_path}/spans")
+    found = J.overlaps(spark.read.parquet(f"{tmp_path}/spans"), 10.0)
+    every = [*spans, *spans[:9]]
+    assert sorted(tuple(x) for x in found.collect()) == sorted((a, b) for a, la, ha in every for b, lb, hb in every if a < b and la <= hb and lb <= ha)
+    joins = [x for x in found._jdf.queryExecution().sparkPlan().toString().splitlines() if "Join" in x]
+    assert "SortMergeJoin" in joins[0]  # the one that makes the pairs
+
+
 def test_greedy_over_blocks_and_copies(spark, monkeypatch):
     """Copies are decided by their first; no pair of them is made; several blocks and tiles, vectors without a direction."""
     storage.checkpoints(spark)
