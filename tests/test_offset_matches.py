@@ -82,3 +82,21 @@ def test_offset_matches_of_distant_positions(spark, least):
             if best and best / n >= least:
                 want[i, j] = best / n
     assert {(x.id, x.other): pytest.approx(x.score) for x in J.offset_matches(df, df, 3, least).collect()} == want and len(want) > 12
+
+
+def test_offset_matches_judges_neighbouring_blocks_together(spark):
+    """Chance leaves hardly a candidate; copies that agree in just enough positions stay, wherever these lie, those with one less go."""
+    r = random.Random(5)
+    steps = [[int(r.expovariate(0.05)) for _ in range(67)] for _ in range(400)]
+    rows = [(i, p, v[p] * 1000 + v[p + 1]) for i, v in enumerate(steps) for p in range(66)]
+    prints = spark.createDataFrame(rows, "id long, pos long, hash long")
+    firsts, _ = J._sequences(prints)
+    assert J._candidates(firsts, firsts, 5, 0.3).filter("id <> other").count() < 10
+    some, others = [x for x in rows if x[0] < 40], []
+    for i in range(40):
+        agree, off = 20 - i % 2, r.randint(-5, 5)
+        near = sorted(range(66), key=lambda p: (p - r.choice([0, 30, 65])) ** 2 if i % 3 else r.random())[:agree]
+        others += [(100 + i, p - off, h if p in near else -1 - p) for s, p, h in some if s == i]
+    want = by_all_pairs(some, others, 5, 0.3)
+    got = J.offset_matches(spark.createDataFrame(some, prints.schema), spark.createDataFrame(others, prints.schema), 5, 0.3).collect()
+    assert {(x.id, x.other): pytest.approx(x.score) for x in got} == want and set(want) == {(i, 100 + i) for i in range(0, 40, 2)}
